@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stopweave.llm.common import ROW, shared_folder, stage, stage_rows
+from stopweave.llm.common import ROW, read, shared_folder, stage, stage_rows
 
 #: The white space that equality ignores.
 BLANKS = "\t\n\x0b\x0c\r "
@@ -47,6 +47,7 @@ def _stream_state(folder: str, schema, session, files_per_batch: int | None) ->
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "200")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # many small stores would each reserve megabytes
     spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     reader = spark.readStream.schema(schema)
     if files_per_batch:
@@ -111,3 +112,16 @@ def keep_first_copies(docs: DataFrame) -> DataFrame:
 def dedup_classes(documents: DataFrame) -> DataFrame:
     """The digest view: doc_id, keep_id, group_size, kept, text_sha256."""
     return exact_dedup(stage_texts(documents.select("doc_id", "text"))).select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+def query(spark, sf_dir):
+    return dedup_classes(read(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
+g AS (SELECT norm, count(*) AS group_size, max(n) AS most FROM t GROUP BY norm),
+k AS (SELECT t.norm, min(t.doc_id) AS keep_id FROM t JOIN g ON t.norm = g.norm AND t.n = g.most GROUP BY t.norm)
+SELECT t.doc_id, k.keep_id, g.group_size, t.doc_id = k.keep_id AS kept, sha256(t.norm) AS text_sha256
+FROM t JOIN g ON t.norm = g.norm JOIN k ON t.norm = k.norm
+"""

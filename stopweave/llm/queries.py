@@ -2,37 +2,15 @@
 
 from __future__ import annotations
 
-from stopweave.llm.common import read
-
-QUERIES = {}
-ORACLES = {}
-
-
-def _query(f):
-    QUERIES[f.__name__] = f
-    return f
-
-
-@_query
-def op1_byte_bpe(spark, sf_dir):
-    import public_tokenizers
-
-    from stopweave.llm.bpe import bpe_digests
-
-    return bpe_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-
-
-@_query
-def op4_exact_dedup(spark, sf_dir):
-    from stopweave.llm.exact import dedup_classes
-
-    return dedup_classes(read(spark, sf_dir, "documents"))
-
-
-ORACLES["op4_exact_dedup"] = r"""
-WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
-g AS (SELECT norm, count(*) AS group_size, max(n) AS most FROM t GROUP BY norm),
-k AS (SELECT t.norm, min(t.doc_id) AS keep_id FROM t JOIN g ON t.norm = g.norm AND t.n = g.most GROUP BY t.norm)
-SELECT t.doc_id, k.keep_id, g.group_size, t.doc_id = k.keep_id AS kept, sha256(t.norm) AS text_sha256
-FROM t JOIN g ON t.norm = g.norm JOIN k ON t.norm = k.norm
-"""
+from stopweave.llm import bpe, exact, quality
+
+QUERIES = {
+    "op1_byte_bpe": bpe.query,
+    "op4_exact_dedup": exact.query,
+    "op7_quality_rules": quality.query,
+}
+
+ORACLES = {
+    "op4_exact_dedup": exact.SQL,
+    "op7_quality_rules": quality.SQL,
+}

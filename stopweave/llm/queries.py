@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from stopweave.llm import bpe, exact, quality
+from stopweave.llm import bpe, chat, exact, quality, warc
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
     "op4_exact_dedup": exact.query,
     "op7_quality_rules": quality.query,
+    "op8_warc": warc.query,
+    "op10_chat_format": chat.query,
 }
 
 ORACLES = {
     "op4_exact_dedup": exact.SQL,
     "op7_quality_rules": quality.SQL,
+    "op8_warc": warc.SQL,
+    "op10_chat_format": chat.SQL,
 }

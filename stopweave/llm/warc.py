@@ -1,7 +1,7 @@
 """A deterministic sharded WARC writer, and a reader for what it writes.
 
-Writing: pages are staged with their payload digest; of equal payloads of some size the smallest page_id becomes the
-response record and the others revisit it. Exact counts over a bounded histogram of page_id give shard boundaries
+Writing: of equal payloads of some size the smallest page_id becomes the response record and the others revisit it;
+only digests are grouped, and the payloads move twice, once to their digest's decision and once to their shard. Exact counts over a bounded histogram of page_id give shard boundaries
 that depend on the data alone, so the same pages give the same files, whatever the cluster. Each shard is sorted by
 page_id within its partition and streamed out as one gzip member a record, rolling to a new file once the compressed
 size reaches a limit. A task writes under a temporary name and renames a file when it is complete; because content
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopweave.llm.common import ROW, read, shared_folder, stage, stage_rows
+from stopweave.llm.common import read, shared_folder, stage
 
 #: Payloads below this size are always written in full.
 LEAST_REVISIT_BYTES = 100
@@ -101,11 +101,11 @@ class _Shard:
             self.out, self.part = None, self.part + 1
 
 
-def _with_shards(rows: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
-    """Adds ``shard``: contiguous ranges of page_id of about ``shard_bytes``, from a histogram of CELLS cells."""
+def _with_shards(joined: DataFrame, rows: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
+    """``joined`` with ``shard``: contiguous ranges of page_id of about ``shard_bytes``, from a histogram of CELLS cells."""
     low, high = rows.agg(F.min("page_id"), F.max("page_id")).first()
     if low is None:
-        return rows.withColumn("shard", F.lit(0)), 1
+        return joined.withColumn("shard", F.lit(0)), 1
     width = max(1, -(-(high - low + 1) // CELLS))
     cell = F.coalesce(F.floor((F.col("page_id") - F.lit(low)) / F.lit(width)).cast("int"), F.lit(0))
     counts = {r["cell"]: r["b"] for r in rows.groupBy(cell.alias("cell")).agg(F.sum(F.col("size") + 400).alias("b")).collect()}
@@ -115,7 +115,7 @@ def _with_shards(rows: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
             starts, full = [*starts, c], 0
         full += counts[c]
     shard = F.size(F.filter(F.lit(starts), lambda s: s <= cell)) - 1 if len(starts) > 1 else F.lit(0)
-    return rows.withColumn("shard", F.greatest(shard, F.lit(0)).cast("int")), max(1, len(starts))
+    return joined.withColumn("shard", F.greatest(shard, F.lit(0)).cast("int")), max(1, len(starts))
 
 
 def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES, date: str = DATE) -> DataFrame:
@@ -124,18 +124,17 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
 
     datetime.strptime(date, "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=UTC)
     payload = F.coalesce("html", F.lit(""))
-    rows = stage_rows(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("html")).withColumns({"digest": F.sha2(F.encode("html", "utf-8"), 256), "size": F.octet_length("html").cast("long")}))
-    first = F.min(F.struct(F.col("page_id").isNull().alias("unknown"), F.col("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.col(ROW).alias("row")))
-    groups = rows.where(F.col("size") >= LEAST_REVISIT_BYTES).groupBy("digest").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", F.col("first.page_id").alias("refers"), F.col("first.row").alias("refers_row"))
-    revisits = rows.where(F.col("size") >= LEAST_REVISIT_BYTES).select(ROW, "digest").join(groups, "digest").where(f"{ROW} <> refers_row").select(ROW, "refers", "refers_row")
-    placed, shards = _with_shards(rows.join(stage(revisits), ROW, "left"), shard_bytes)
-    ordered = placed.repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", F.col("refers_row").isNotNull(), "url", ROW)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("html")).withColumns({"digest": F.sha2(F.encode("html", "utf-8"), 256), "size": F.octet_length("html").cast("long")})
+    first = F.min(F.struct(F.col("page_id").isNull().alias("unknown"), "page_id", F.coalesce("url", F.lit("")).alias("url"))).alias("first")
+    groups = rows.where(F.col("size") >= LEAST_REVISIT_BYTES).groupBy("digest").agg(first, F.count("*").alias("n")).where("n > 1").select("digest", F.col("first.page_id").alias("refers"), F.lit(True).alias("shared"))
+    placed, shards = _with_shards(rows.join(stage(groups), "digest", "left"), rows, shard_bytes)
+    ordered = placed.repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "url")
     schema = pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
 
     def run(batches):
         now, last, copy = None, None, 0
         for batch in batches:
-            for x in batch.select(["shard", "page_id", "url", "html", "digest", "refers", "refers_row"]).to_pylist():
+            for x in batch.select(["shard", "page_id", "url", "html", "digest", "refers", "shared"]).to_pylist():
                 key = (x["page_id"], x["digest"])
                 last, copy = key, copy + 1 if key == last else 0
                 if now is None or now.shard != x["shard"]:
@@ -146,7 +145,7 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
                 data = x["html"].encode()
                 if hashlib.sha256(data).hexdigest() != x["digest"]:
                     raise ValueError(f"page {x['page_id']}: the payload does not match its digest")
-                refers = None if x["refers_row"] is None else {"page_id": x["refers"]}
+                refers = {"page_id": x["refers"]} if x["shared"] and (copy or x["page_id"] != x["refers"]) else None
                 now.put(_gzip(_record(x["page_id"], x["url"], data, x["digest"], refers, date, copy)))
         if now:
             now.close()

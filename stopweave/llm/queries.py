@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from stopweave.llm import bpe, chat, exact, quality, warc
+from stopweave.llm import bpe, chat, exact, minhash, quality, warc
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
     "op4_exact_dedup": exact.query,
     "op7_quality_rules": quality.query,
     "op8_warc": warc.query,
+    "op9_minhash": minhash.query,
     "op10_chat_format": chat.query,
 }
 
@@ -16,5 +17,6 @@ ORACLES = {
     "op4_exact_dedup": exact.SQL,
     "op7_quality_rules": quality.SQL,
     "op8_warc": warc.SQL,
+    "op9_minhash": minhash.SQL,
     "op10_chat_format": chat.SQL,
 }

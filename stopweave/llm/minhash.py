@@ -2,11 +2,11 @@
 
 1. Each text becomes the set of its five-word shingles (64-bit hashes). Texts with equal sets collapse into one
    representative, so thousands of copies cost one row from here on.
-2. Each set gets BANDS x ROWS minima of universal hashes (multiply-add modulo 2^64, odd multipliers). Representatives
+2. Each set gets BANDS x ROWS minima of universal hashes (multiply-add modulo 2^32, odd multipliers). Representatives
    that agree in all ROWS minima of a band share a bucket. At a similarity of 0.75 a pair shares no bucket with
-   probability (1 - 0.75^ROWS)^BANDS, about 1e-6, and less for more similar ones.
-3. In each bucket every member is paired with one hub, drawn by a hash that differs from band to band: as many pairs
-   as members, never all pairs of a bucket, and yet a class is tied together by many different hubs.
+   probability (1 - 0.75^ROWS)^BANDS, about 5e-6, and far less for more similar ones.
+3. In each bucket every member is paired with one hub, drawn by a hash that differs between bands: as many pairs as
+   members, never all pairs of a bucket, and yet a class is tied together by several hubs.
 4. A pair's signatures are compared first (eight bits of each minimum; the bar is several standard deviations below
    the threshold), then the full sets decide: 100 * intersection >= 75 * union.
 5. Components of the confirmed links by alternating large-star and small-star, until nothing changes.
@@ -15,7 +15,9 @@
    step 4. Pairs inside one component can change nothing and are never made. Only buckets that were not settled by
    the hubs come here; components are then formed once more.
 
-Nothing is collected to the driver but counts; every stage's table lies in the shared folder.
+Nothing is collected to the driver but counts; every stage's table lies in the shared folder. The documents are
+scanned again for the sets of likely pairs instead of keeping all sets; their rows are known by scan order, which is
+the same for the same files, and a row whose set has changed raises.
 
 Defined results: words are maximal runs of other characters than white space, A-Z lower-cased; a text with one to
 four words has its whole sequence as its only shingle; null, empty and blank texts have no shingle, are linked with
@@ -24,90 +26,98 @@ nothing and stay. Equal rows and repeated ids are linked like any equal texts. A
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stopweave.llm.common import ROW, read, shared_folder, stage, stage_rows
+from stopweave.llm.common import ROW, read, stage
+from stopweave.llm.hashing import WordHashes, gram_hashes
 
 SHINGLE = 5
-BANDS, ROWS = 50, 5
+BANDS, ROWS = 32, 4
+#: Different hubs that a class can have: bands that are equal modulo this number draw alike.
+DRAWS = 6
 SEED = 20240117
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Of BANDS * ROWS one-byte minima so many must agree for a pair to reach the full sets: seven deviations below 0.75.
-SKETCH_SHARE = 0.56
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
+#: Of BANDS * ROWS one-byte minima this share must agree for a pair to reach the full sets: five deviations below 0.75.
+SKETCH_SHARE = 0.55
 
 
-def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a whole text."""
-    import xxhash
+def shingle_hashes(text: bytes | None, cache: WordHashes, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles of a whole UTF-8 text.
 
-    words = _WORD.findall((text or "").translate(_LOWER))
-    if len(words) < size:
-        return np.array([xxhash.xxh3_64_intdigest(" ".join(words))] if words else [], dtype=np.uint64)
-    joined = set(map(" ".join, zip(*(words[k:] for k in range(size)), strict=False)))
-    return np.sort(np.fromiter(map(xxhash.xxh3_64_intdigest, joined), dtype=np.uint64, count=len(joined)))
+    Both ``lower`` and ``split`` of bytes know ASCII alone: A-Z, and the white space of the word rule.
+    """
+    words = (text or b"").lower().split()
+    return np.unique(gram_hashes(cache.of(words), min(size, len(words)))) if words else np.empty(0, dtype=np.uint64)
 
 
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(SEED)
-    a = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return a, rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+    draw = lambda: rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32)
+    return (draw() * np.uint32(2) + np.uint32(1))[:, None], draw()[:, None]
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """The minimum of each universal hash over a set; long sets are taken in blocks."""
-    a, b = _coefficients()
-    out = np.full(len(a), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), 512):
-        np.minimum(out, (a[:, None] * hashes[None, at : at + 512] + b[:, None]).min(axis=1), out=out)
+def minima(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The minimum of each universal hash (a * x + b modulo 2^32) over a set; long sets are taken in blocks."""
+    x = (hashes >> np.uint64(32)).astype(np.uint32)
+    out = np.full(len(a), np.iinfo(np.uint32).max, dtype=np.uint32)
+    for at in range(0, len(x), 1024):
+        np.minimum(out, (a * x[None, at : at + 1024] + b).min(axis=1), out=out)
     return out
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """ROW, id, n_shingles, a 128-bit key of the set, and the set as bytes (eight per shingle)."""
-    schema = pa.schema([(ROW, pa.int64()), ("id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("shingles", pa.binary())])
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` (id, text) with ROW, which a second scan of the same files gives to the same rows."""
+    return docs.select(F.col("id").cast("long").alias("id"), F.col("text").cast("binary").alias("text")).withColumn(ROW, F.monotonically_increasing_id())
+
+
+def _profiles(docs: DataFrame) -> DataFrame:
+    """ROW, id, n_shingles, a 128-bit key of the shingle set, band keys, and a sketch of one byte for each minimum."""
+    schema = pa.schema([(ROW, pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def run(batches):
         import xxhash
 
+        cache, (a, b) = WordHashes(), _coefficients()
         for batch in batches:
-            rows, ids, texts = (batch.column(c) for c in (ROW, "id", "text"))
-            sets = [shingle_hashes(t.as_py()).tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([rows, ids, pa.array([len(s) // 8 for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], schema=schema)
+            out = []
+            for text in batch.column("text"):
+                s = shingle_hashes(text.as_py(), cache)
+                low = minima(s, a, b)
+                bands = [xxhash.xxh3_64_intdigest(low[k * ROWS : (k + 1) * ROWS].tobytes(), seed=k) - (1 << 63) for k in range(BANDS)] if len(s) else []
+                out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), bands, (low >> np.uint32(8)).astype(np.uint8).tobytes()))
+            cols = [batch.column(ROW), batch.column("id"), *(pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), list(schema)[2:], strict=True))]
+            yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
-    return docs.mapInArrow(run, f"{ROW} long, id long, n_shingles long, set_key binary, shingles binary")
+    return _numbered(docs).mapInArrow(run, f"{ROW} long, id long, n long, set_key binary, bands array<long>, sketch binary")
 
 
-def _signed(sets: DataFrame) -> DataFrame:
-    """Representatives with band keys and a sketch of one byte for each minimum."""
-    schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rep, shingles) of the rows in ``wanted`` (rep, set_key), from their texts; a row whose set is another one now raises."""
+    schema = pa.schema([("rep", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches):
         import xxhash
 
+        cache = WordHashes()
         for batch in batches:
-            bands, sketches = [], []
-            for s in batch.column("shingles"):
-                low = minima(np.frombuffer(s.as_py(), dtype=np.uint64))
-                bands.append([xxhash.xxh3_64_intdigest(low[k * ROWS : (k + 1) * ROWS].tobytes(), seed=k) - (1 << 63) for k in range(BANDS)])
-                sketches.append((low >> np.uint64(32)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], schema=schema)
+            sets = [shingle_hashes(t, cache).tobytes() for t in batch.column("text").to_pylist()]
+            if [xxhash.xxh3_128_digest(x) for x in sets] != batch.column("set_key").to_pylist():
+                raise ValueError("the documents changed between two scans; stage them first")
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], schema=schema)
 
-    return sets.select("rep", "n", "shingles").mapInArrow(run, "rep long, n long, bands array<long>, sketch binary")
+    found = _numbered(docs).select(F.col(ROW).alias("rep"), "text").join(wanted, "rep")
+    return stage(found.select("rep", "text", "set_key").mapInArrow(run, "rep long, shingles binary"))
 
 
-def _agreeing(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
+def _agreeing(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """Of (a, b), a < b: those whose signatures and then whose full sets agree."""
     close = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
     side = lambda df, x, *cols: df.select(F.col("rep").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols))
-    drawn = pairs.join(side(sketches, "a", "n", "sketch"), "a").join(side(sketches, "b", "n", "sketch"), "b").where(close)
+    drawn = pairs.join(side(reps, "a", "n", "sketch"), "a").join(side(reps, "b", "n", "sketch"), "b").where(close)
 
     def alike(batches):
         for batch in batches:
@@ -124,8 +134,10 @@ def _agreeing(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFra
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     likely = stage(drawn.select("a", "b", "sketch_a", "sketch_b").mapInArrow(alike, "a long, b long"))
+    ends = likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    sets = _full_sets(docs, reps.select("rep", "set_key").join(ends, "rep"))
     full = likely.join(side(sets, "a", "shingles"), "a").join(side(sets, "b", "shingles"), "b")
-    return stage(full.mapInArrow(confirmed, "a long, b long"))
+    return stage(full.select("a", "b", "shingles_a", "shingles_b").mapInArrow(confirmed, "a long, b long"))
 
 
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
@@ -149,43 +161,42 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     return stage(nodes.select(F.col("u").alias("node"), "component").unionByName(nodes.select(F.col("component").alias("node"), "component").distinct()))
 
 
-def near_dups(staged: DataFrame) -> DataFrame:
-    """For each row of ``staged`` (ROW, id, text): ROW, id, n_shingles and component, the number of one of its rows.
+def near_dups(docs: DataFrame) -> DataFrame:
+    """For each row of ``docs`` (id, text), a table of files: ROW, id, n_shingles and component, one of its rows' numbers.
 
     What many rows share (a bucket, a hub, a copied set) is joined from a table of its own, so that adaptive
     execution can split the side that holds the many rows.
     """
-    folder = shared_folder(staged.sparkSession)
-    sets = stage(_sets(staged), f"{folder}-sets")
-    filled = sets.where("n_shingles > 0")
+    profiles = stage(_profiles(docs))
+    filled = profiles.where("n > 0").select(ROW, "id", "set_key")
     copies = stage(filled.groupBy("set_key").agg(F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", ROW)).alias("first")))
-    member = stage(filled.select(ROW, "set_key").join(copies, "set_key").select(ROW, F.col(f"first.{ROW}").alias("rep")), f"{folder}-member")
-    reps = stage(filled.join(member.where(f"rep = {ROW}").select(ROW), ROW).select(F.col(ROW).alias("rep"), F.col("n_shingles").alias("n"), "shingles"), f"{folder}-reps")
-    signed = stage(_signed(reps), f"{folder}-signed")
-    banded = signed.select("rep", F.posexplode("bands").alias("band", "key"))
-    draw = F.struct(F.xxhash64("rep", "band").alias("draw"), F.col("rep").alias("hub"))
-    hubs = banded.groupBy("band", "key").agg(F.min(draw).alias("m"), F.count("*").alias("size")).where("size > 1").select("band", "key", F.col("m.hub").alias("hub"))
-    shared = stage(banded.join(stage(hubs), ["band", "key"]).select("band", "key", "rep", "hub"), f"{folder}-buckets")
+    member = stage(filled.select(ROW, "set_key").join(copies, "set_key").select(ROW, F.col(f"first.{ROW}").alias("rep")))
+    reps = profiles.join(copies.select(F.col(f"first.{ROW}").alias(ROW)), ROW).select(F.col(ROW).alias("rep"), "n", "set_key", "sketch", "bands")
+    reps = stage(reps)
+    banded = reps.select("rep", F.posexplode("bands").alias("band", "key"))
+    draw = F.struct(F.xxhash64("rep", F.col("band") % DRAWS).alias("draw"), F.col("rep").alias("hub"))
+    hubs = banded.groupBy("key").agg(F.min(draw).alias("m"), F.count("*").alias("size")).where("size > 1").select("key", F.col("m.hub").alias("hub"))
+    shared = stage(banded.drop("band").join(stage(hubs), "key").select("key", "rep", "hub"))
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     pairs = shared.where("rep <> hub").select(*ordered(F.col("rep"), F.col("hub"))).distinct()
-    links = _agreeing(pairs, signed, reps)
+    links = _agreeing(pairs, reps, docs)
     found = components(links)
-    placed = stage(shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("band", "key", "rep", "hub", F.coalesce("component", "rep").alias("component")), f"{folder}-placed")
-    unsettled = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "key")
-    left = placed.join(stage(unsettled), ["band", "key"])
+    placed = stage(shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")))
+    unsettled = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    left = placed.join(stage(unsettled), "key")
     x, y = left.alias("x"), left.alias("y")
-    across = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")))
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")))
     more = across.select(*ordered(F.col("x.rep"), F.col("y.rep"))).distinct().join(pairs, ["a", "b"], "left_anti")
-    more_links = _agreeing(more, signed, reps)
+    more_links = _agreeing(more, reps, docs)
     if not more_links.isEmpty():
         links = links.unionByName(more_links)
         found = components(links)
-    return sets.select(ROW, "id", "n_shingles").join(member, ROW, "left").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(ROW, "id", "n_shingles", F.coalesce("component", "rep", ROW).alias("component"))
+    return profiles.select(ROW, "id", F.col("n").alias("n_shingles")).join(member, ROW, "left").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(ROW, "id", "n_shingles", F.coalesce("component", "rep", ROW).alias("component"))
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """ROW, id, n_shingles, keep_row and component_id (the class's smallest id) for staged ``docs`` (ROW, id, text)."""
-    found = stage(near_dups(docs.select(ROW, "id", "text")))
+    """ROW, id, n_shingles, keep_row and component_id (the class's smallest id) for ``docs`` (id, text)."""
+    found = stage(near_dups(docs.select("id", "text")))
     first = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", ROW)).alias("first")
     least = found.groupBy("component").agg(first).select("component", F.col("first.id").alias("component_id"), F.col(f"first.{ROW}").alias("keep_row"))
     return found.join(stage(least), "component").drop("component")
@@ -193,13 +204,13 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each near-duplicate class, the one with the smallest doc_id; columns unchanged."""
-    staged = stage_rows(docs)
-    classes = near_classes(staged.select(ROW, F.col("doc_id").cast("long").alias("id"), "text"))
-    return staged.join(classes.where(f"{ROW} = keep_row").select(ROW), ROW, "left_semi").select(docs.columns)
+    classes = near_classes(docs.select(F.col("doc_id").alias("id"), "text"))
+    numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
+    return numbered.join(classes.where(f"{ROW} = keep_row").select(ROW), ROW, "left_semi").select(docs.columns)
 
 
 def query(spark, sf_dir):
-    docs = stage_rows(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return near_classes(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col(ROW) == F.col("keep_row")).alias("kept"))
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from stopweave.llm import bpe, chat, exact, minhash, quality, warc
+from stopweave.llm import bpe, chat, exact, minhash, quality, substring, warc
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
     "op4_exact_dedup": exact.query,
+    "op6_substring": substring.query,
     "op7_quality_rules": quality.query,
     "op8_warc": warc.query,
     "op9_minhash": minhash.query,
@@ -15,6 +16,7 @@ QUERIES = {
 
 ORACLES = {
     "op4_exact_dedup": exact.SQL,
+    "op6_substring": substring.SQL,
     "op7_quality_rules": quality.SQL,
     "op8_warc": warc.SQL,
     "op9_minhash": minhash.SQL,

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from stopweave.llm import bpe, chat, exact, minhash, quality, substring, warc
+from stopweave.llm import bpe, chat, exact, licenses, minhash, packing, quality, substring, toxicity, warc
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
+    "op2_packing": packing.query,
+    "op3_license_scan": licenses.query,
     "op4_exact_dedup": exact.query,
+    "op5_toxicity": toxicity.query,
     "op6_substring": substring.query,
     "op7_quality_rules": quality.query,
     "op8_warc": warc.query,

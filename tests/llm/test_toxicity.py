@@ -1,0 +1,72 @@
+import random
+import zlib
+
+import numpy as np
+
+from stopweave.llm import toxicity
+
+SCHEMA = "doc_id long, text string, score string, evidence int, lang string"
+
+
+def test_search_is_exact_cosine():
+    rng = random.Random(2)
+    terms = [f"t{k}" for k in range(40)]
+    idf = np.array([1 + rng.random() for _ in terms])
+    vectors = [{t: rng.randrange(1, 5) for t in rng.sample(range(40), rng.randrange(0, 7))} for _ in range(500)]
+    index = toxicity.Index(vectors, [rng.randrange(2) for _ in vectors], list(range(500)), terms, idf, [250, 250])
+    for _ in range(100):
+        q = {t: rng.randrange(1, 4) for t in rng.sample(range(40), rng.randrange(0, 6))}
+        dense = np.zeros(40)
+        for t, w in index.weights(q).items():
+            dense[t] = w
+        cosines = index.weight[: len(index.ids)] @ dense
+        want = sorted((-c for c in cosines if c > 0))[: toxicity.K]
+        assert np.allclose([c for c, _ in index.search(q)], [-c for c in want])
+
+
+def family(n, seed=3):
+    rng = random.Random(seed)
+    stems, plain = ["grimlo", "vexat", "bruto"], [f"word{c}" for c in "abcdefghijklmnopqrst"]
+    rows, labels = [], []
+    for i in range(n):
+        toxic = i % 4 == 0
+        words = [rng.choice(plain) for _ in range(40)]
+        if toxic:
+            words[rng.randrange(40)] = rng.choice(stems) + rng.choice(["us", "ei", "an", "ok"])
+        rows.append((i, " ".join(words), "x", 0, "en"))
+        if i % 3:
+            labels.append((i, int(toxic)))
+    return rows, labels
+
+
+def test_held_out_accuracy_and_edges(spark):
+    rows, labels = family(900)
+    rows += [(None, None, "x", 0, None), (5000, "", "x", 0, "en"), (5001, "grimlous " * 30_000, "x", 0, "en"), (5002, rows[0][1], "x", 0, "en"), (5002, rows[0][1], "x", 0, "en")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    marks = spark.createDataFrame(labels + [(None, 1), (77, None)], "doc_id long, toxic int")
+    got = toxicity.toxicity_scores(docs, marks).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5)
+        assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+    own = [(r["predicted"], int(r["doc_id"] % 4 == 0)) for r in got if r["held_out"] and r["doc_id"] < 900]
+    assert len(own) > 100 and sum(a == b for a, b in own) / len(own) > 0.97
+    by = {r["doc_id"]: r for r in got}
+    assert by[5000]["predicted"] == 0 and by[None]["score"] == by[5000]["score"] and by[5001]["predicted"] == 1 and len(by[5001]["evidence"]) == 3
+    kept = toxicity.keep_clean(docs, marks)
+    assert kept.columns == docs.columns and {r["lang"] for r in kept.collect()} == {"en", None}
+
+
+def test_no_labels_and_no_documents(spark):
+    docs = spark.createDataFrame(family(5)[0], SCHEMA)
+    empty = spark.createDataFrame([], "doc_id long, toxic int")
+    assert {r["predicted"] for r in toxicity.toxicity_scores(docs, empty).collect()} <= {0, 1}
+    assert toxicity.toxicity_scores(docs.limit(0), empty).collect() == []
+
+
+def test_held_out_rows_of_the_table(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.toxicity_scores(docs, labels).where("held_out").join(labels.select("doc_id", "toxic"), "doc_id").collect()
+    wrong = sum(r["predicted"] != r["toxic"] for r in got)
+    assert len(got) > 50 and wrong <= 0.06 * len(got)

@@ -8,9 +8,11 @@ A window of WINDOW words that starts in a document with a smaller id too is a re
    prefix has the least hash. Equal windows hold the same places, so no repeat is missed, and about one suffix in
    twenty is left. Prefixes that occur in one document alone are pruned by a count that combines within each task.
 3. The prefixes that remain partition the suffixes. Tasks take them in prefix order and hold as many whole prefix
-   groups at a time as fit a row limit. A prefix with more suffixes than that is lengthened, up to all the words that
-   surround the place: suffixes that agree in those differ in their document only, so they are combined to the
-   smallest id, and what is left meets window by window in an aggregation (both combine within each task first).
+   groups at a time as fit a row limit. A prefix with more suffixes than that is lengthened by half a window to the
+   right, and to the left, and pruned again, so a common line before different words falls apart. What is too large
+   even then is a passage that very many documents share: suffixes that agree in all surrounding words differ in
+   their document only and combine to the smallest id, and what is left meets window by window in an aggregation
+   (both combine within each task first).
 4. Every suffix carries the words around its place. Suffixes are ranked by prefix doubling (1, 2, 4 .. 32 words, then
    WINDOW), which names the nodes of the groups' suffix trees at those depths; nodes at depth WINDOW with suffixes of
    two documents are the deep internal nodes. All suffixes below such a node but those of its smallest document are
@@ -199,6 +201,44 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return docs.select(ids, F.col("text").cast("binary").alias("text")).withColumn(ROW, F.monotonically_increasing_id())
 
 
+def _placed(own: DataFrame) -> DataFrame:
+    """(ROW, x) from (ROW, id, place, prefix): the places whose prefix stands in two documents, with its suffixes."""
+    own = stage(own)
+    counts = own.groupBy("prefix").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("suffixes")).where("lo < hi")
+    counts = stage(counts.select("prefix", "suffixes"))
+    return own.join(counts, "prefix").groupBy(ROW).agg(F.sort_array(F.collect_list(F.struct("place", "prefix", "suffixes"))).alias("x"))
+
+
+def _lengthened(texts: DataFrame, group_rows: int) -> DataFrame:
+    """(ROW, id, place, prefix) of suffixes in too large groups, each with two longer prefixes in place of its own.
+
+    A window that holds the ANCHOR words of a place has at least half of its other words on one side of them, so
+    documents that share the window share the prefix that is longer by that half to the right, or the one to the left.
+    """
+    schema = pa.schema([(ROW, pa.int64()), ("id", pa.int64()), ("place", pa.int32()), ("prefix", pa.int64())])
+    half = (WINDOW - ANCHOR) // 2
+
+    def run(batches):
+        import xxhash
+
+        cache = WordHashes()
+        for batch in batches:
+            for part in batch.to_pylist():
+                places = [x["place"] for x in part["x"] if x["suffixes"] > group_rows]
+                h = cache.of((part["text"] or b"").split()) if places else None
+                keys = []
+                for p in places:
+                    if p + ANCHOR + half <= len(h):
+                        keys.append((p, xxhash.xxh3_64_intdigest(h[p : p + ANCHOR + half].tobytes(), seed=1)))
+                    if p >= half:
+                        keys.append((p, xxhash.xxh3_64_intdigest(h[p - half : p + ANCHOR].tobytes(), seed=2)))
+                if keys:
+                    n = len(keys)
+                    yield pa.RecordBatch.from_arrays([pa.array([part[ROW]] * n, pa.int64()), pa.array([part["id"]] * n, pa.int64()), pa.array([p for p, _ in keys], pa.int32()), pa.array([k - (1 << 63) for _, k in keys], pa.int64())], schema=schema)
+
+    return texts.where(F.exists("x", lambda v: v["suffixes"] > group_rows)).mapInArrow(run, f"{ROW} long, id long, place int, prefix long")
+
+
 def repeats(docs: DataFrame, group_rows: int = GROUP_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(profiles, copies, spanned) of ``docs`` (id, text), a table of files.
 
@@ -212,12 +252,10 @@ def repeats(docs: DataFrame, group_rows: int = GROUP_ROWS) -> tuple[DataFrame, D
     copied = copies.where("copied").select(ROW)
     # rows of equal sequence and equal smallest id are all kept as they are but for what smaller ids hold
     own = profiles.join(copies.where("not copied").select(ROW), ROW).select(ROW, "id", F.explode(F.arrays_zip("at", "prefix")).alias("x")).select(ROW, "id", F.col("x.at").alias("place"), F.col("x.prefix").alias("prefix"))
-    own = stage(own)
-    counts = own.groupBy("prefix").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("suffixes")).where("lo < hi")
-    counts = stage(counts.select("prefix", "suffixes"))
-    placed = own.join(counts, "prefix").groupBy(ROW).agg(F.sort_array(F.collect_list(F.struct("place", "prefix", "suffixes"))).alias("x"))
-    texts = stage(_numbered(docs).join(placed, ROW))
-    spans = _small_groups(_contexts(texts, False, group_rows), group_rows).unionByName(_large_groups(_contexts(texts, True, group_rows)))
+    texts = stage(_numbered(docs).join(_placed(own), ROW))
+    spans = _small_groups(_contexts(texts, False, group_rows), group_rows)
+    longer = stage(texts.select(ROW, "id", "text").join(_placed(_lengthened(texts, group_rows)), ROW))
+    spans = spans.unionByName(_small_groups(_contexts(longer, False, group_rows), group_rows)).unionByName(_large_groups(_contexts(longer, True, group_rows)))
     merged = spans.groupBy(ROW).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
     return profiles, copied, texts.select(ROW, "text").join(merged, ROW)
 

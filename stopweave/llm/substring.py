@@ -7,6 +7,7 @@ A window of WINDOW words that starts in a document with a smaller id too is a re
 2. Suffixes are taken at content-defined places only: of every stretch of WINDOW words the place whose ANCHOR-word
    prefix has the least hash. Equal windows hold the same places, so no repeat is missed, and about one suffix in
    twenty is left. Prefixes that occur in one document alone are pruned by a count that combines within each task.
+   Places of a document that agree in prefix or surroundings (a line said over and over) travel as one row.
 3. The prefixes that remain partition the suffixes. Tasks take them in prefix order and hold as many whole prefix
    groups at a time as fit a row limit. A prefix with more suffixes than that is lengthened by half a window to the
    right, and to the left, and pruned again, so a common line before different words falls apart. What is too large
@@ -70,33 +71,43 @@ def anchors(h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray
     return at, p[at]
 
 
+_SUFFIXES = [("prefix", pa.int64()), ("at", pa.list_(pa.int32()))]
+
+
+def _by_prefix(found) -> list[dict]:
+    """(prefix, place) pairs of a document as one entry for each prefix."""
+    places: dict[int, list[int]] = {}
+    for prefix, at in found:
+        places.setdefault(prefix, []).append(at)
+    return [{"prefix": k, "at": v} for k, v in places.items()]
+
+
 def _profiles(docs: DataFrame) -> DataFrame:
-    """ROW, id, words, the digest of the words joined by spaces, and the anchor prefixes."""
-    schema = pa.schema([(ROW, pa.int64()), ("id", pa.int64()), ("n_words", pa.int64()), ("sequence", pa.string()), ("at", pa.list_(pa.int32())), ("prefix", pa.list_(pa.int64()))])
+    """ROW, id, words, the digest of the words joined by spaces, and the anchor prefixes with their places."""
+    schema = pa.schema([(ROW, pa.int64()), ("id", pa.int64()), ("n_words", pa.int64()), ("sequence", pa.string()), ("suffixes", pa.list_(pa.struct(_SUFFIXES)))])
 
     def run(batches):
         cache = WordHashes()
         for batch in batches:
-            n, sha, places, prefixes = [], [], [], []
+            n, sha, suffixes = [], [], []
             for text in batch.column("text"):
                 words = (text.as_py() or b"").split()  # splits at ASCII white space, as the word rule does
                 at, prefix = anchors(cache.of(words))
                 n.append(len(words))
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                places.append(at.astype(np.int32))
-                prefixes.append(prefix.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(ROW), batch.column("id"), pa.array(n, pa.int64()), pa.array(sha), pa.array(places, pa.list_(pa.int32())), pa.array(prefixes, pa.list_(pa.int64()))], schema=schema)
+                suffixes.append(_by_prefix(zip(prefix.view(np.int64).tolist(), at.tolist(), strict=True)))
+            yield pa.RecordBatch.from_arrays([batch.column(ROW), batch.column("id"), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(suffixes, schema.field("suffixes").type)], schema=schema)
 
-    return _numbered(docs).mapInArrow(run, f"{ROW} long, id long, n_words long, sequence string, at array<int>, prefix array<long>")
+    return _numbered(docs).mapInArrow(run, f"{ROW} long, id long, n_words long, sequence string, suffixes array<struct<prefix:bigint,at:array<int>>>")
 
 
 def _contexts(texts: DataFrame, over: bool, group_rows: int) -> DataFrame:
-    """A row for each shared place of the prefixes with more (``over``) or at most ``group_rows`` suffixes.
+    """A row for each document and context of the prefixes with more (``over``) or at most ``group_rows`` suffixes.
 
-    ``first`` is the word where the context starts; it never reaches over the text's ends. ``around`` hashes the whole
-    context with the place in it: rows that agree in it differ in their document only.
+    ``firsts`` has the words where the context starts; it never reaches over the text's ends. ``around`` hashes the
+    whole context with the place in it: rows of a prefix that agree in it differ in their document only.
     """
-    schema = pa.schema([("prefix", pa.int64()), ("around", pa.int64()), ("id", pa.int64()), (ROW, pa.int64()), ("first", pa.int32()), ("context", pa.binary())])
+    schema = pa.schema([("prefix", pa.int64()), ("around", pa.int64()), ("id", pa.int64()), (ROW, pa.int64()), ("firsts", pa.list_(pa.int32())), ("context", pa.binary())])
 
     def run(batches):
         import xxhash
@@ -108,14 +119,18 @@ def _contexts(texts: DataFrame, over: bool, group_rows: int) -> DataFrame:
                 h = cache.of((part["text"] or b"").split()).astype(np.uint32)
                 rows = []
                 for x in part["x"]:
-                    if (x["suffixes"] > group_rows) == over:
-                        lo = max(0, x["place"] - reach)
-                        context = h[lo : x["place"] + WINDOW].tobytes()
-                        rows.append((x["prefix"], xxhash.xxh3_64_intdigest(context, seed=x["place"] - lo) - (1 << 63), part["id"], part[ROW], lo, context))
+                    if (x["suffixes"] > group_rows) != over:
+                        continue
+                    firsts: dict[tuple[int, bytes], list[int]] = {}
+                    for place in x["at"]:
+                        lo = max(0, place - reach)
+                        firsts.setdefault((place - lo, h[lo : place + WINDOW].tobytes()), []).append(lo)
+                    for (offset, context), at in firsts.items():
+                        rows.append((x["prefix"], xxhash.xxh3_64_intdigest(context, seed=offset) - (1 << 63), part["id"], part[ROW], at, context))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return texts.mapInArrow(run, f"prefix long, around long, id long, {ROW} long, first int, context binary")
+    return texts.mapInArrow(run, f"prefix long, around long, id long, {ROW} long, firsts array<int>, context binary")
 
 
 def tree_windows(contexts: list[bytes], window: int = WINDOW) -> list[np.ndarray]:
@@ -145,14 +160,15 @@ def _window_keys(context: bytes, count: int) -> list[bytes]:
     return [xxhash.xxh3_128_digest(context[4 * k : 4 * (k + WINDOW)]) for k in range(count)]
 
 
-def _spans(flags: np.ndarray, first: int) -> list[tuple[int, int]]:
-    """[start, end) word spans that the windows starting at first + k, for each set flag k, cover."""
+def _spans(flags: np.ndarray, firsts: list[int]) -> list[tuple[int, int]]:
+    """[start, end) word spans that the windows starting at first + k cover, for each set flag k and each first; merged."""
     hits = np.flatnonzero(flags)
     if not len(hits):
         return []
-    cut = np.flatnonzero(np.diff(hits) > 1)
-    lo, hi = hits[np.concatenate([[0], cut + 1])], hits[np.concatenate([cut, [len(hits) - 1]])]
-    return [(int(first + a), int(first + b + WINDOW)) for a, b in zip(lo, hi, strict=True)]
+    starts = np.unique((np.asarray(firsts, dtype=np.int64)[:, None] + hits).ravel())
+    cut = np.flatnonzero(np.diff(starts) > WINDOW)
+    lo, hi = starts[np.concatenate([[0], cut + 1])], starts[np.concatenate([cut, [len(starts) - 1]])]
+    return [(int(a), int(b + WINDOW)) for a, b in zip(lo, hi, strict=True)]
 
 
 _SPAN_SCHEMA = f"{ROW} long, start int, end int"
@@ -160,13 +176,14 @@ _SPAN_SCHEMA = f"{ROW} long, start int, end int"
 
 def _tree_spans(table: pa.Table) -> pa.RecordBatch:
     """The repeats of some prefix groups that are held whole."""
-    ids, rows, firsts = (table.column(c).to_numpy() for c in ("id", ROW, "first"))
+    ids, rows = (table.column(c).to_numpy() for c in ("id", ROW))
+    firsts = table.column("firsts").to_pylist()
     names = tree_windows(table.column("context").to_pylist())
     flat = np.concatenate(names)
     least = np.full(int(flat.max()) + 1 if len(flat) else 0, LAST_ID, dtype=np.int64)
     owners = np.repeat(ids, [len(x) for x in names])
     np.minimum.at(least, flat, owners)
-    return _batch((int(r), a, b) for r, i, first, x in zip(rows, ids, firsts, names, strict=True) for a, b in _spans(least[x] < i, first))
+    return _batch((int(r), a, b) for r, i, own, x in zip(rows, ids, firsts, names, strict=True) for a, b in _spans(least[x] < i, own))
 
 
 def _batch(spans) -> pa.RecordBatch:
@@ -191,7 +208,7 @@ def _small_groups(suffixes: DataFrame, group_rows: int) -> DataFrame:
         if held is not None and held.num_rows:
             yield _tree_spans(held)
 
-    ordered = suffixes.select("prefix", "id", ROW, "first", "context").repartition("prefix").sortWithinPartitions("prefix")
+    ordered = suffixes.select("prefix", "id", ROW, "firsts", "context").repartition("prefix").sortWithinPartitions("prefix")
     return ordered.mapInArrow(run, _SPAN_SCHEMA)
 
 
@@ -202,20 +219,20 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def _placed(own: DataFrame) -> DataFrame:
-    """(ROW, x) from (ROW, id, place, prefix): the places whose prefix stands in two documents, with its suffixes."""
+    """(ROW, x) from (ROW, id, prefix, at): the places whose prefix stands in two documents, with its suffixes."""
     own = stage(own)
-    counts = own.groupBy("prefix").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("suffixes")).where("lo < hi")
+    counts = own.groupBy("prefix").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.sum(F.size("at")).alias("suffixes")).where("lo < hi")
     counts = stage(counts.select("prefix", "suffixes"))
-    return own.join(counts, "prefix").groupBy(ROW).agg(F.sort_array(F.collect_list(F.struct("place", "prefix", "suffixes"))).alias("x"))
+    return own.join(counts, "prefix").groupBy(ROW).agg(F.sort_array(F.collect_list(F.struct("prefix", "at", "suffixes"))).alias("x"))
 
 
 def _lengthened(texts: DataFrame, group_rows: int) -> DataFrame:
-    """(ROW, id, place, prefix) of suffixes in too large groups, each with two longer prefixes in place of its own.
+    """(ROW, id, prefix, at) of suffixes in too large groups, each with two longer prefixes in place of its own.
 
     A window that holds the ANCHOR words of a place has at least half of its other words on one side of them, so
     documents that share the window share the prefix that is longer by that half to the right, or the one to the left.
     """
-    schema = pa.schema([(ROW, pa.int64()), ("id", pa.int64()), ("place", pa.int32()), ("prefix", pa.int64())])
+    schema = pa.schema([(ROW, pa.int64()), ("id", pa.int64()), *_SUFFIXES])
     half = (WINDOW - ANCHOR) // 2
 
     def run(batches):
@@ -224,19 +241,19 @@ def _lengthened(texts: DataFrame, group_rows: int) -> DataFrame:
         cache = WordHashes()
         for batch in batches:
             for part in batch.to_pylist():
-                places = [x["place"] for x in part["x"] if x["suffixes"] > group_rows]
+                places = [p for x in part["x"] if x["suffixes"] > group_rows for p in x["at"]]
                 h = cache.of((part["text"] or b"").split()) if places else None
                 keys = []
                 for p in places:
                     if p + ANCHOR + half <= len(h):
-                        keys.append((p, xxhash.xxh3_64_intdigest(h[p : p + ANCHOR + half].tobytes(), seed=1)))
+                        keys.append((xxhash.xxh3_64_intdigest(h[p : p + ANCHOR + half].tobytes(), seed=1) - (1 << 63), p))
                     if p >= half:
-                        keys.append((p, xxhash.xxh3_64_intdigest(h[p - half : p + ANCHOR].tobytes(), seed=2)))
-                if keys:
-                    n = len(keys)
-                    yield pa.RecordBatch.from_arrays([pa.array([part[ROW]] * n, pa.int64()), pa.array([part["id"]] * n, pa.int64()), pa.array([p for p, _ in keys], pa.int32()), pa.array([k - (1 << 63) for _, k in keys], pa.int64())], schema=schema)
+                        keys.append((xxhash.xxh3_64_intdigest(h[p - half : p + ANCHOR].tobytes(), seed=2) - (1 << 63), p))
+                if own := _by_prefix(keys):
+                    n = len(own)
+                    yield pa.RecordBatch.from_arrays([pa.array([part[ROW]] * n, pa.int64()), pa.array([part["id"]] * n, pa.int64()), pa.array([x["prefix"] for x in own], pa.int64()), pa.array([x["at"] for x in own], pa.list_(pa.int32()))], schema=schema)
 
-    return texts.where(F.exists("x", lambda v: v["suffixes"] > group_rows)).mapInArrow(run, f"{ROW} long, id long, place int, prefix long")
+    return texts.where(F.exists("x", lambda v: v["suffixes"] > group_rows)).mapInArrow(run, f"{ROW} long, id long, prefix long, at array<int>")
 
 
 def repeats(docs: DataFrame, group_rows: int = GROUP_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -251,7 +268,7 @@ def repeats(docs: DataFrame, group_rows: int = GROUP_ROWS) -> tuple[DataFrame, D
     copies = stage(long.select(ROW, "id", "sequence").join(first, "sequence").select(ROW, (F.col("first_id") < F.col("id")).alias("copied")))
     copied = copies.where("copied").select(ROW)
     # rows of equal sequence and equal smallest id are all kept as they are but for what smaller ids hold
-    own = profiles.join(copies.where("not copied").select(ROW), ROW).select(ROW, "id", F.explode(F.arrays_zip("at", "prefix")).alias("x")).select(ROW, "id", F.col("x.at").alias("place"), F.col("x.prefix").alias("prefix"))
+    own = profiles.join(copies.where("not copied").select(ROW), ROW).select(ROW, "id", F.explode("suffixes").alias("x")).select(ROW, "id", "x.prefix", "x.at")
     texts = stage(_numbered(docs).join(_placed(own), ROW))
     spans = _small_groups(_contexts(texts, False, group_rows), group_rows)
     longer = stage(texts.select(ROW, "id", "text").join(_placed(_lengthened(texts, group_rows)), ROW))
@@ -278,18 +295,18 @@ def _large_groups(large: DataFrame) -> DataFrame:
     def spans(batches):
         for batch in batches:
             out = []
-            for row, i, first, windows in zip(*(batch.column(c).to_pylist() for c in (ROW, "id", "first", "windows")), strict=True):
+            for row, i, firsts, windows in zip(*(batch.column(c).to_pylist() for c in (ROW, "id", "firsts", "windows")), strict=True):
                 flags = np.zeros(WINDOW + 1, dtype=bool)
                 flags[[w["k"] for w in windows if w["least"] < i]] = True
-                out += [(row, a, b) for a, b in _spans(flags, first)]
+                out += [(row, a, b) for a, b in _spans(flags, firsts)]
             yield _batch(out)
 
     alike = large.groupBy("around").agg(F.min("id").alias("id"), F.min("context").alias("context"))
     windows = stage(alike.mapInArrow(names, "around long, window binary, k int, id long"))
     least = stage(windows.groupBy("window").agg(F.min("id").alias("least")))
     known = stage(windows.join(least, "window").groupBy("around").agg(F.collect_list(F.struct("k", "least")).alias("windows")))
-    back = large.select(ROW, "id", "first", "around").join(known, "around")
-    return back.select(ROW, "id", "first", "windows").mapInArrow(spans, _SPAN_SCHEMA)
+    back = large.select(ROW, "id", "firsts", "around").join(known, "around")
+    return back.select(ROW, "id", "firsts", "windows").mapInArrow(spans, _SPAN_SCHEMA)
 
 
 def _covered(spans: list[dict]) -> list[tuple[int, int]]:

@@ -4,9 +4,9 @@ A window of WINDOW words that starts in a document with a smaller id too is a re
 
 1. Texts of equal word sequence collapse: the smallest id stands for all; where a larger id has the same sequence,
    all of its windows are repeats, so it needs no tree.
-2. Suffixes are taken at content-defined places only: of every stretch of WINDOW words the place whose ANCHOR-word
-   prefix has the least hash. Equal windows hold the same places, so no repeat is missed, and about one suffix in
-   twenty is left. Prefixes that occur in one document alone are pruned by a count that combines within each task.
+2. Suffixes are taken at content-defined places only: of every stretch of WINDOW words the first place whose
+   ANCHOR-word prefix has the least hash. Each window belongs to that one place of it, equal windows to the same, so
+   no repeat is missed or looked at twice, and about one suffix in twenty is left. Prefixes that occur in one document alone are pruned by a count that combines within each task.
    Places of a document that agree in prefix or surroundings (a line said over and over) travel as one row.
 3. The prefixes that remain partition the suffixes. Tasks take them in prefix order and hold as many whole prefix
    groups at a time as fit a row limit. A prefix with more suffixes than that is lengthened by half a window to the
@@ -14,7 +14,7 @@ A window of WINDOW words that starts in a document with a smaller id too is a re
    even then is a passage that very many documents share: suffixes that agree in all surrounding words differ in
    their document only and combine to the smallest id, and what is left meets window by window in an aggregation
    (both combine within each task first).
-4. Every suffix carries the words around its place. Suffixes are ranked by prefix doubling (1, 2, 4 .. 32 words, then
+4. Every suffix carries the words that the windows of its place cover. Suffixes are ranked by prefix doubling (1, 2, 4 .. 32 words, then
    WINDOW), which names the nodes of the groups' suffix trees at those depths; nodes at depth WINDOW with suffixes of
    two documents are the deep internal nodes. All suffixes below such a node but those of its smallest document are
    repeats; adjoining ones make up the maximal repeats, which leave as spans.
@@ -49,39 +49,48 @@ GROUP_ROWS = 8192
 LAST_ID = (1 << 63) - 1
 
 
-def anchors(h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Places, and their prefix hashes, that are least in some stretch of ``window`` words; all ties count."""
+def anchors(h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places, prefix hashes, and first and number of the windows whose first place of least prefix hash each place is.
+
+    Every window belongs to one place, and equal windows to the same place in them.
+    """
     if len(h) < window:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+        return (np.empty(0, dtype=np.int64),) * 4
     p = gram_hashes(h, ANCHOR)
     span = window - ANCHOR + 1
-    least, done = p, 1
+    least, done = np.arange(len(p)), 1
     while done < span:
         step = min(done, span - done)
-        least = np.minimum(least[:-step], least[step:])
+        left, right = least[:-step], least[step:]
+        least = np.where(p[right] < p[left], right, left)
         done += step
-    # a place is taken if some stretch that holds it has it as its least: the largest of those least values
-    pad = np.concatenate([np.zeros(span - 1, dtype=np.uint64), least, np.zeros(span - 1, dtype=np.uint64)])
-    most, done = pad, 1
-    while done < span:
-        step = min(done, span - done)
-        most = np.maximum(most[:-step], most[step:])
-        done += step
-    at = np.flatnonzero(p == most)
-    return at, p[at]
+    at, first, count = np.unique(least, return_index=True, return_counts=True)
+    return at, p[at].view(np.int64), first, count
 
 
-_SUFFIXES = [("prefix", pa.int64()), ("at", pa.list_(pa.int32()))]
+#: A place, and the first and the number of the windows that belong to it.
+_PLACES = pa.list_(pa.struct([("place", pa.int32()), ("first", pa.int32()), ("windows", pa.int32())]))
+_PLACES_SQL = "array<struct<place:int,first:int,windows:int>>"
+_SUFFIXES = [("prefix", pa.int64()), ("at", _PLACES)]
 
 
 def _by_prefix(found) -> list[dict]:
-    """(prefix, place) pairs of a document as one entry for each prefix."""
-    places: dict[int, list[int]] = {}
-    for prefix, at in found:
-        places.setdefault(prefix, []).append(at)
+    """(prefix, place, first, windows) of a document as one entry for each prefix."""
+    places: dict[int, list[dict]] = {}
+    for prefix, place, first, windows in found:
+        places.setdefault(prefix, []).append({"place": place, "first": first, "windows": windows})
     return [{"prefix": k, "at": v} for k, v in places.items()]
 
 
+def _distinct_contexts(h: np.ndarray, at: list[dict]) -> dict[tuple[int, bytes], list[int]]:
+    """(place in it, context) to the words where it starts; a context is what a place's windows cover."""
+    firsts: dict[tuple[int, bytes], list[int]] = {}
+    for x in at:
+        lo = x["first"]
+        firsts.setdefault((x["place"] - lo, h[lo : lo + x["windows"] + WINDOW - 1].tobytes()), []).append(lo)
+    return firsts
+
+
 def _profiles(docs: DataFrame) -> DataFrame:
     """ROW, id, words, the digest of the words joined by spaces, and the anchor prefixes with their places."""
     schema = pa.schema([(ROW, pa.int64()), ("id", pa.int64()), ("n_words", pa.int64()), ("sequence", pa.string()), ("suffixes", pa.list_(pa.struct(_SUFFIXES)))])
@@ -92,20 +101,19 @@ def _profiles(docs: DataFrame) -> DataFrame:
             n, sha, suffixes = [], [], []
             for text in batch.column("text"):
                 words = (text.as_py() or b"").split()  # splits at ASCII white space, as the word rule does
-                at, prefix = anchors(cache.of(words))
+                at, prefix, first, count = anchors(cache.of(words))
                 n.append(len(words))
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                suffixes.append(_by_prefix(zip(prefix.view(np.int64).tolist(), at.tolist(), strict=True)))
+                suffixes.append(_by_prefix(zip(*(x.tolist() for x in (prefix, at, first, count)), strict=True)))
             yield pa.RecordBatch.from_arrays([batch.column(ROW), batch.column("id"), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(suffixes, schema.field("suffixes").type)], schema=schema)
 
-    return _numbered(docs).mapInArrow(run, f"{ROW} long, id long, n_words long, sequence string, suffixes array<struct<prefix:bigint,at:array<int>>>")
+    return _numbered(docs).mapInArrow(run, f"{ROW} long, id long, n_words long, sequence string, suffixes array<struct<prefix:bigint,at:{_PLACES_SQL}>>")
 
 
 def _contexts(texts: DataFrame, over: bool, group_rows: int) -> DataFrame:
     """A row for each document and context of the prefixes with more (``over``) or at most ``group_rows`` suffixes.
 
-    ``firsts`` has the words where the context starts; it never reaches over the text's ends. ``around`` hashes the
-    whole context with the place in it: rows of a prefix that agree in it differ in their document only.
+    ``firsts`` has the words where the context starts. ``around`` hashes the whole context with the place in it: rows of a prefix that agree in it differ in their document only.
     """
     schema = pa.schema([("prefix", pa.int64()), ("around", pa.int64()), ("id", pa.int64()), (ROW, pa.int64()), ("firsts", pa.list_(pa.int32())), ("context", pa.binary())])
 
@@ -113,7 +121,6 @@ def _contexts(texts: DataFrame, over: bool, group_rows: int) -> DataFrame:
         import xxhash
 
         cache = WordHashes()
-        reach = WINDOW - ANCHOR
         for batch in batches:
             for part in batch.to_pylist():
                 h = cache.of((part["text"] or b"").split()).astype(np.uint32)
@@ -121,11 +128,7 @@ def _contexts(texts: DataFrame, over: bool, group_rows: int) -> DataFrame:
                 for x in part["x"]:
                     if (x["suffixes"] > group_rows) != over:
                         continue
-                    firsts: dict[tuple[int, bytes], list[int]] = {}
-                    for place in x["at"]:
-                        lo = max(0, place - reach)
-                        firsts.setdefault((place - lo, h[lo : place + WINDOW].tobytes()), []).append(lo)
-                    for (offset, context), at in firsts.items():
+                    for (offset, context), at in _distinct_contexts(h, x["at"]).items():
                         rows.append((x["prefix"], xxhash.xxh3_64_intdigest(context, seed=offset) - (1 << 63), part["id"], part[ROW], at, context))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -219,9 +222,9 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def _placed(own: DataFrame) -> DataFrame:
-    """(ROW, x) from (ROW, id, prefix, at): the places whose prefix stands in two documents, with its suffixes."""
+    """(ROW, x) from (ROW, id, prefix, at, n), with ``n`` contexts or more of the document: the places whose prefix stands in two documents, with its suffixes."""
     own = stage(own)
-    counts = own.groupBy("prefix").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.sum(F.size("at")).alias("suffixes")).where("lo < hi")
+    counts = own.groupBy("prefix").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.sum("n").alias("suffixes")).where("lo < hi")
     counts = stage(counts.select("prefix", "suffixes"))
     return own.join(counts, "prefix").groupBy(ROW).agg(F.sort_array(F.collect_list(F.struct("prefix", "at", "suffixes"))).alias("x"))
 
@@ -229,10 +232,10 @@ def _placed(own: DataFrame) -> DataFrame:
 def _lengthened(texts: DataFrame, group_rows: int) -> DataFrame:
     """(ROW, id, prefix, at) of suffixes in too large groups, each with two longer prefixes in place of its own.
 
-    A window that holds the ANCHOR words of a place has at least half of its other words on one side of them, so
-    documents that share the window share the prefix that is longer by that half to the right, or the one to the left.
+    A window has at least half of its words beside the ANCHOR words of its place to their right, and then shares the
+    prefix that is longer by that half to the right with equal windows, or else more than half to their left.
     """
-    schema = pa.schema([(ROW, pa.int64()), ("id", pa.int64()), *_SUFFIXES])
+    schema = pa.schema([(ROW, pa.int64()), ("id", pa.int64()), *_SUFFIXES, ("n", pa.int64())])
     half = (WINDOW - ANCHOR) // 2
 
     def run(batches):
@@ -244,16 +247,17 @@ def _lengthened(texts: DataFrame, group_rows: int) -> DataFrame:
                 places = [p for x in part["x"] if x["suffixes"] > group_rows for p in x["at"]]
                 h = cache.of((part["text"] or b"").split()) if places else None
                 keys = []
-                for p in places:
-                    if p + ANCHOR + half <= len(h):
-                        keys.append((xxhash.xxh3_64_intdigest(h[p : p + ANCHOR + half].tobytes(), seed=1) - (1 << 63), p))
-                    if p >= half:
-                        keys.append((xxhash.xxh3_64_intdigest(h[p - half : p + ANCHOR].tobytes(), seed=2) - (1 << 63), p))
+                for x in places:
+                    p, first, end = x["place"], x["first"], x["first"] + x["windows"]
+                    if end > (cut := max(first, p - half)):
+                        keys.append((xxhash.xxh3_64_intdigest(h[p : p + ANCHOR + half].tobytes(), seed=1) - (1 << 63), p, cut, end - cut))
+                    if first < (cut := min(end, p - half)):
+                        keys.append((xxhash.xxh3_64_intdigest(h[p - half : p + ANCHOR].tobytes(), seed=2) - (1 << 63), p, first, cut - first))
                 if own := _by_prefix(keys):
                     n = len(own)
-                    yield pa.RecordBatch.from_arrays([pa.array([part[ROW]] * n, pa.int64()), pa.array([part["id"]] * n, pa.int64()), pa.array([x["prefix"] for x in own], pa.int64()), pa.array([x["at"] for x in own], pa.list_(pa.int32()))], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array([part[ROW]] * n, pa.int64()), pa.array([part["id"]] * n, pa.int64()), pa.array([x["prefix"] for x in own], pa.int64()), pa.array([x["at"] for x in own], _PLACES), pa.array([len(_distinct_contexts(h, x["at"])) for x in own], pa.int64())], schema=schema)
 
-    return texts.where(F.exists("x", lambda v: v["suffixes"] > group_rows)).mapInArrow(run, f"{ROW} long, id long, prefix long, at array<int>")
+    return texts.where(F.exists("x", lambda v: v["suffixes"] > group_rows)).mapInArrow(run, f"{ROW} long, id long, prefix long, at {_PLACES_SQL}, n long")
 
 
 def repeats(docs: DataFrame, group_rows: int = GROUP_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -268,7 +272,7 @@ def repeats(docs: DataFrame, group_rows: int = GROUP_ROWS) -> tuple[DataFrame, D
     copies = stage(long.select(ROW, "id", "sequence").join(first, "sequence").select(ROW, (F.col("first_id") < F.col("id")).alias("copied")))
     copied = copies.where("copied").select(ROW)
     # rows of equal sequence and equal smallest id are all kept as they are but for what smaller ids hold
-    own = profiles.join(copies.where("not copied").select(ROW), ROW).select(ROW, "id", F.explode("suffixes").alias("x")).select(ROW, "id", "x.prefix", "x.at")
+    own = profiles.join(copies.where("not copied").select(ROW), ROW).select(ROW, "id", F.explode("suffixes").alias("x")).select(ROW, "id", "x.prefix", "x.at", F.size("x.at").alias("n"))
     texts = stage(_numbered(docs).join(_placed(own), ROW))
     spans = _small_groups(_contexts(texts, False, group_rows), group_rows)
     longer = stage(texts.select(ROW, "id", "text").join(_placed(_lengthened(texts, group_rows)), ROW))

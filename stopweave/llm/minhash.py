@@ -11,9 +11,14 @@
    the threshold), then the full sets decide: 100 * intersection >= 75 * union.
 5. Components of the confirmed links by alternating large-star and small-star, until nothing changes.
 6. A hub may miss a link between two members. So buckets whose members ended in different components are looked at
-   again: every member is paired with the members of other components in its bucket, and the new pairs go through
-   step 4. Pairs inside one component can change nothing and are never made. Only buckets that were not settled by
-   the hubs come here; components are then formed once more.
+   again. Of their members' shingles, those that no other of these members has are counted: they are in no
+   intersection, which bounds a member's similarity to all others. Members whose bound is below the threshold are
+   done. The others are first paired with a second hub of their bucket, the member with the least share of such
+   shingles (the text that others were edited from, or close to it), and components are formed once more.
+7. In buckets that are still not settled every member meets the members of other components. The join keeps a pair
+   only if three tests pass: the bound of step 6, a bound from the differing bits of two bitmaps of the sets (each
+   differing bit needs a shingle that one set lacks), and the signatures' test of step 4. Kept pairs go to the full
+   sets. Pairs inside one component can change nothing and are never made.
 
 Nothing is collected to the driver but counts; every stage's table lies in the shared folder. The documents are
 scanned again for the sets of likely pairs instead of keeping all sets; their rows are known by scan order, which is
@@ -26,6 +31,8 @@ nothing and stay. Equal rows and repeated ids are linked like any equal texts. A
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,6 +50,8 @@ SEED = 20240117
 PERCENT = 75
 #: Of BANDS * ROWS one-byte minima this share must agree for a pair to reach the full sets: five deviations below 0.75.
 SKETCH_SHARE = 0.55
+#: Bits of a set's bitmap; sets of up to about as many shingles are told apart by it.
+BITS = 1024
 
 
 def shingle_hashes(text: bytes | None, cache: WordHashes, size: int = SHINGLE) -> np.ndarray:
@@ -113,18 +122,31 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return stage(found.select("rep", "text", "set_key").mapInArrow(run, "rep long, shingles binary"))
 
 
-def _agreeing(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of (a, b), a < b: those whose signatures and then whose full sets agree."""
+def _side(df: DataFrame, x: str, *cols: str) -> DataFrame:
+    return df.select(F.col("rep").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols))
+
+
+def _ordered(x, y):
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+
+def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Of (a, b), a < b: those whose sizes and signatures agree."""
     close = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
-    side = lambda df, x, *cols: df.select(F.col("rep").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols))
-    drawn = pairs.join(side(reps, "a", "n", "sketch"), "a").join(side(reps, "b", "n", "sketch"), "b").where(close)
+    drawn = pairs.join(_side(reps, "a", "n", "sketch"), "a").join(_side(reps, "b", "n", "sketch"), "b").where(close)
 
     def alike(batches):
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BANDS * ROWS) for c in ("sketch_a", "sketch_b"))
             yield batch.filter(pa.array((x == y).mean(axis=1) >= SKETCH_SHARE)).select(["a", "b"])
 
-    def confirmed(batches):
+    return stage(drawn.select("a", "b", "sketch_a", "sketch_b").mapInArrow(alike, "a long, b long"))
+
+
+def _confirmed(likely: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of (a, b): those whose full sets agree; ``sets`` has the sets of all of them."""
+
+    def run(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("shingles_a").to_pylist(), batch.column("shingles_b").to_pylist(), strict=True):
@@ -133,11 +155,61 @@ def _agreeing(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    likely = stage(drawn.select("a", "b", "sketch_a", "sketch_b").mapInArrow(alike, "a long, b long"))
-    ends = likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    sets = _full_sets(docs, reps.select("rep", "set_key").join(ends, "rep"))
-    full = likely.join(side(sets, "a", "shingles"), "a").join(side(sets, "b", "shingles"), "b")
-    return stage(full.select("a", "b", "shingles_a", "shingles_b").mapInArrow(confirmed, "a long, b long"))
+    full = likely.join(_side(sets, "a", "shingles"), "a").join(_side(sets, "b", "shingles"), "b")
+    return stage(full.select("a", "b", "shingles_a", "shingles_b").mapInArrow(run, "a long, b long"))
+
+
+def _outlines(sets: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, n, c, b0 .., k0 ..) of the rows in ``sets`` that may be linked with another one of them.
+
+    ``c`` counts the shingles that another row has too; b0 .. is a bitmap in which each shingle flips one of BITS
+    bits; k0 .. is the sketch, eight minima in a number.
+    """
+    schema = pa.schema([("rep", pa.int64()), *((f"b{i}", pa.int64()) for i in range(BITS // 64)), *((f"k{i}", pa.int64()) for i in range(BANDS * ROWS // 8))])
+
+    def each(batches):
+        for batch in batches:
+            held = [np.frombuffer(x, dtype=np.int64) for x in batch.column("shingles").to_pylist()]
+            owner = np.repeat(batch.column("rep").to_numpy(), [len(x) for x in held])
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(held) if held else [], pa.int64())], names=["rep", "shingle"])
+
+    def drawn(batches):
+        for batch in batches:
+            bits = [np.bincount((np.frombuffer(x, dtype=np.uint64) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1 for x in batch.column("shingles").to_pylist()]
+            bits = np.packbits(np.array(bits, dtype=np.uint8).reshape(-1, BITS), axis=1).view(np.int64)
+            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.int64).reshape(-1, BANDS * ROWS // 8)
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), *(pa.array(np.ascontiguousarray(c)) for c in (*bits.T, *sketch.T))], schema=schema)
+
+    own = sets.mapInArrow(each, "rep long, shingle long").groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("hi")).where("rep = hi")
+    own = own.groupBy("rep").agg(F.count("*").alias("own"))
+    known = reps.select("rep", "n", "sketch").join(sets.select("rep"), "rep").join(own, "rep", "left")
+    standing = stage(known.select("rep", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("c"), "sketch").where(100 * F.col("c") >= PERCENT * F.col("n")))
+    lines = sets.join(standing.select("rep", "sketch"), "rep").select("rep", "shingles", "sketch").mapInArrow(drawn, ", ".join(f"{f.name} long" for f in schema))
+    return stage(standing.drop("sketch").join(lines, "rep"))
+
+
+def _may_link(x: str, y: str):
+    """Whether two outlines, of which ``x`` and ``y`` are the aliases, leave a link possible."""
+    sizes = F.col(f"{x}.n") + F.col(f"{y}.n")
+    both = F.least(f"{x}.c", f"{y}.c")
+    xor = lambda c: F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))
+    total = lambda terms: reduce(lambda p, q: p + q, terms)
+    differ = total(F.bit_count(xor(f"b{i}")) for i in range(BITS // 64))
+
+    def unequal_bytes(c):
+        v = c
+        for by in (4, 2, 1):
+            v = v.bitwiseOR(F.shiftrightunsigned(v, by))
+        return F.bit_count(v.bitwiseAND(F.lit(0x0101010101010101)))
+
+    minima_apart = total(unequal_bytes(xor(f"k{i}")) for i in range(BANDS * ROWS // 8))
+    return ((100 + PERCENT) * both >= PERCENT * sizes) & ((100 + PERCENT) * (sizes - differ) >= 2 * PERCENT * sizes) & (minima_apart <= int((1 - SKETCH_SHARE) * BANDS * ROWS))
+
+
+def _unsettled(placed: DataFrame) -> DataFrame:
+    """Rows of (key, component, ..) whose bucket holds two components or more."""
+    keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    return placed.join(stage(keys), "key")
 
 
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
@@ -161,6 +233,11 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     return stage(nodes.select(F.col("u").alias("node"), "component").unionByName(nodes.select(F.col("component").alias("node"), "component").distinct()))
 
 
+def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, rep, component) for (key, rep)."""
+    return stage(members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")))
+
+
 def near_dups(docs: DataFrame) -> DataFrame:
     """For each row of ``docs`` (id, text), a table of files: ROW, id, n_shingles and component, one of its rows' numbers.
 
@@ -177,20 +254,29 @@ def near_dups(docs: DataFrame) -> DataFrame:
     draw = F.struct(F.xxhash64("rep", F.col("band") % DRAWS).alias("draw"), F.col("rep").alias("hub"))
     hubs = banded.groupBy("key").agg(F.min(draw).alias("m"), F.count("*").alias("size")).where("size > 1").select("key", F.col("m.hub").alias("hub"))
     shared = stage(banded.drop("band").join(stage(hubs), "key").select("key", "rep", "hub"))
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    pairs = shared.where("rep <> hub").select(*ordered(F.col("rep"), F.col("hub"))).distinct()
-    links = _agreeing(pairs, reps, docs)
+    pairs = shared.where("rep <> hub").select(*_ordered(F.col("rep"), F.col("hub"))).distinct()
+    likely = _likely(pairs, reps)
+    ends = likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    links = _confirmed(likely, _full_sets(docs, reps.select("rep", "set_key").join(ends, "rep")))
     found = components(links)
-    placed = stage(shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")))
-    unsettled = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    left = placed.join(stage(unsettled), "key")
-    x, y = left.alias("x"), left.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")))
-    more = across.select(*ordered(F.col("x.rep"), F.col("y.rep"))).distinct().join(pairs, ["a", "b"], "left_anti")
-    more_links = _agreeing(more, reps, docs)
-    if not more_links.isEmpty():
-        links = links.unionByName(more_links)
+    left = stage(_unsettled(_placed(shared.select("key", "rep"), found)))
+    if not left.isEmpty():
+        sets = _full_sets(docs, reps.select("rep", "set_key").join(left.select("rep").distinct(), "rep"))
+        lines = _outlines(sets, reps)
+        left = stage(left.join(lines.select("rep", "n", "c"), "rep"))
+        central = F.struct((F.col("c") / F.col("n")).alias("share"), "n", "rep")
+        hubs = stage(left.groupBy("key").agg(F.max_by(F.struct(F.col("rep").alias("hub"), F.col("component").alias("apart")), central).alias("m")).select("key", "m.*"))
+        near = left.select("key", "rep", "component").join(hubs, "key").where("component <> apart").select(*_ordered(F.col("rep"), F.col("hub"))).distinct()
+        tried = near.join(lines.alias("x"), F.col("a") == F.col("x.rep")).join(lines.alias("y"), F.col("b") == F.col("y.rep")).where(_may_link("x", "y")).select("a", "b")
+        links = links.unionByName(_confirmed(stage(tried), sets))
         found = components(links)
+        left = _unsettled(_placed(left.select("key", "rep"), found))
+        left = stage(left.join(lines, "rep"))
+        x, y = left.alias("x"), left.alias("y")
+        across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & _may_link("x", "y"))
+        more = _confirmed(stage(across.select(*_ordered(F.col("x.rep"), F.col("y.rep"))).distinct()), sets)
+        if not more.isEmpty():
+            found = components(links.unionByName(more))
     return profiles.select(ROW, "id", F.col("n").alias("n_shingles")).join(member, ROW, "left").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(ROW, "id", "n_shingles", F.coalesce("component", "rep", ROW).alias("component"))
 
 

@@ -46,6 +46,15 @@ def stage_rows(df: DataFrame) -> DataFrame:
     return stage(df.withColumn(ROW, F.monotonically_increasing_id()))
 
 
+def with_rows(df: DataFrame) -> DataFrame:
+    """``df`` itself if its rows are numbered, else ``stage_rows``.
+
+    A number is drawn once: a second scan of the same files may split them otherwise, as the split size follows the
+    cores registered at that moment.
+    """
+    return df if ROW in df.columns else stage_rows(df)
+
+
 def words(col):
     """The words of a text, unchanged: maximal runs of other characters than SPACE; null has none."""
     return F.filter(F.split(F.coalesce(col, F.lit("")), SPACE + "+"), lambda w: w != "")

@@ -21,8 +21,8 @@
    sets. Pairs inside one component can change nothing and are never made.
 
 Nothing is collected to the driver but counts; every stage's table lies in the shared folder. The documents are
-scanned again for the sets of likely pairs instead of keeping all sets; their rows are known by scan order, which is
-the same for the same files, and a row whose set has changed raises.
+numbered once, in a staged table, and that is read again for the sets of likely pairs instead of keeping all sets; a
+row whose set has changed raises.
 
 Defined results: words are maximal runs of other characters than white space, A-Z lower-cased; a text with one to
 four words has its whole sequence as its only shingle; null, empty and blank texts have no shingle, are linked with
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stopweave.llm.common import ROW, read, stage
+from stopweave.llm.common import ROW, read, stage, stage_rows, with_rows
 from stopweave.llm.hashing import WordHashes, gram_hashes
 
 SHINGLE = 5
@@ -79,8 +79,8 @@ def minima(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` (id, text) with ROW, which a second scan of the same files gives to the same rows."""
-    return docs.select(F.col("id").cast("long").alias("id"), F.col("text").cast("binary").alias("text")).withColumn(ROW, F.monotonically_increasing_id())
+    """(ROW, id, text) of ``docs`` (id, text), staged with ROW unless they have it."""
+    return with_rows(docs).select(ROW, F.col("id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
 
 
 def _profiles(docs: DataFrame) -> DataFrame:
@@ -101,7 +101,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
             cols = [batch.column(ROW), batch.column("id"), *(pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), list(schema)[2:], strict=True))]
             yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
-    return _numbered(docs).mapInArrow(run, f"{ROW} long, id long, n long, set_key binary, bands array<long>, sketch binary")
+    return docs.mapInArrow(run, f"{ROW} long, id long, n long, set_key binary, bands array<long>, sketch binary")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -115,10 +115,10 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             sets = [shingle_hashes(t, cache).tobytes() for t in batch.column("text").to_pylist()]
             if [xxhash.xxh3_128_digest(x) for x in sets] != batch.column("set_key").to_pylist():
-                raise ValueError("the documents changed between two scans; stage them first")
+                raise ValueError("the documents changed between two scans")
             yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], schema=schema)
 
-    found = _numbered(docs).select(F.col(ROW).alias("rep"), "text").join(wanted, "rep")
+    found = docs.select(F.col(ROW).alias("rep"), "text").join(wanted, "rep")
     return stage(found.select("rep", "text", "set_key").mapInArrow(run, "rep long, shingles binary"))
 
 
@@ -239,11 +239,12 @@ def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def near_dups(docs: DataFrame) -> DataFrame:
-    """For each row of ``docs`` (id, text), a table of files: ROW, id, n_shingles and component, one of its rows' numbers.
+    """For each row of ``docs`` (id, text, and ROW if they are staged with it): ROW, id, n_shingles and component, one of its rows' numbers.
 
     What many rows share (a bucket, a hub, a copied set) is joined from a table of its own, so that adaptive
     execution can split the side that holds the many rows.
     """
+    docs = _numbered(docs)
     profiles = stage(_profiles(docs))
     filled = profiles.where("n > 0").select(ROW, "id", "set_key")
     copies = stage(filled.groupBy("set_key").agg(F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", ROW)).alias("first")))
@@ -281,8 +282,8 @@ def near_dups(docs: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """ROW, id, n_shingles, keep_row and component_id (the class's smallest id) for ``docs`` (id, text)."""
-    found = stage(near_dups(docs.select("id", "text")))
+    """ROW, id, n_shingles, keep_row and component_id (the class's smallest id) for the rows of ``near_dups``."""
+    found = stage(near_dups(docs))
     first = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", ROW)).alias("first")
     least = found.groupBy("component").agg(first).select("component", F.col("first.id").alias("component_id"), F.col(f"first.{ROW}").alias("keep_row"))
     return found.join(stage(least), "component").drop("component")
@@ -290,9 +291,9 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each near-duplicate class, the one with the smallest doc_id; columns unchanged."""
-    classes = near_classes(docs.select(F.col("doc_id").alias("id"), "text"))
-    numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
-    return numbered.join(classes.where(f"{ROW} = keep_row").select(ROW), ROW, "left_semi").select(docs.columns)
+    staged = stage_rows(docs)
+    classes = near_classes(staged.select(ROW, F.col("doc_id").alias("id"), "text"))
+    return staged.join(classes.where(f"{ROW} = keep_row").select(ROW), ROW, "left_semi").select(docs.columns)
 
 
 def query(spark, sf_dir):

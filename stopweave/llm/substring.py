@@ -21,7 +21,7 @@ A window of WINDOW words that starts in a document with a smaller id too is a re
 
 Prefixes are 64-bit hashes; around a place each word is held as 32 bits, so two stretches are only taken for equal
 wrongly if every word that differs between them collides. Texts move once, for the documents that share a prefix;
-their rows are known by scan order, which is the same for the same files.
+rows are numbered once, in a staged table from which every later pass reads number, id and text.
 
 Defined results: null and empty texts have no words; a text shorter than WINDOW words is untouched; repeats within
 one document do not count, nor between rows of equal id. A null id counts as larger than all others. Kept words are
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stopweave.llm.common import ROW, read, stage
+from stopweave.llm.common import ROW, read, stage, stage_rows, with_rows
 from stopweave.llm.hashing import WordHashes, gram_hashes
 
 WINDOW = 50
@@ -107,7 +107,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
                 suffixes.append(_by_prefix(zip(*(x.tolist() for x in (prefix, at, first, count)), strict=True)))
             yield pa.RecordBatch.from_arrays([batch.column(ROW), batch.column("id"), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(suffixes, schema.field("suffixes").type)], schema=schema)
 
-    return _numbered(docs).mapInArrow(run, f"{ROW} long, id long, n_words long, sequence string, suffixes array<struct<prefix:bigint,at:{_PLACES_SQL}>>")
+    return docs.mapInArrow(run, f"{ROW} long, id long, n_words long, sequence string, suffixes array<struct<prefix:bigint,at:{_PLACES_SQL}>>")
 
 
 def _contexts(texts: DataFrame, over: bool, group_rows: int) -> DataFrame:
@@ -216,9 +216,9 @@ def _small_groups(suffixes: DataFrame, group_rows: int) -> DataFrame:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` (id, text) with ROW, which a second scan of the same files gives to the same rows."""
+    """(ROW, id, text) of ``docs`` (id, text), staged with ROW unless they have it."""
     ids = F.coalesce(F.col("id").cast("long"), F.lit(LAST_ID)).alias("id")
-    return docs.select(ids, F.col("text").cast("binary").alias("text")).withColumn(ROW, F.monotonically_increasing_id())
+    return with_rows(docs).select(ROW, ids, F.col("text").cast("binary").alias("text"))
 
 
 def _placed(own: DataFrame) -> DataFrame:
@@ -261,11 +261,12 @@ def _lengthened(texts: DataFrame, group_rows: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, group_rows: int = GROUP_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(profiles, copies, spanned) of ``docs`` (id, text), a table of files.
+    """(profiles, copies, spanned) of ``docs`` (id, text, and ROW if they are staged with it).
 
     copies has the rows whose whole word sequence stands in a row of a smaller id; spanned has the other rows with
     repeats, their text as bytes and their word spans [start, end), which may overlap.
     """
+    docs = _numbered(docs)
     profiles = stage(_profiles(docs))
     long = profiles.where(F.col("n_words") >= WINDOW)
     first = stage(long.groupBy("sequence").agg(F.min(F.struct("id", ROW)).alias("first")).select("sequence", F.col("first.id").alias("first_id"), F.col(f"first.{ROW}").alias("first_row")))
@@ -273,7 +274,7 @@ def repeats(docs: DataFrame, group_rows: int = GROUP_ROWS) -> tuple[DataFrame, D
     copied = copies.where("copied").select(ROW)
     # rows of equal sequence and equal smallest id are all kept as they are but for what smaller ids hold
     own = profiles.join(copies.where("not copied").select(ROW), ROW).select(ROW, "id", F.explode("suffixes").alias("x")).select(ROW, "id", "x.prefix", "x.at", F.size("x.at").alias("n"))
-    texts = stage(_numbered(docs).join(_placed(own), ROW))
+    texts = stage(docs.join(_placed(own), ROW))
     spans = _small_groups(_contexts(texts, False, group_rows), group_rows)
     longer = stage(texts.select(ROW, "id", "text").join(_placed(_lengthened(texts, group_rows)), ROW))
     spans = spans.unionByName(_small_groups(_contexts(longer, False, group_rows), group_rows)).unionByName(_large_groups(_contexts(longer, True, group_rows)))
@@ -357,10 +358,11 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
     Rows that lose all their words go. Columns are those of ``docs``; n_chars, where present, follows the text.
     """
-    _, copied, spanned = repeats(docs.select(F.col("doc_id").alias("id"), "text"))
+    staged = stage_rows(docs)
+    _, copied, spanned = repeats(staged.select(ROW, F.col("doc_id").alias("id"), "text"))
     cut = cut_texts(spanned).select(ROW, "kept_text").unionByName(copied.select(ROW, F.lit("").alias("kept_text")))
     own = F.struct(*docs.columns).alias("own")  # callers' names can't clash with kept_text
-    out = docs.withColumn(ROW, F.monotonically_increasing_id()).select(ROW, own).join(cut, ROW, "left").where("kept_text is null or kept_text <> ''")
+    out = staged.select(ROW, own).join(cut, ROW, "left").where("kept_text is null or kept_text <> ''")
     fields = {c: F.col("own")[c] for c in docs.columns}
     fields["text"] = F.coalesce("kept_text", fields["text"])
     if "n_chars" in fields:

@@ -326,6 +326,12 @@ def r1_j10_a7_reach(spark, d):
     return routing.reach(routing.rides(view(spark, d, "stop_calls")), view(spark, d, "stations").where("stop_id <= 20"), 480, 60, max_rides=3)
 
 
+@_query()
+def r1_reach_all_stations(spark, d):
+    """R1 in whole: from every station, with as many rides as fit. Its plain form in SQL is the one above, a part of it."""
+    return routing.reach(routing.rides(view(spark, d, "stop_calls")), view(spark, d, "stations"), 480, 60)
+
+
 @_query()
 def r2_journeys(spark, d):
     s = view(spark, d, "stations").where("stop_id <= 20")

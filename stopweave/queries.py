@@ -334,9 +334,11 @@ def r1_reach_all_stations(spark, d):
 
 @_query()
 def r2_journeys(spark, d):
-    s = view(spark, d, "stations").where("stop_id <= 20")
-    od = s.select(F.col("stop_id").alias("od_id"), F.col("stop_id").alias("origin"), ((F.col("stop_id") * 7) % 100).alias("destination"), F.lit(480).alias("depart_at"))
-    return routing.journeys(routing.rides(view(spark, d, "stop_calls")).where("arr_min <= 600"), od)
+    """From every station to every other one, over all rides and with any number of transfers."""
+    s = view(spark, d, "stations").select("stop_id")
+    od = s.withColumnRenamed("stop_id", "origin").crossJoin(s.withColumnRenamed("stop_id", "destination")).where("origin <> destination")
+    od = od.select((F.shiftleft("origin", 32) + F.col("destination")).alias("od_id"), "origin", "destination", F.lit(480).alias("depart_at"))
+    return routing.journeys(routing.rides(view(spark, d, "stop_calls")), od, max_transfers=None)
 
 
 @_query("SELECT count(DISTINCT (scheduled_departure, coalesce(headsign, ''), coalesce(route_short_name, ''), coalesce(agency_name, ''), lat, lon)) AS departures FROM departures_raw", "departures_raw")

@@ -102,15 +102,20 @@ def without_lines(text, removed):
     return F.array_join(left, "\n")
 
 
-def quality_verdicts(documents: DataFrame) -> DataFrame:
+def quality_verdicts(documents: DataFrame, **limits) -> DataFrame:
     """The figures and the verdict of each document."""
-    return judge(documents).select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("removed_chars").cast("long").alias("removed_chars"))
+    return judge(documents, **limits).select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("removed_chars").cast("long").alias("removed_chars"))
 
 
 def query(spark, sf_dir):
     return quality_verdicts(read(spark, sf_dir, "documents"))
 
 
+def query_any_host(spark, sf_dir):
+    """The absolute limit alone, so a line shared by as many documents goes in a host of any size."""
+    return quality_verdicts(read(spark, sf_dir, "documents"), share=0.0)
+
+
 SQL = r"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM t),

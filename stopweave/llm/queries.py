@@ -12,6 +12,7 @@ QUERIES = {
     "op5_toxicity": toxicity.query,
     "op6_substring": substring.query,
     "op7_quality_rules": quality.query,
+    "op7_quality_rules_any_host": quality.query_any_host,
     "op8_warc": warc.query,
     "op9_minhash": minhash.query,
     "op10_chat_format": chat.query,

@@ -2,27 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+
+
+def _pieces(events: DataFrame, key: str, ttl_ms: int) -> DataFrame:
+    """``events`` with ``cell``, the stretch of ``ttl_ms`` they lie in, and the number of their piece of the key.
+
+    Pieces lie ``ttl_ms`` or more apart, so no event can hit an anchor of another piece. Inside a cell all gaps are
+    smaller; only each cell's ends, combined within each task, meet in a window.
+    """
+    events = events.withColumn("cell", F.floor(F.col("at") / F.lit(max(ttl_ms, 1))))
+    ends = events.groupBy(key, "cell").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    order = Window.partitionBy(key).orderBy("cell")
+    far = F.coalesce(F.col("lo") - F.lag("hi").over(order) >= ttl_ms, F.lit(True))
+    cut = ends.withColumn("far", far.cast("long")).withColumn("piece", F.sum("far").over(order))
+    cut = cut.select(F.col(key).alias("of"), F.col("cell").alias("in"), "piece")
+    return events.join(cut, F.col(key).eqNullSafe(F.col("of")) & F.col("cell").eqNullSafe(F.col("in"))).drop("of", "in")
 
 
 def ttl_hits(events: DataFrame, key: str, ttl_ms: int, ts: str = "ts", id_col: str = "event_id", cacheable: str = "cacheable") -> DataFrame:
     """(key, event_id, hit) of each event in time order.
 
     An event hits while less than ``ttl_ms`` have passed since the anchor of its key; a hit leaves the anchor where
-    it is; a miss sets it if the event is cacheable.
+    it is; a miss sets it if the event is cacheable. Pieces of keys are dealt to the tasks, sorted there and streamed
+    with the anchor alone as state, so no key is ever held whole.
     """
-    one = F.struct(F.unix_millis(F.col(ts).cast("timestamp")).alias("at"), F.col(id_col).alias("id"), F.coalesce(F.col(cacheable), F.lit(False)).alias("keeps"))
-    listed = events.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("x"))
-    start = F.struct(F.lit(None).cast("long").alias("anchor"), F.array().cast("array<struct<id:bigint,hit:boolean>>").alias("out"))
-
-    def step(acc, x):
-        hit = F.coalesce(x["at"] - acc["anchor"] < ttl_ms, F.lit(False))
-        anchor = F.when(hit, acc["anchor"]).when(x["keeps"], x["at"]).otherwise(acc["anchor"])
-        return F.struct(anchor.alias("anchor"), F.concat(acc["out"], F.array(F.struct(x["id"].alias("id"), hit.alias("hit")))).alias("out"))
-
-    folded = listed.select(key, F.aggregate("x", start, step)["out"].alias("out"))
-    return folded.select(key, F.explode("out").alias("o")).select(key, F.col("o.id").alias(id_col), F.col("o.hit").alias("hit"))
+    known = events.select(F.col(key).alias("key"), F.unix_millis(F.col(ts).cast("timestamp")).alias("at"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(cacheable), F.lit(False)).alias("keeps"))
+    ordered = _pieces(known, "key", ttl_ms).repartition("key", "piece").sortWithinPartitions("key", "piece", "at", "id", "keeps")
+
+    def run(batches):
+        now, anchor = None, None
+        for batch in batches:
+            hits = []
+            for k, piece, at, keeps in zip(*(batch.column(c).to_pylist() for c in ("key", "piece", "at", "keeps")), strict=True):
+                if now != (k, piece):
+                    now, anchor = (k, piece), None
+                hit = at is not None and anchor is not None and at - anchor < ttl_ms
+                if keeps and not hit:
+                    anchor = at
+                hits.append(hit)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("id"), pa.array(hits, pa.bool_())], names=[key, id_col, "hit"])
+
+    schema = StructType([StructField(key, known.schema["key"].dataType), StructField(id_col, LongType()), StructField("hit", BooleanType())])
+    return ordered.select("key", "piece", "at", "id", "keeps").mapInArrow(run, schema)
 
 
 def request_cache_report(hits: DataFrame, key: str) -> DataFrame:

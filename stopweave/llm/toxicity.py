@@ -1,30 +1,37 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, searched with a block-max inverted index.
 
-Features are lower-cased words and their prefixes of PREFIXES letters (inflected languages change endings). A
-bounded sample of labelled rows (EXAMPLES of each class, by a hash of their ids) gives the examples and, by a
-chi-squared test, the TERMS features that tell the classes apart. Document frequencies of these features are counted
-over all documents.
-
-The index holds the examples in blocks of BLOCK rows: for each feature and block the largest weight (block maximum),
-and for each feature its postings. A query bounds every block by its features' block maxima, visits blocks from the
-best bound on, and stops when no bound can beat its K-th neighbour, so the K neighbours are exact. Neighbours vote
-with weights that fall with cosine distance, a prior fills up what few neighbours leave open, and a logistic curve
-fitted on leave-one-out votes of the examples, weighted back to the classes' true shares, turns votes into
-probabilities. The nearest examples leave as evidence.
-
-Everything broadcast or collected is bounded by EXAMPLES and TERMS, whatever the number of documents. Scoring is one
-pass over the rows without a shuffle.
-
-Defined results: texts without any feature, null and empty ones among them, get the calibrated prior. Labels are
-learnt from rows whose crc32 of the id's text is not divisible by 5; of conflicting labels of one id the larger
-counts; null labels and null ids teach nothing. Without any toxic or any clean example the score is the prior.
+Features are lower-cased words and their prefixes of PREFIX letters (inflected languages change endings). A bounded
+sample of labelled rows (EXAMPLES of each class, by a hash of their ids) gives the examples. Every feature of every
+example is in the index; none is cut off. A feature weighs (1 + log tf) * idf * phi^2: document frequencies are
+counted over all documents, and phi^2, the squared association of the feature with the label among the examples,
+tells words that speak for a class from the many that do not.
+
+The index is inverted: for each feature its postings (example, weight), in blocks of BLOCK examples, and the largest
+weight of each block. A text adds up its features' block maxima, which bounds the cosine of every block; the best
+blocks are scored from their postings first, and then all blocks whose bound reaches the K-th best of those. The K
+neighbours are therefore exact. They vote with weights that fall with cosine distance, a prior fills up what few
+neighbours leave open, and a logistic curve fitted on leave-one-out votes of the examples, weighted back to the
+classes' true shares, turns votes into probabilities. The nearest examples leave as evidence.
+
+What is collected and broadcast is bounded by the features of 2 * EXAMPLES texts, whatever the number of documents.
+Counting and scoring are one pass each over the rows; only (feature, count) pairs are shuffled.
+
+Defined results: texts without any feature, null and empty ones among them, get the calibrated prior. Very long texts
+are read in whole. Labels are learnt from rows whose crc32 of the id's text is not divisible by 5; of conflicting
+labels of one id the larger counts; null labels and null ids teach nothing; of several texts of one labelled id the
+longest counts, of equally long ones the last in order. Rows are scored one by one, so repeated rows and ids agree.
+Equally near examples count in the index's order. Without any toxic or any clean example the score is the prior. An
+empty table gives an empty result. A column with the result's name is replaced, all others pass through.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from array import array
+from bisect import bisect_left
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,37 +43,53 @@ from stopweave.llm.common import read
 
 #: Examples of each class that the index holds at most.
 EXAMPLES = 2000
-TERMS = 600
-PREFIXES = (4, 5, 6)
-LEAST_DOCUMENTS, LEAST_CHI2 = 4, 12.0
+PREFIX = 5
 BLOCK, K = 32, 15
+#: Blocks that are scored before the first bound is known.
+FIRST_BLOCKS = 4
+#: Distinct tokens that a worker remembers before it starts anew; bounds memory, never results.
+CACHE_SIZE = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def word_features(word: str) -> tuple[str, ...]:
-    return (word, *(word[:n] + "*" for n in PREFIXES if len(word) > n))
+def token_features(token: str) -> list[int]:
+    """Hashes of the features of a token without white space, in order, repeated ones too."""
+    import xxhash
 
+    names = chain.from_iterable((w, w[:PREFIX] + "*") if len(w) > PREFIX else (w,) for w in _WORD.findall(token.lower()))
+    return [xxhash.xxh3_64_intdigest(f.encode()) for f in names]
 
-class _Terms(dict):
-    """Word to the numbers of its features that are terms."""
 
-    def __init__(self, terms: list[str]):
-        self.numbers = {t: i for i, t in enumerate(terms)}
+def text_features(text: str | None) -> dict[int, int]:
+    """Feature hashes of a text, with how often they occur."""
+    out: Counter = Counter()
+    for token, n in Counter((text or "").split()).items():
+        for f in token_features(token):
+            out[f] += n
+    return out
 
-    def __missing__(self, word):
-        found = tuple(self.numbers[f] for f in word_features(word) if f in self.numbers)
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = found
-        return found
 
-    def vector(self, text: str | None) -> dict[int, int]:
-        counts = Counter(_WORD.findall((text or "").lower()))
-        out: Counter = Counter()
-        for word, n in counts.items():
-            for t in self[word]:
-                out[t] += n
-        return out
+class Vocabulary(dict):
+    """Token to the numbers of its features among ``known``, sorted hashes; filled as tokens come up."""
+
+    def __init__(self, known: np.ndarray):
+        self.known = array("Q", known.tobytes())
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        found = ((bisect_left(self.known, f), f) for f in token_features(token))
+        self[token] = ids = tuple(i for i, f in found if i < len(self.known) and self.known[i] == f)
+        return ids
+
+    def bag(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The known features of a text, as sorted numbers, and how often they occur."""
+        if len(self) > CACHE_SIZE:
+            self.clear()
+        tokens = Counter((text or "").split())
+        found = [self[t] for t in tokens]
+        ids = np.fromiter(chain.from_iterable(found), dtype=np.int64)
+        times = np.repeat(np.fromiter(tokens.values(), np.int64, len(tokens)), np.fromiter(map(len, found), np.int64, len(found)))
+        terms, place = np.unique(ids, return_inverse=True)
+        return terms, np.bincount(place, weights=times, minlength=len(terms))
 
 
 def _held_out(id_col):
@@ -75,7 +98,7 @@ def _held_out(id_col):
 
 def _examples(labels: DataFrame) -> tuple[DataFrame, list[int]]:
     """The sampled (example, toxic), and how many clean and toxic rows there are to learn from."""
-    own = labels.select(F.col("doc_id").alias("example"), F.col("toxic").cast("int").alias("toxic")).where(F.col("example").isNotNull() & F.col("toxic").isNotNull() & ~_held_out(F.col("example")))
+    own = labels.select(F.col("doc_id").cast("long").alias("example"), F.col("toxic").cast("int").alias("toxic")).where(F.col("example").isNotNull() & F.col("toxic").isNotNull() & ~_held_out(F.col("example")))
     own = own.groupBy("example").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     draw = lambda c: own.where(F.col("toxic") == c).orderBy(F.xxhash64("example"), "example").limit(EXAMPLES)
@@ -84,98 +107,144 @@ def _examples(labels: DataFrame) -> tuple[DataFrame, list[int]]:
     return frame, [sizes.get(0, 0), sizes.get(1, 0)]
 
 
-def _terms(sample: DataFrame) -> list[str]:
-    """Features that tell the sample's classes apart, by a chi-squared test on documents."""
-    schema = pa.schema([("feature", pa.string()), ("toxic", pa.int32())])
+def _example_features(docs: DataFrame, chosen: DataFrame) -> list[dict]:
+    """id, label, feature hashes and counts of the chosen examples, by id; bounded by 2 * EXAMPLES texts."""
+    schema = pa.schema([("example", pa.int64()), ("toxic", pa.int32()), ("features", pa.binary()), ("counts", pa.binary())])
 
     def run(batches):
         for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                own = {f for w in set(_WORD.findall((text or "").lower())) for f in word_features(w)}
-                yield pa.RecordBatch.from_arrays([pa.array([*own, ""], pa.string()), pa.array([toxic] * (len(own) + 1), pa.int32())], schema=schema)
-
-    found = sample.select("text", "toxic").mapInArrow(run, "feature string, toxic int").groupBy("feature").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
-    whole = found.where("feature = ''").first()
-    if whole is None or not whole["a"] or not whole["b"]:
-        return []
-    x, y = F.lit(whole["a"]), F.lit(whole["b"])
-    a, b = F.col("a"), F.col("b")
-    chi2 = (x + y) * F.pow(a * (y - b) - b * (x - a), F.lit(2)) / ((a + b) * (x + y - a - b) * x * y)
-    kept = found.where(f"feature <> '' and a + b >= {LEAST_DOCUMENTS} and a + b < {whole['a'] + whole['b']}").withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
-    return [r["feature"] for r in kept.orderBy(F.desc("chi2"), "feature").limit(TERMS).collect()]
-
-
-def _document_counts(docs: DataFrame, terms: list[str]) -> tuple[int, np.ndarray]:
-    """Rows, and rows that hold each term, over all documents."""
+            found = [text_features(t) for t in batch.column("text").to_pylist()]
+            features = [np.fromiter(x, np.uint64, len(x)).tobytes() for x in found]
+            counts = [np.fromiter(x.values(), np.int64, len(x)).tobytes() for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column("example"), batch.column("toxic"), pa.array(features, pa.binary()), pa.array(counts, pa.binary())], schema=schema)
+
+    rows = docs.select(F.col("doc_id").alias("example"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.join(F.broadcast(chosen), "example")  # at most 2 * EXAMPLES rows of two numbers
+    one = rows.groupBy("example", "toxic").agg(F.max(F.struct(F.length("text").alias("n"), "text")).alias("longest"))
+    found = one.select("example", "toxic", F.col("longest.text").alias("text")).mapInArrow(run, "example long, toxic int, features binary, counts binary")
+    return found.toArrow().sort_by("example").to_pylist()
+
+
+def _document_counts(docs: DataFrame, known: np.ndarray) -> tuple[int, np.ndarray]:
+    """Rows, and rows that hold each known feature, over all documents."""
     schema = pa.schema([("term", pa.int32()), ("n", pa.int64())])
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
-        own, counts, rows = _Terms(terms), np.zeros(len(terms), dtype=np.int64), 0
+        own, counts, rows = Vocabulary(shared.value), np.zeros(len(shared.value), dtype=np.int64), 0
         for batch in batches:
             rows += batch.num_rows
             for text in batch.column("text"):
-                counts[list(own.vector(text.as_py()))] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(terms)), pa.int32()), pa.array([rows, *counts.tolist()], pa.int64())], schema=schema)
+                counts[own.bag(text.as_py())[0]] += 1
+        seen = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, seen), pa.int32()), pa.array(np.append(rows, counts[seen]), pa.int64())], schema=schema)
 
-    found = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    return found.get(-1, 0), np.array([found.get(i, 0) for i in range(len(terms))], dtype=np.int64)
+    table = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = (table.column(c).to_numpy() for c in ("term", "n"))
+    counts = np.zeros(len(known), dtype=np.int64)
+    counts[term[term >= 0]] = n[term >= 0]
+    return int(n[term < 0].sum()), counts
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers start .. start + length - 1 of each range, one range after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
 class Index:
-    """Examples in blocks with block maxima; ``search`` gives the exact nearest ones."""
-
-    def __init__(self, vectors: list[dict[int, int]], labels: list[int], ids: list[int], terms: list[str], idf: np.ndarray, shares: list[int]):
-        self.terms, self.idf = terms, idf
-        weighted = [self.weights(v) for v in vectors]
-        # neighbours in order share blocks: sorted by label and heaviest term, so that block maxima are tight
-        order = sorted(range(len(ids)), key=lambda i: (labels[i], max(weighted[i], key=weighted[i].get, default=-1), ids[i]))
-        order = [i for i in order if weighted[i]]
-        self.labels, self.ids = np.array([labels[i] for i in order], dtype=np.int64), [ids[i] for i in order]
-        blocks = -(-len(order) // BLOCK)
-        self.weight = np.zeros((blocks * BLOCK, len(terms)), dtype=np.float64)
-        for at, i in enumerate(order):
-            for t, w in weighted[i].items():
-                self.weight[at, t] = w
-        self.maxima = self.weight.reshape(blocks, BLOCK, len(terms)).max(axis=1) if blocks else np.zeros((0, len(terms)))
+    """Inverted lists over the examples' features, in blocks with block maxima; ``search`` gives the exact nearest ones.
+
+    ``vectors`` are (feature numbers, counts) of the examples; ``idf`` is by feature number; ``shares`` counts the
+    clean and the toxic rows that the examples are drawn from.
+    """
+
+    def __init__(self, known: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[int], ids: list[int], idf: np.ndarray, shares: list[int]):
+        self.known = known
+        label = np.array(labels, dtype=np.int64)
+        self.weight = idf * self._association(vectors, label, len(known))
+        weighted = [self.unit(*v) for v in vectors]
+        # examples in order share blocks: sorted by label and heaviest feature, so that block maxima are tight
+        heaviest = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in weighted]
+        order = [i for i in sorted(range(len(ids)), key=lambda i: (labels[i], heaviest[i], ids[i])) if heaviest[i] >= 0]
+        self.labels, self.ids = label[order], [ids[i] for i in order]
+        self._invert([weighted[i] for i in order])
         self.prior = (shares[1] + 0.5) / (shares[0] + shares[1] + 1)
         self.curve = (0.0, math.log(self.prior / (1 - self.prior)))
-        self._calibrate(vectors, labels, ids, shares)
+        self._calibrate([vectors[i] for i in order], shares)
 
-    def weights(self, vector: dict[int, int]) -> dict[int, float]:
-        raw = {t: (1 + math.log(n)) * self.idf[t] for t, n in vector.items()}
-        norm = math.sqrt(sum(w * w for w in raw.values()))
-        return {t: w / norm for t, w in raw.items()} if norm else {}
-
-    def search(self, vector: dict[int, int], k: int = K, without: int | None = None) -> list[tuple[float, int]]:
+    @staticmethod
+    def _association(vectors, label: np.ndarray, size: int) -> np.ndarray:
+        """phi^2 of each feature's presence and the label; one where there is only one class."""
+        x, y = int(label.sum()), int((1 - label).sum())
+        if not x or not y:
+            return np.ones(size)
+        flat = np.concatenate([t for t, _ in vectors])
+        owner = np.repeat(label, [len(t) for t, _ in vectors])
+        a, b = (np.bincount(flat[owner == c], minlength=size).astype(np.float64) for c in (1, 0))
+        return (a * (y - b) - b * (x - a)) ** 2 / np.maximum((a + b) * (x + y - a - b) * x * y, 1.0)
+
+    def _invert(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        place = np.repeat(np.arange(len(rows), dtype=np.int32), [len(t) for t, _ in rows])
+        term = np.concatenate([t for t, _ in rows]) if rows else np.empty(0, dtype=np.int64)
+        weight = np.concatenate([w for _, w in rows]) if rows else np.empty(0)
+        order = np.lexsort((place, term))
+        self.place, term, self.posting = place[order], term[order], weight[order]
+        key = term * (len(rows) // BLOCK + 1) + self.place // BLOCK
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        self.entry_start = np.append(first, len(key)).astype(np.int32)
+        self.entry_block = (self.place[first] // BLOCK).astype(np.int32)
+        self.entry_max = np.maximum.reduceat(self.posting, first) if len(first) else np.empty(0)
+        self.term_start = np.searchsorted(term[first], np.arange(len(self.known) + 1)).astype(np.int32)
+        self.blocks = -(-len(rows) // BLOCK)
+
+    def unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Features with a weight, and their weights scaled to length one."""
+        w = (1 + np.log(counts)) * self.weight[terms]
+        terms, w = terms[w > 0], w[w > 0]
+        return terms, w / math.sqrt(float(w @ w)) if len(w) else w
+
+    def search(self, terms: np.ndarray, counts: np.ndarray, k: int = K, without: int = -1) -> list[tuple[float, int]]:
         """The k nearest examples of positive cosine, as (cosine, place), best first; ties go to the smaller place."""
-        query = self.weights(vector)
-        if not query or not len(self.labels):
-            return []
-        terms = np.fromiter(query, dtype=np.int64, count=len(query))
-        q = np.fromiter(query.values(), dtype=np.float64, count=len(query))
-        bounds = self.maxima[:, terms] @ q
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or len(best) == k and bounds[block] < best[-1][0] - 1e-9:
+        terms, q = self.unit(terms, counts)
+        starts = self.term_start[terms].astype(np.int64)
+        lengths = self.term_start[terms + 1] - starts
+        entries, q = _ranges(starts, lengths), np.repeat(q, lengths)
+        blocks = self.entry_block[entries]
+        bounds = np.bincount(blocks, weights=self.entry_max[entries] * q, minlength=self.blocks)
+        near = np.zeros(len(self.ids))
+        tried = np.zeros(self.blocks, dtype=bool)
+        tried[np.argsort(-bounds, kind="stable")[:FIRST_BLOCKS]] = True
+        now, least = tried, 0.0
+        while now.any():
+            own = now[blocks]
+            start = self.entry_start[entries[own]].astype(np.int64)
+            lengths = self.entry_start[entries[own] + 1] - start
+            at = _ranges(start, lengths)
+            near += np.bincount(self.place[at], weights=self.posting[at] * np.repeat(q[own], lengths), minlength=len(near))
+            if without >= 0:
+                near[without] = 0
+            if now is not tried:
                 break
-            lo = block * BLOCK
-            near = self.weight[lo : lo + BLOCK][:, terms] @ q
-            best += [(float(near[i]), int(lo + i)) for i in np.flatnonzero(near > 0) if lo + i != without]
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-        return best
+            if np.count_nonzero(near) >= k:
+                least = np.partition(near, -k)[-k]
+            now = (bounds > 0) & (bounds >= least - 1e-9) & ~tried
+        found = np.flatnonzero(near > 0)
+        best = found[np.lexsort((found, -near[found]))[:k]]
+        return list(zip(near[best].tolist(), best.tolist(), strict=True))
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Share of toxic weight; a neighbour weighs the inverse of its distance, the prior as much as a far one."""
         weights = [1 / (1.05 - min(1.0, c)) for c, _ in near]
-        return (self.prior + sum(w * self.labels[i] for w, (_, i) in zip(weights, near, strict=True))) / (1 + sum(weights))
+        return (self.prior + sum(w * int(self.labels[i]) for w, (_, i) in zip(weights, near, strict=True))) / (1 + sum(weights))
 
-    def _calibrate(self, vectors, labels, ids, shares) -> None:
-        n = [labels.count(0), labels.count(1)]
+    def _calibrate(self, vectors, shares) -> None:
+        y = self.labels.astype(np.float64)
+        n = [len(y) - y.sum(), y.sum()]
         if not all(n):
             return
-        places = {i: k for k, i in enumerate(self.ids)}
-        x = np.array([self._logit(self.vote(self.search(v, without=places.get(i)))) for v, i in zip(vectors, ids, strict=True)])
-        y, w = np.array(labels, dtype=np.float64), np.array([shares[c] / n[c] for c in labels])
+        x = np.array([self._logit(self.vote(self.search(*v, without=i))) for i, v in enumerate(vectors)])
+        w = np.where(y > 0, shares[1] / n[1], shares[0] / n[0])
         w /= w.mean()
         a, b = 1.0, 0.0
         for _ in range(50):  # Newton steps with a small ridge towards the votes as they are
@@ -194,8 +263,8 @@ class Index:
         p = min(max(p, 1e-4), 1 - 1e-4)
         return math.log(p / (1 - p))
 
-    def score(self, vector: dict[int, int]) -> tuple[float, list[tuple[float, int]]]:
-        near = self.search(vector)
+    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple[float, int]]]:
+        near = self.search(terms, counts)
         a, b = self.curve
         return 1 / (1 + math.exp(-(a * self._logit(self.vote(near)) + b))), near
 
@@ -203,23 +272,17 @@ class Index:
 def fit(docs: DataFrame, labels: DataFrame) -> Index:
     """The index over a bounded sample of ``labels`` (doc_id, toxic), with frequencies over all of ``docs`` (doc_id, text)."""
     chosen, shares = _examples(labels)
-    rows = docs.select(F.col("doc_id").alias("example"), "text")
-    sample = rows.join(F.broadcast(chosen), "example")  # at most 2 * EXAMPLES rows of two numbers
-    terms = _terms(sample)
-    total, counts = _document_counts(docs, terms)
+    held = _example_features(docs, chosen)
+    hashes = [np.frombuffer(r["features"], dtype=np.uint64) for r in held]
+    known = np.unique(np.concatenate(hashes)) if held else np.empty(0, dtype=np.uint64)
+    total, counts = _document_counts(docs, known)
     idf = np.log((1 + total) / (1 + counts)) + 1
-    schema = pa.schema([("example", pa.int64()), ("toxic", pa.int32()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
-
-    def run(batches):
-        own = _Terms(terms)
-        for batch in batches:
-            found = [own.vector(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("example"), batch.column("toxic"), pa.array([list(v) for v in found], pa.list_(pa.int32())), pa.array([list(v.values()) for v in found], pa.list_(pa.int32()))], schema=schema)
-
-    vectors = sample.select("example", "toxic", "text").mapInArrow(run, "example long, toxic int, terms array<int>, counts array<int>")
-    first = {r["example"]: r for r in vectors.dropDuplicates(["example"]).collect()}
-    held = [first[i] for i in sorted(first)]
-    return Index([dict(zip(r["terms"], r["counts"], strict=True)) for r in held], [r["toxic"] for r in held], [r["example"] for r in held], terms, idf, shares)
+    vectors = []
+    for r, h in zip(held, hashes, strict=True):
+        terms = np.searchsorted(known, h)
+        order = np.argsort(terms)
+        vectors.append((terms[order], np.frombuffer(r["counts"], dtype=np.int64)[order]))
+    return Index(known, vectors, [r["toxic"] for r in held], [r["example"] for r in held], idf, shares)
 
 
 EVIDENCE = "array<struct<doc_id:bigint,similarity:double,toxic:int>>"
@@ -235,9 +298,10 @@ def score_texts(docs: DataFrame, index: Index, score_col: str = "score", evidenc
 
     def run(batches):
         model = shared.value
-        own, nothing = _Terms(model.terms), model.score({})
+        own, nothing = Vocabulary(model.known), model.score(np.empty(0, dtype=np.int64), np.empty(0))
         for batch in batches:
-            found = [model.score(v) if (v := own.vector(t.as_py())) else nothing for t in batch.column(text_col)]
+            bags = (own.bag(t.as_py()) for t in batch.column(text_col))
+            found = [model.score(*x) if len(x[0]) else nothing for x in bags]
             new = [pa.array([s for s, _ in found], pa.float64())]
             if evidence_col:
                 new.append(pa.array([[{"doc_id": model.ids[i], "similarity": c, "toxic": int(model.labels[i])} for c, i in near[:3]] for _, near in found], kind))

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -8,20 +9,67 @@ from stopweave.llm import toxicity
 SCHEMA = "doc_id long, text string, score string, evidence int, lang string"
 
 
-def test_search_is_exact_cosine():
-    rng = random.Random(2)
-    terms = [f"t{k}" for k in range(40)]
-    idf = np.array([1 + rng.random() for _ in terms])
-    vectors = [{t: rng.randrange(1, 5) for t in rng.sample(range(40), rng.randrange(0, 7))} for _ in range(500)]
-    index = toxicity.Index(vectors, [rng.randrange(2) for _ in vectors], list(range(500)), terms, idf, [250, 250])
-    for _ in range(100):
-        q = {t: rng.randrange(1, 4) for t in rng.sample(range(40), rng.randrange(0, 6))}
-        dense = np.zeros(40)
-        for t, w in index.weights(q).items():
-            dense[t] = w
-        cosines = index.weight[: len(index.ids)] @ dense
-        want = sorted((-c for c in cosines if c > 0))[: toxicity.K]
-        assert np.allclose([c for c, _ in index.search(q)], [-c for c in want])
+def plain_index(seed=2, n=500, features=60):
+    """An index, and its examples as plain dicts of weights in the index's order."""
+    rng = random.Random(seed)
+    known = np.arange(features, dtype=np.uint64)
+    idf = np.array([1 + rng.random() for _ in known])
+    bags = [{t: rng.randrange(1, 5) for t in sorted(rng.sample(range(features), rng.randrange(0, 12)))} for _ in range(n)]
+    labels = [int(rng.random() < (0.8 if any(t < 6 for t in b) else 0.2)) for b in bags]
+    arrays = [(np.array(list(b), dtype=np.int64), np.array(list(b.values()), dtype=np.int64)) for b in bags]
+    return toxicity.Index(known, arrays, labels, list(range(n)), idf, [900, 100]), bags, labels, idf
+
+
+def phi2(t, bags, labels):
+    a = sum(t in b and y for b, y in zip(bags, labels, strict=True))
+    b = sum(t in b and not y for b, y in zip(bags, labels, strict=True))
+    x, y = sum(labels), len(labels) - sum(labels)
+    return (a * (y - b) - b * (x - a)) ** 2 / max((a + b) * (x + y - a - b) * x * y, 1)
+
+
+def unit(bag, weight):
+    raw = {t: (1 + math.log(n)) * weight[t] for t, n in bag.items()}
+    norm = math.sqrt(sum(w * w for w in raw.values()))
+    return {t: w / norm for t, w in raw.items()} if norm else {}
+
+
+def test_score_and_evidence_against_brute_force():
+    index, bags, labels, idf = plain_index()
+    weight = {t: idf[t] * phi2(t, bags, labels) for t in range(60)}
+    examples = [unit(b, weight) for b in bags]
+    a, b = index.curve
+    assert a > 0
+    rng = random.Random(5)
+    for _ in range(200):
+        q = {t: rng.randrange(1, 4) for t in sorted(rng.sample(range(60), rng.randrange(0, 9)))}
+        own = unit(q, weight)
+        cosines = sorted(((sum(w * e.get(t, 0) for t, w in own.items()), labels[i]) for i, e in enumerate(examples)), reverse=True)
+        near = [(c, y) for c, y in cosines if c > 1e-12][: toxicity.K]
+        score, evidence = index.score(np.array(list(q), dtype=np.int64), np.array(list(q.values()), dtype=np.int64))
+        assert np.allclose([c for c, _ in evidence], [c for c, _ in near])
+        if len(cosines) > toxicity.K and cosines[len(near) - 1][0] - cosines[len(near)][0] < 1e-9:
+            continue  # a tie at the border may be cut either way
+        votes = [1 / (1.05 - min(1, c)) for c, _ in near]
+        share = (index.prior + sum(v * y for v, (_, y) in zip(votes, near, strict=True))) / (1 + sum(votes))
+        logit = math.log(min(max(share, 1e-4), 1 - 1e-4) / (1 - min(max(share, 1e-4), 1 - 1e-4)))
+        assert abs(score - 1 / (1 + math.exp(-(a * logit + b)))) < 1e-9
+
+
+def test_every_feature_of_the_examples_is_held():
+    index, bags, _, _ = plain_index()
+    assert len(index.posting) == sum(len(b) for b in bags) - sum(int(index.weight[t] == 0) for b in bags for t in b)
+    assert (index.entry_max >= 0).all() and index.entry_start[-1] == len(index.posting)
+    for e, (lo, hi) in enumerate(zip(index.entry_start, index.entry_start[1:], strict=False)):
+        assert index.entry_max[e] == index.posting[lo:hi].max() and set(index.place[lo:hi] // toxicity.BLOCK) == {index.entry_block[e]}
+
+
+def test_bags_of_a_vocabulary():
+    known = np.unique(np.array(list(toxicity.text_features("Grimlous, grimloei! the-end the")), dtype=np.uint64))
+    terms, counts = toxicity.Vocabulary(known).bag("GRIMLOUS grimlous the\tend unknown end.")
+    got = dict(zip(known[terms].tolist(), counts.tolist(), strict=True))
+    name = lambda f: toxicity.token_features(f)[0]
+    assert got == {name("grimlous"): 2, toxicity.token_features("grimlous")[1]: 2, name("the"): 1, name("end"): 2}
+    assert len(toxicity.Vocabulary(known).bag(None)[0]) == 0
 
 
 def family(n, seed=3):
@@ -69,4 +117,5 @@ def test_held_out_rows_of_the_table(spark):
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.toxicity_scores(docs, labels).where("held_out").join(labels.select("doc_id", "toxic"), "doc_id").collect()
     wrong = sum(r["predicted"] != r["toxic"] for r in got)
-    assert len(got) > 50 and wrong <= 0.06 * len(got)
+    missed = sum(r["toxic"] and not r["predicted"] for r in got)
+    assert len(got) > 50 and wrong <= 0.03 * len(got) and missed <= 0.1 * sum(r["toxic"] for r in got)

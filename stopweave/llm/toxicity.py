@@ -1,10 +1,10 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, searched with a block-max inverted index.
 
-Features are lower-cased words and their prefixes of PREFIX letters (inflected languages change endings). A bounded
-sample of labelled rows (EXAMPLES of each class, by a hash of their ids) gives the examples. Every feature of every
-example is in the index; none is cut off. A feature weighs (1 + log tf) * idf * phi^2: document frequencies are
-counted over all documents, and phi^2, the squared association of the feature with the label among the examples,
-tells words that speak for a class from the many that do not.
+Features are lower-cased words (runs of letters) and their prefixes of PREFIXES letters (inflected languages change
+endings). A bounded sample of labelled rows (EXAMPLES of each class, by a hash of their ids) gives the examples. The
+vocabulary is all features of all examples. A feature weighs (1 + log tf) * idf * phi^2: document frequencies are counted over all
+documents, and phi^2 is the squared association of the feature with the label among the examples, less what chance
+alone gives (1 / (n - 1)). So words that speak for a class count, and those that tell nothing weigh little or nothing.
 
 The index is inverted: for each feature its postings (example, weight), in blocks of BLOCK examples, and the largest
 weight of each block. A text adds up its features' block maxima, which bounds the cosine of every block; the best
@@ -27,14 +27,10 @@ empty table gives an empty result. A column with the result's name is replaced,
 from __future__ import annotations
 
 import math
-import re
-from array import array
-from bisect import bisect_left
-from collections import Counter
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,54 +38,77 @@ from pyspark.sql import types as T
 from stopweave.llm.common import read
 
 #: Examples of each class that the index holds at most.
-EXAMPLES = 2000
-PREFIX = 5
+EXAMPLES = 1000
+PREFIXES = (5, 7)
 BLOCK, K = 32, 15
 #: Blocks that are scored before the first bound is known.
 FIRST_BLOCKS = 4
-#: Distinct tokens that a worker remembers before it starts anew; bounds memory, never results.
-CACHE_SIZE = 200_000
-_WORD = re.compile(r"[^\W\d_]+")
+#: Bytes of text that are split into features at a time; a longer text is taken by itself.
+SLICE_BYTES = 2 << 20
 
 
-def token_features(token: str) -> list[int]:
-    """Hashes of the features of a token without white space, in order, repeated ones too."""
-    import xxhash
+def _slices(texts: pa.Array):
+    """``texts`` in stretches of about SLICE_BYTES."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // SLICE_BYTES)) + 1
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)], strict=True):
+        if hi > lo:
+            yield texts.slice(lo, hi - lo)
 
-    names = chain.from_iterable((w, w[:PREFIX] + "*") if len(w) > PREFIX else (w,) for w in _WORD.findall(token.lower()))
-    return [xxhash.xxh3_64_intdigest(f.encode()) for f in names]
 
+class Vocabulary:
+    """Feature names, sorted, and the features of texts as numbers of these names."""
 
-def text_features(text: str | None) -> dict[int, int]:
-    """Feature hashes of a text, with how often they occur."""
-    out: Counter = Counter()
-    for token, n in Counter((text or "").split()).items():
-        for f in token_features(token):
-            out[f] += n
-    return out
+    def __init__(self, names: pa.Array):
+        self.names = names
+        prefix = pc.ends_with(names, "*")
+        number = pa.array(np.arange(len(names), dtype=np.int64))
+        self.words, self.prefixes = (names.filter(x) for x in (pc.invert(prefix), prefix))
+        self.word_numbers, self.prefix_numbers = (number.filter(x).to_numpy() for x in (pc.invert(prefix), prefix))
 
+    def __len__(self) -> int:
+        return len(self.names)
 
-class Vocabulary(dict):
-    """Token to the numbers of its features among ``known``, sorted hashes; filled as tokens come up."""
-
-    def __init__(self, known: np.ndarray):
-        self.known = array("Q", known.tobytes())
+    @staticmethod
+    def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """The row of each word of ``texts``, its number among the distinct words, and these."""
+        lists = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\p{L}]+")
+        words = lists.flatten().dictionary_encode()
+        return np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy()), words.indices.to_numpy(), words.dictionary
 
-    def __missing__(self, token: str) -> tuple[int, ...]:
-        found = ((bisect_left(self.known, f), f) for f in token_features(token))
-        self[token] = ids = tuple(i for i, f in found if i < len(self.known) and self.known[i] == f)
-        return ids
+    @staticmethod
+    def _prefixes(words: pa.Array, n: int) -> pa.Array:
+        return pc.binary_join_element_wise(pc.utf8_slice_codeunits(words, 0, n), "*", "")
 
-    def bag(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The known features of a text, as sorted numbers, and how often they occur."""
-        if len(self) > CACHE_SIZE:
-            self.clear()
-        tokens = Counter((text or "").split())
-        found = [self[t] for t in tokens]
-        ids = np.fromiter(chain.from_iterable(found), dtype=np.int64)
-        times = np.repeat(np.fromiter(tokens.values(), np.int64, len(tokens)), np.fromiter(map(len, found), np.int64, len(found)))
-        terms, place = np.unique(ids, return_inverse=True)
-        return terms, np.bincount(place, weights=times, minlength=len(terms))
+    @staticmethod
+    def _numbers(wanted: pa.Array, names: pa.Array, numbers: np.ndarray) -> np.ndarray:
+        at = pc.fill_null(pc.index_in(wanted, value_set=names), -1).to_numpy()
+        return np.where(at >= 0, numbers[at], -1) if len(numbers) else np.full(len(at), -1)
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> Vocabulary:
+        """All features of some texts."""
+        names = []
+        for part in _slices(texts):
+            words = cls._split(part)[2]
+            words = words.filter(pc.not_equal(words, ""))
+            names += [words, *(pc.unique(cls._prefixes(words.filter(pc.greater(pc.utf8_length(words), n)), n)) for n in PREFIXES)]
+        return cls(pc.unique(pa.chunked_array(names, pa.string())).sort() if names else pa.array([], pa.string()))
+
+    def bags(self, texts: pa.Array):
+        """For each text its known features, as sorted numbers, and how often they occur."""
+        for part in _slices(texts):
+            row, word, distinct = self._split(part)
+            length = pc.utf8_length(distinct).to_numpy()
+            known = [self._numbers(distinct, self.words, self.word_numbers)]
+            known += [np.where(length > n, self._numbers(self._prefixes(distinct, n), self.prefixes, self.prefix_numbers), -1) for n in PREFIXES]
+            number = np.concatenate([x[word] for x in known])
+            pairs = (np.tile(row, len(known)) * len(self) + number)[number >= 0]
+            pairs, counts = np.unique(pairs, return_counts=True)
+            ends = np.searchsorted(pairs, np.arange(len(part) + 1) * max(1, len(self)))
+            terms = pairs % max(1, len(self))
+            for lo, hi in zip(ends, ends[1:], strict=False):
+                yield terms[lo:hi], counts[lo:hi]
 
 
 def _held_out(id_col):
@@ -107,41 +126,32 @@ def _examples(labels: DataFrame) -> tuple[DataFrame, list[int]]:
     return frame, [sizes.get(0, 0), sizes.get(1, 0)]
 
 
-def _example_features(docs: DataFrame, chosen: DataFrame) -> list[dict]:
-    """id, label, feature hashes and counts of the chosen examples, by id; bounded by 2 * EXAMPLES texts."""
-    schema = pa.schema([("example", pa.int64()), ("toxic", pa.int32()), ("features", pa.binary()), ("counts", pa.binary())])
-
-    def run(batches):
-        for batch in batches:
-            found = [text_features(t) for t in batch.column("text").to_pylist()]
-            features = [np.fromiter(x, np.uint64, len(x)).tobytes() for x in found]
-            counts = [np.fromiter(x.values(), np.int64, len(x)).tobytes() for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column("example"), batch.column("toxic"), pa.array(features, pa.binary()), pa.array(counts, pa.binary())], schema=schema)
-
+def _example_texts(docs: DataFrame, chosen: DataFrame) -> pa.Table:
+    """(example, toxic, text) of the chosen examples, by id; bounded by 2 * EXAMPLES rows."""
     rows = docs.select(F.col("doc_id").alias("example"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.join(F.broadcast(chosen), "example")  # at most 2 * EXAMPLES rows of two numbers
     one = rows.groupBy("example", "toxic").agg(F.max(F.struct(F.length("text").alias("n"), "text")).alias("longest"))
-    found = one.select("example", "toxic", F.col("longest.text").alias("text")).mapInArrow(run, "example long, toxic int, features binary, counts binary")
-    return found.toArrow().sort_by("example").to_pylist()
+    return one.select("example", "toxic", F.col("longest.text").alias("text")).toArrow().sort_by("example")
 
 
-def _document_counts(docs: DataFrame, known: np.ndarray) -> tuple[int, np.ndarray]:
+def _document_counts(docs: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarray]:
     """Rows, and rows that hold each known feature, over all documents."""
     schema = pa.schema([("term", pa.int32()), ("n", pa.int64())])
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        own, counts, rows = Vocabulary(shared.value), np.zeros(len(shared.value), dtype=np.int64), 0
+        own, rows = shared.value, 0
+        counts = np.zeros(len(own), dtype=np.int64)
         for batch in batches:
             rows += batch.num_rows
-            for text in batch.column("text"):
-                counts[own.bag(text.as_py())[0]] += 1
+            for terms, _ in own.bags(batch.column("text")):
+                counts[terms] += 1
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, seen), pa.int32()), pa.array(np.append(rows, counts[seen]), pa.int64())], schema=schema)
 
     table = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     term, n = (table.column(c).to_numpy() for c in ("term", "n"))
-    counts = np.zeros(len(known), dtype=np.int64)
+    counts = np.zeros(len(vocabulary), dtype=np.int64)
     counts[term[term >= 0]] = n[term >= 0]
     return int(n[term < 0].sum()), counts
 
@@ -159,10 +169,10 @@ class Index:
     clean and the toxic rows that the examples are drawn from.
     """
 
-    def __init__(self, known: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[int], ids: list[int], idf: np.ndarray, shares: list[int]):
-        self.known = known
+    def __init__(self, vocabulary: Vocabulary, vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[int], ids: list[int], idf: np.ndarray, shares: list[int]):
+        self.vocabulary = vocabulary
         label = np.array(labels, dtype=np.int64)
-        self.weight = idf * self._association(vectors, label, len(known))
+        self.weight = idf * self._association(vectors, label, len(vocabulary))
         weighted = [self.unit(*v) for v in vectors]
         # examples in order share blocks: sorted by label and heaviest feature, so that block maxima are tight
         heaviest = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in weighted]
@@ -175,27 +185,28 @@ class Index:
 
     @staticmethod
     def _association(vectors, label: np.ndarray, size: int) -> np.ndarray:
-        """phi^2 of each feature's presence and the label; one where there is only one class."""
+        """phi^2 of each feature's presence and the label, less what chance gives; one where there is only one class."""
         x, y = int(label.sum()), int((1 - label).sum())
         if not x or not y:
             return np.ones(size)
         flat = np.concatenate([t for t, _ in vectors])
         owner = np.repeat(label, [len(t) for t, _ in vectors])
         a, b = (np.bincount(flat[owner == c], minlength=size).astype(np.float64) for c in (1, 0))
-        return (a * (y - b) - b * (x - a)) ** 2 / np.maximum((a + b) * (x + y - a - b) * x * y, 1.0)
+        phi2 = (a * (y - b) - b * (x - a)) ** 2 / np.maximum((a + b) * (x + y - a - b) * x * y, 1.0)
+        return np.maximum(0.0, phi2 - 1 / (x + y - 1))
 
     def _invert(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """The postings (place, weight) by feature; ``entry_*`` are their stretches within a block, with its maximum."""
         place = np.repeat(np.arange(len(rows), dtype=np.int32), [len(t) for t, _ in rows])
-        term = np.concatenate([t for t, _ in rows]) if rows else np.empty(0, dtype=np.int64)
+        term = np.concatenate([t for t, _ in rows]) if rows else np.empty(0)
         weight = np.concatenate([w for _, w in rows]) if rows else np.empty(0)
         order = np.lexsort((place, term))
-        self.place, term, self.posting = place[order], term[order], weight[order]
-        key = term * (len(rows) // BLOCK + 1) + self.place // BLOCK
-        first = np.flatnonzero(np.diff(key, prepend=-1))
-        self.entry_start = np.append(first, len(key)).astype(np.int32)
+        self.place, term, self.posting = place[order], term[order].astype(np.int64), weight[order]
+        first = np.flatnonzero(np.diff(term * (len(rows) // BLOCK + 1) + self.place // BLOCK, prepend=-1))
+        self.entry_start = np.append(first, len(term)).astype(np.int32)
         self.entry_block = (self.place[first] // BLOCK).astype(np.int32)
         self.entry_max = np.maximum.reduceat(self.posting, first) if len(first) else np.empty(0)
-        self.term_start = np.searchsorted(term[first], np.arange(len(self.known) + 1)).astype(np.int32)
+        self.term_start = np.searchsorted(term[first], np.arange(len(self.vocabulary) + 1)).astype(np.int32)
         self.blocks = -(-len(rows) // BLOCK)
 
     def unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,15 +218,17 @@ class Index:
     def search(self, terms: np.ndarray, counts: np.ndarray, k: int = K, without: int = -1) -> list[tuple[float, int]]:
         """The k nearest examples of positive cosine, as (cosine, place), best first; ties go to the smaller place."""
         terms, q = self.unit(terms, counts)
+        if not len(terms) or not self.blocks:
+            return []
         starts = self.term_start[terms].astype(np.int64)
         lengths = self.term_start[terms + 1] - starts
         entries, q = _ranges(starts, lengths), np.repeat(q, lengths)
         blocks = self.entry_block[entries]
         bounds = np.bincount(blocks, weights=self.entry_max[entries] * q, minlength=self.blocks)
-        near = np.zeros(len(self.ids))
+        near, least = np.zeros(len(self.ids)), 0.0
         tried = np.zeros(self.blocks, dtype=bool)
         tried[np.argsort(-bounds, kind="stable")[:FIRST_BLOCKS]] = True
-        now, least = tried, 0.0
+        now = tried
         while now.any():
             own = now[blocks]
             start = self.entry_start[entries[own]].astype(np.int64)
@@ -226,8 +239,7 @@ class Index:
                 near[without] = 0
             if now is not tried:
                 break
-            if np.count_nonzero(near) >= k:
-                least = np.partition(near, -k)[-k]
+            least = np.partition(near, -k)[-k] if len(near) > k else 0.0
             now = (bounds > 0) & (bounds >= least - 1e-9) & ~tried
         found = np.flatnonzero(near > 0)
         best = found[np.lexsort((found, -near[found]))[:k]]
@@ -272,17 +284,13 @@ class Index:
 def fit(docs: DataFrame, labels: DataFrame) -> Index:
     """The index over a bounded sample of ``labels`` (doc_id, toxic), with frequencies over all of ``docs`` (doc_id, text)."""
     chosen, shares = _examples(labels)
-    held = _example_features(docs, chosen)
-    hashes = [np.frombuffer(r["features"], dtype=np.uint64) for r in held]
-    known = np.unique(np.concatenate(hashes)) if held else np.empty(0, dtype=np.uint64)
-    total, counts = _document_counts(docs, known)
+    held = _example_texts(docs, chosen)
+    texts = held.column("text").combine_chunks()
+    texts = texts if isinstance(texts, pa.Array) else pa.concat_arrays(texts.chunks)
+    vocabulary = Vocabulary.of(texts)
+    total, counts = _document_counts(docs, vocabulary)
     idf = np.log((1 + total) / (1 + counts)) + 1
-    vectors = []
-    for r, h in zip(held, hashes, strict=True):
-        terms = np.searchsorted(known, h)
-        order = np.argsort(terms)
-        vectors.append((terms[order], np.frombuffer(r["counts"], dtype=np.int64)[order]))
-    return Index(known, vectors, [r["toxic"] for r in held], [r["example"] for r in held], idf, shares)
+    return Index(vocabulary, list(vocabulary.bags(texts)), held.column("toxic").to_pylist(), held.column("example").to_pylist(), idf, shares)
 
 
 EVIDENCE = "array<struct<doc_id:bigint,similarity:double,toxic:int>>"
@@ -298,10 +306,8 @@ def score_texts(docs: DataFrame, index: Index, score_col: str = "score", evidenc
 
     def run(batches):
         model = shared.value
-        own, nothing = Vocabulary(model.known), model.score(np.empty(0, dtype=np.int64), np.empty(0))
         for batch in batches:
-            bags = (own.bag(t.as_py()) for t in batch.column(text_col))
-            found = [model.score(*x) if len(x[0]) else nothing for x in bags]
+            found = [model.score(*x) for x in model.vocabulary.bags(batch.column(text_col))]
             new = [pa.array([s for s, _ in found], pa.float64())]
             if evidence_col:
                 new.append(pa.array([[{"doc_id": model.ids[i], "similarity": c, "toxic": int(model.labels[i])} for c, i in near[:3]] for _, near in found], kind))

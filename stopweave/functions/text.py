@@ -40,23 +40,32 @@ def normalize_for_search(text):
 
     Not decomposed: Hangul syllables and letters whose bare form has several characters. Null stays null.
     """
-    out = F.regexp_replace(F.translate(text, "İ" + _ACCENTED, "I" + _BARE), r"[\u0300-\u036f]", "")
+    single = {a: b for a, b in SPECIAL_LETTERS.items() if len(b) == 1}
+    letters = F.translate(text, "İ" + _ACCENTED + "".join(single), "I" + _BARE + "".join(single.values()))
+    out = F.regexp_replace(letters, r"[\u0300-\u036f]", "")
     for letter, stands in SPECIAL_LETTERS.items():
-        out = F.replace(out, F.lit(letter), F.lit(stands))
+        if letter not in single and letter != "İ":
+            out = F.replace(out, F.lit(letter), F.lit(stands))
     return F.lower(out)
 
 
-def fuzzy_match_score(query, target):
-    """0 to 100 for two normalised strings: whole equal, prefix, inside; then the best pair of their words."""
-    tokens = lambda c, n: F.filter(F.split(c, f"[{SPACES}]+"), lambda w: F.length(w) >= n)
+def search_words(text, least: int):
+    """The words of a normalised string with ``least`` letters or more."""
+    return F.filter(F.split(text, f"[{SPACES}]+"), lambda w: F.length(w) >= least)
+
 
-    def pair(q, t):
-        near = (F.length(q) >= 3) & (F.length(t) >= 3) & (F.abs(F.length(q) - F.length(t)) <= 2)
-        edits = F.levenshtein(q, t, 2)
-        typo = F.when(near & (edits == 1), 40).when(near & (edits == 2), 30)
-        return F.when(q == t, 70).when(F.startswith(t, q), 60).when(F.contains(t, q), 50).otherwise(F.coalesce(typo, F.lit(0)))
+def word_score(q, t):
+    """70 to 0 for a word of a query and one of a target: equal, prefix, inside, one or two edits."""
+    near = (F.length(q) >= 3) & (F.length(t) >= 3) & (F.abs(F.length(q) - F.length(t)) <= 2)
+    edits = F.levenshtein(q, t, 2)
+    typo = F.when(near & (edits == 1), 40).when(near & (edits == 2), 30)
+    return F.when(q == t, 70).when(F.startswith(t, q), 60).when(F.contains(t, q), 50).otherwise(F.coalesce(typo, F.lit(0)))
 
-    best = F.array_max(F.flatten(F.transform(tokens(query, 2), lambda q: F.transform(tokens(target, 1), lambda t: pair(q, t)))))
+
+def fuzzy_match_score(query, target):
+    """0 to 100 for two normalised strings: whole equal, prefix, inside; then the best pair of their words."""
+    pairs = F.transform(search_words(query, 2), lambda q: F.transform(search_words(target, 1), lambda t: word_score(q, t)))
+    best = F.array_max(F.flatten(pairs))
     some = (F.coalesce(query, F.lit("")) != "") & (F.coalesce(target, F.lit("")) != "")
     ladder = F.when(query == target, 100).when(F.startswith(target, query), 90).when(F.contains(target, query), 80).otherwise(F.coalesce(best, F.lit(0)))
     return F.when(some, ladder).otherwise(0)

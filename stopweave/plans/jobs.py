@@ -7,11 +7,18 @@ from pyspark.sql import functions as F
 
 from stopweave.operators import departures, geo
 
+_SHOWN = ("when", "planned_when", "platform", "direction", "line", "mode", "agency_name", "cancelled", "real_time", "delay_minutes")
+
 
 def departures_board(raw: DataFrame, stations: DataFrame, as_of, radius_m: float = 1500.0, n: int = 200) -> DataFrame:
     """Boards of all stations: departures within ``radius_m`` of each, live ones only, the first ``n`` by time."""
-    live = departures.recent_departures(departures.normalize_departures(raw, "event_id", "lat", "lon"), as_of)
+    known = departures.normalize_departures(raw, "event_id", "lat", "lon")
+    return station_boards(known, stations, as_of, radius_m, n).select("stop_id", "position", "event_id", *_SHOWN)
+
+
+def station_boards(known: DataFrame, stations: DataFrame, as_of, radius_m: float = 1500.0, n: int = 200, ties: tuple[str, ...] = ("event_id",)) -> DataFrame:
+    """The same from normalised departures with lat and lon; the stations, the smaller side, are spread over the grid."""
+    live = departures.recent_departures(known, as_of).withColumnsRenamed({"lat": "right_lat", "lon": "right_lon"})
     stops = stations.select(F.col("stop_id").alias("left_id"), F.col("lat").alias("left_lat"), F.col("lon").alias("left_lon"))
-    near = geo.radius_join(stops, live.withColumnsRenamed({"lat": "right_lat", "lon": "right_lon"}), radius_m)
-    board = departures.top_departures(near.withColumnRenamed("left_id", "stop_id"), "stop_id", n)
-    return board.select("stop_id", "position", "event_id", "when", "planned_when", "platform", "direction", "line", "mode", "agency_name", "cancelled", "real_time", "delay_minutes")
+    near = geo.radius_join(stops, live, radius_m, spread="left")
+    return departures.top_departures(near.withColumnRenamed("left_id", "stop_id"), "stop_id", n, ties)

@@ -98,9 +98,9 @@ def p10_f8_requests(spark, d):
     return ok.withColumn("valid", F.lit(True)).unionByName(bad.withColumn("valid", F.lit(False))).select("event_id", "request_key", "valid")
 
 
-@_query("SELECT stop_id, name FROM stations WHERE country = 'NATION_1'", "stations")
+@_query("SELECT stop_id, name FROM stations WHERE country = 'NATION_3'", "stations")
 def p11_filter_directory(spark, d):
-    return catalogue.filter_directory(view(spark, d, "stations"), "NATION_1").select("stop_id", "name")
+    return catalogue.filter_directory(view(spark, d, "stations"), "NATION_3").select("stop_id", "name")
 
 
 @_query(f"WITH {_NORMAL} SELECT event_id, coalesce(delay_minutes > 5, false) AS delayed FROM n", "departures_raw")
@@ -115,7 +115,7 @@ def p13_matches_any(spark, d):
 
 @_query(f"SELECT s.stop_id AS left_id, e.event_id AS right_id, round({_hav('s.lat', 'e.lat', 's.lon', 'e.lon')}, 2) AS distance FROM stations s JOIN departures_raw e ON {_hav('s.lat', 'e.lat', 's.lon', 'e.lon')} <= 1500", "stations", "departures_raw")
 def j1_radius_join(spark, d):
-    return geo.radius_join(_stops(spark, d), _points(spark, d, "right")).select("left_id", "right_id", F.round("distance_m", 2).alias("distance"))
+    return geo.radius_join(_stops(spark, d), _points(spark, d, "right"), spread="left").select("left_id", "right_id", F.round("distance_m", 2).alias("distance"))
 
 
 _NEAREST = f"n AS (SELECT event_id, lat, lon, stop_id, dist FROM (SELECT e.event_id, e.lat, e.lon, s.stop_id, {_hav('e.lat', 's.lat', 'e.lon', 's.lon')} AS dist, row_number() OVER (PARTITION BY e.event_id ORDER BY {_hav('e.lat', 's.lat', 'e.lon', 's.lon')}, s.stop_id) AS k FROM departures_raw e CROSS JOIN stations s) WHERE k = 1)"
@@ -159,7 +159,7 @@ def j6_f3_a6_fuzzy_join(spark, d):
 
 @_query(f"WITH {_FUZZY} SELECT query_id, target_id, score FROM f WHERE score >= 40", "search_queries")
 def j6_fuzzy_join_blocked(spark, d):
-    return search.fuzzy_join(*_names(spark, d), 40, blocked=True).select("query_id", "target_id", "score")
+    return search.fuzzy_join(*_names(spark, d), 40).select("query_id", "target_id", "score")
 
 
 _TOP = "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, length(target), target_id) AS k FROM f WHERE score >= 1)"

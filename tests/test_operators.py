@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from stopweave.functions.text import fuzzy_match_score
 from stopweave.operators import departures, geo, routing, search, state
 from stopweave.sources import files
 
@@ -41,6 +42,8 @@ def test_radius_join_equals_brute_force_without_nested_loops(spark):
     left, right = [[(i, *near()) for i in range(n)] for n in (150, 200)]
     a = spark.createDataFrame(left + [(-1, None, 1.0)], "left_id long, left_lat double, left_lon double")
     b = spark.createDataFrame(right, "right_id long, right_lat double, right_lon double")
+    other = geo.radius_join(a, b, 1500, spread="left")
+    assert {(r["left_id"], r["right_id"]) for r in other.collect()} == set(brute(left, right, 1500))
     got = geo.radius_join(a, b, 1500)
     assert {(r["left_id"], r["right_id"]) for r in got.collect()} == set(brute(left, right, 1500))
     assert "NestedLoop" not in plan(got) and "Cartesian" not in plan(got)
@@ -54,8 +57,11 @@ def test_blocked_fuzzy_join_loses_nothing(spark):
     word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randrange(2, 7)))
     q = spark.createDataFrame([(i, " ".join(word() for _ in range(rng.randrange(1, 3)))) for i in range(60)] + [(99, "a"), (98, "")], "query_id long, query string")
     t = spark.createDataFrame([(i, " ".join(word() for _ in range(rng.randrange(1, 4)))) for i in range(80)], "target_id long, target string")
-    rows = lambda b: {(r["query_id"], r["target_id"], r["score"]) for r in search.fuzzy_join(q, t, 30, blocked=b).collect()}
-    assert rows(True) == rows(False) and len(rows(False)) > 50
+    for least in (1, 40, 50, 80):
+        got = search.fuzzy_join(q, t, least)
+        want = q.crossJoin(t).withColumn("score", fuzzy_match_score(F.col("query"), F.col("target"))).where(F.col("score") >= least)
+        rows = [{(r["query_id"], r["target_id"], r["score"]) for r in df.collect()} for df in (got, want)]
+        assert rows[0] == rows[1] and len(rows[0]) > 5 and "NestedLoop" not in plan(got) and "Cartesian" not in plan(got)
 
 
 def test_ttl_fold(spark):

@@ -44,5 +44,5 @@ def filter_directory(df: DataFrame, country: str | None = None, kind: str | None
 
 
 def surprise_me(df: DataFrame, seed: int, id_col: str = "stop_id") -> DataFrame:
-    """One row by a hash of seed and id: random to look at, the same for the same seed."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col).limit(1)
+    """One row by a hash of seed and id: random to look at, the same for the same seed, in any engine that has MD5."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))), id_col).limit(1)

@@ -1,17 +1,26 @@
-"""Cutting lineage in loops."""
+"""The shared folder for checkpoints, and cutting lineage in loops."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir; a temporary one in tests."""
-    spark = df.sparkSession
-    named = spark.conf.get("spark.checkpoint.dir", None)
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir, or that is set on the context; else, in tests, a temporary one."""
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="stopweave-"))
+    held = context._jsc.sc().getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if not held.isDefined():
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = named or "file://" + tempfile.mkdtemp(prefix="stopweave-")
+        context.setCheckpointDir(named)
+    return named
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in ``checkpoint_folder``."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()

@@ -9,6 +9,8 @@ from stopweave.functions import text as tx
 from stopweave.functions import transit as tr
 from stopweave.operators import catalogue, departures, geo, routing, search, state, status
 from stopweave.plans.jobs import departures_board
+from stopweave.plans.lineage import checkpoint_folder
+from stopweave.sources import files
 
 QUERIES, ORACLES = {}, {}
 AS_OF = "2024-01-15 00:00:00"
@@ -234,7 +236,7 @@ def r3_a1_a2_a3_catalogue_stats(spark, d):
     return catalogue.catalogue_stats(catalogue.stations_by_country(view(spark, d, "stations")).withColumnRenamed("stations", "total"), *tables)
 
 
-@_query()
+@_query("SELECT * FROM stations ORDER BY md5('7:' || CAST(stop_id AS VARCHAR)), stop_id LIMIT 1", "stations")
 def l4_surprise_me(spark, d):
     return catalogue.surprise_me(view(spark, d, "stations"), 7)
 
@@ -341,22 +343,123 @@ def r2_journeys(spark, d):
     return routing.journeys(routing.rides(view(spark, d, "stop_calls")), od, max_transfers=None)
 
 
-@_query("SELECT count(DISTINCT (scheduled_departure, coalesce(headsign, ''), coalesce(route_short_name, ''), coalesce(agency_name, ''), lat, lon)) AS departures FROM departures_raw", "departures_raw")
+# The same departures seen three times: all of them, then every second one on another track, then every third one later.
+_SEEN = ["", "WHERE event_id % 2 = 0", "WHERE event_id % 3 = 0"]
+_OBSERVED = f"""o AS (SELECT TIMESTAMP '{AS_OF}' - INTERVAL 20 MINUTE AS observed_at, event_id, 0 AS later, scheduled_track FROM departures_raw
+  UNION ALL SELECT TIMESTAMP '{AS_OF}' - INTERVAL 10 MINUTE, event_id, 0, 'T2' FROM departures_raw {_SEEN[1]}
+  UNION ALL SELECT TIMESTAMP '{AS_OF}', event_id, 5, scheduled_track FROM departures_raw {_SEEN[2]})"""
+_LAST = f"""{_NORMAL}, {_OBSERVED},
+k AS (SELECT n.* REPLACE (when_ + to_minutes(later) AS when_, coalesce(nullif(o.scheduled_track, ''), platform) AS platform), delay_minutes + later AS shifted, observed_at, n.line_name AS route FROM n JOIN o USING (event_id)),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY planned_when, direction, route, agency_name, lat, lon ORDER BY observed_at DESC, when_ DESC NULLS LAST, platform DESC NULLS LAST, mode DESC NULLS LAST, cancelled DESC, real_time DESC) AS nth FROM k) WHERE nth = 1),
+b AS (SELECT stop_id, row_number() OVER (PARTITION BY stop_id ORDER BY when_, route, direction, agency_name, planned_when, l.lat, l.lon) AS position, l.* FROM stations s JOIN l ON {_hav('s.lat', 'l.lat', 's.lon', 'l.lon')} <= 1500 WHERE {_LIVE})"""
+
+
+@_query(f"WITH {_LAST} SELECT stop_id, position, (epoch_us(when_) // 1000) AS when_ms, (epoch_us(planned_when) // 1000) AS planned_ms, platform, direction, route AS line_name, mode, agency_name, cancelled, real_time, shifted AS delay_minutes, (epoch_us(observed_at) // 1000) AS observed_ms FROM b WHERE position <= 200", "stations", "departures_raw")
 def t3_stream_board(spark, d):
-    """The stream over landed observations, read back: one row for each departure key; counted."""
-    from stopweave.streaming.board import latest_observations, stream_board
+    """Three landings of observations, streamed into the table of live departures; the boards of all stations from it."""
+    from stopweave.streaming.board import live_boards, stream_board
 
     base = _shared(spark)
-    raw = view(spark, d, "departures_raw").withColumn("observed_at", F.lit(AS_OF).cast("timestamp"))
-    raw.write.parquet(f"{base}/landed")
-    observed = spark.readStream.schema(raw.schema).parquet(f"{base}/landed")
-    stream_board(observed, f"{base}/board", f"{base}/state").awaitTermination()
-    return latest_observations(spark.read.parquet(f"{base}/board").drop("batch")).agg(F.count("*").alias("departures"))
+    raw = view(spark, d, "departures_raw")
+    later = F.lit(AS_OF).cast("timestamp_ntz")
+    landings = [
+        raw.withColumn("observed_at", later - F.expr("interval 20 minutes")),
+        raw.where("event_id % 2 = 0").withColumns({"observed_at": later - F.expr("interval 10 minutes"), "scheduled_track": F.lit("T2")}),
+        raw.where("event_id % 3 = 0").withColumns({"observed_at": later, "departure": F.coalesce("departure", "scheduled_departure") + F.expr("interval 5 minutes")}),
+    ]
+    for rows in landings:
+        rows.withColumn("observed_at", F.col("observed_at").cast("timestamp")).write.mode("append").parquet(f"{base}/landed")
+    observed = spark.readStream.schema(spark.read.parquet(f"{base}/landed").schema).option("maxFilesPerTrigger", 8).parquet(f"{base}/landed")
+    stream_board(observed, f"{base}/board", f"{base}/state", late="30 minutes").awaitTermination()
+    board = live_boards(spark, f"{base}/board", view(spark, d, "stations"), _as_of())
+    return board.select("stop_id", F.col("position").cast("long").alias("position"), _ms("when").alias("when_ms"), _ms("planned_when").alias("planned_ms"), "platform", "direction", F.col("line.name").alias("line_name"), "mode", "agency_name", "cancelled", "real_time", "delay_minutes", _ms("observed_at").alias("observed_ms"))
+
+
+@_query("SELECT country, CASE WHEN count(*) % 2 = 0 THEN count(*) END AS total FROM stations GROUP BY country", "stations")
+def s1_read_stations(spark, d):
+    """Landed documents, one for each country, some without counts, read back."""
+    path = f"{_shared(spark)}/stations"
+    counted = catalogue.stations_by_country(view(spark, d, "stations"))
+    counts = F.struct(F.when(F.col("stations") % 2 == 0, F.struct(F.col("stations").alias("total"))).alias("counts"))
+    counted.select(F.create_map("country", counts).alias("countries")).write.json(path)
+    return files.read_stations(spark, path, lines=True)
+
+
+def _landed(spark, rows, field):
+    """Rows as landed documents with an array each, spread over many documents by a hash of their id."""
+    path = f"{_shared(spark)}/{field}"
+    bucket = F.xxhash64("id") % F.lit(1000)
+    rows.groupBy(bucket.alias("b")).agg(F.collect_list(F.struct(*rows.columns)).alias(field)).drop("b").write.json(path)
+    return path
+
+
+@_query("SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, n_name AS country FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def s2_read_operators(spark, d):
+    supplier, nation = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("supplier", "nation"))
+    rows = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"), F.col("n_name").alias("country"))
+    return files.read_operators(spark, _landed(spark, rows, "operators"), lines=True)
+
+
+@_query("SELECT CAST(stop_id AS VARCHAR) AS id, name, country FROM stations", "stations")
+def s3_read_ports(spark, d):
+    rows = view(spark, d, "stations").select(F.col("stop_id").cast("string").alias("id"), "name", "country")
+    return files.read_ports(spark, _landed(spark, rows, "ports"), lines=True)
+
+
+@_query("SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name FROM part")
+def s4_read_ferry_routes(spark, d):
+    rows = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"))
+    return files.read_ferry_routes(spark, _landed(spark, rows, "routes"), lines=True)
+
+
+@_query(f"WITH {_NORMAL} SELECT (epoch_us(when_) // 1000) AS when_ms, platform, direction, line_name, mode, agency_name, cancelled, real_time, delay_minutes FROM n", "departures_raw")
+def s5_read_stop_times(spark, d):
+    """Landed stop-time documents read back and normalised."""
+    raw = view(spark, d, "departures_raw")
+    at = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    place = F.struct(at("scheduled_departure").alias("scheduledDeparture"), at("departure").alias("departure"), F.col("scheduled_track").alias("scheduledTrack"), "track", "cancelled", "lat", "lon")
+    stop = F.struct("headsign", F.col("route_short_name").alias("routeShortName"), "mode", F.col("agency_name").alias("agencyName"), F.col("trip_cancelled").alias("tripCancelled"), F.col("real_time").alias("realTime"), place.alias("place"))
+    path = f"{_shared(spark)}/stop_times"
+    raw.groupBy((F.xxhash64("event_id") % 1000).alias("b")).agg(F.collect_list(stop).alias("stopTimes")).drop("b").write.json(path)
+    known = departures.normalize_departures(files.read_stop_times(spark, path, lines=True))
+    return known.select(_ms("when").alias("when_ms"), "platform", "direction", F.col("line.name").alias("line_name"), "mode", "agency_name", "cancelled", "real_time", "delay_minutes")
+
+
+@_query(f"WITH {_LATEST} SELECT system_id, CASE WHEN failed THEN 'down' ELSE 'ok' END AS status, (epoch_us(seen) // 1000) AS at_ms FROM l", "status_checks")
+def s6_k2_status_files(spark, d):
+    """A check log landed and read back, its latest statuses written as the whole status table, twice, and read."""
+    base = _shared(spark)
+    view(spark, d, "status_checks").select("system_id", "ok", F.col("checked_at").cast("timestamp").alias("checked_at")).write.parquet(f"{base}/checks")
+    latest = status.latest_status(files.read_status_checks(spark, f"{base}/checks"))
+    for _ in range(2):
+        files.write_status(latest, f"{base}/status")
+    return spark.read.parquet(f"{base}/status").select("system_id", "status", _ms("last_checked").alias("at_ms"))
+
+
+@_query("SELECT count(*) AS journeys FROM board_requests", "board_requests")
+def s7_read_search_log(spark, d):
+    path = f"{_shared(spark)}/searches"
+    view(spark, d, "board_requests").select(F.col("name").alias("query"), F.col("ts").cast("timestamp").alias("searched_at")).write.parquet(path)
+    return catalogue.journey_count(files.read_search_log(spark, path))
+
+
+@_query(f"WITH {_BOARD} SELECT stop_id, position, event_id, CAST(CAST(when_ AS DATE) AS VARCHAR) AS service_date FROM b WHERE position <= 200", "stations", "departures_raw")
+def k1_write_board(spark, d):
+    """The boards of R0 written by day of departure and read back."""
+    path = f"{_shared(spark)}/board"
+    files.write_board(r0_board(spark, d), path)
+    return spark.read.parquet(path).select("stop_id", F.col("position").cast("long").alias("position"), "event_id", F.col("service_date").cast("string").alias("service_date"))
+
+
+@_query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(event_id AS VARCHAR) WHEN event_id % 3 = 1 THEN 't' || event_id ELSE '' END AS depart_at FROM board_requests", "board_requests")
+def f12_parameter_alias(spark, d):
+    """The departure time under its two names: the first one that is not empty."""
+    text = F.col("event_id").cast("string")
+    asked = view(spark, d, "board_requests").withColumns({"departure_time": F.when(F.col("event_id") % 3 == 0, text).otherwise(""), "time": F.when(F.col("event_id") % 3 != 2, F.concat(F.lit("t"), text))})
+    return departures.normalize_requests(asked).select("event_id", "depart_at")
 
 
 def _shared(spark) -> str:
-    import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stopweave-")
-    return f"{base.rstrip('/')}/stopweave-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark).rstrip('/')}/stopweave-{uuid.uuid4().hex}"

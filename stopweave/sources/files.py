@@ -10,34 +10,35 @@ PLACE = "scheduledDeparture: string, departure: string, scheduledTrack: string,
 STOP_TIMES = f"stopTimes array<struct<headsign: string, routeShortName: string, mode: string, agencyName: string, tripCancelled: boolean, realTime: boolean, place: struct<{PLACE}>>>"
 
 
-def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def _json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """One document in each file, or with ``lines`` one in each line, which splits over tasks."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
-def read_stations(spark: SparkSession, path: str) -> DataFrame:
+def read_stations(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(country, total); a country without counts has a null total."""
-    return _json(spark, path, STATIONS).select(F.explode("countries").alias("country", "v")).select("country", F.col("v.counts.total").alias("total"))
+    return _json(spark, path, STATIONS, lines).select(F.explode("countries").alias("country", "v")).select("country", F.col("v.counts.total").alias("total"))
 
 
-def _items(spark: SparkSession, path: str, field: str, item: str) -> DataFrame:
-    return _json(spark, path, f"{field} array<struct<{item}>>").select(F.explode(field).alias("x")).select("x.*")
+def _items(spark: SparkSession, path: str, field: str, item: str, lines: bool) -> DataFrame:
+    return _json(spark, path, f"{field} array<struct<{item}>>", lines).select(F.explode(field).alias("x")).select("x.*")
 
 
-def read_operators(spark: SparkSession, path: str, item: str = "id: string, name: string, country: string") -> DataFrame:
-    return _items(spark, path, "operators", item)
+def read_operators(spark: SparkSession, path: str, item: str = "id: string, name: string, country: string", lines: bool = False) -> DataFrame:
+    return _items(spark, path, "operators", item, lines)
 
 
-def read_ports(spark: SparkSession, path: str, item: str = "id: string, name: string, country: string") -> DataFrame:
-    return _items(spark, path, "ports", item)
+def read_ports(spark: SparkSession, path: str, item: str = "id: string, name: string, country: string", lines: bool = False) -> DataFrame:
+    return _items(spark, path, "ports", item, lines)
 
 
-def read_ferry_routes(spark: SparkSession, path: str, item: str = "id: string, name: string") -> DataFrame:
-    return _items(spark, path, "routes", item)
+def read_ferry_routes(spark: SparkSession, path: str, item: str = "id: string, name: string", lines: bool = False) -> DataFrame:
+    return _items(spark, path, "routes", item, lines)
 
 
-def read_stop_times(spark: SparkSession, path: str) -> DataFrame:
+def read_stop_times(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Stop-times with flat, snake-case columns; a file without any gives no rows."""
-    x = _json(spark, path, STOP_TIMES).select(F.explode("stopTimes").alias("x")).where("x is not null")
+    x = _json(spark, path, STOP_TIMES, lines).select(F.explode("stopTimes").alias("x")).where("x is not null")
     names = {"headsign": "headsign", "routeShortName": "route_short_name", "mode": "mode", "agencyName": "agency_name", "tripCancelled": "trip_cancelled", "realTime": "real_time", "place.scheduledDeparture": "scheduled_departure", "place.departure": "departure", "place.scheduledTrack": "scheduled_track", "place.track": "track", "place.cancelled": "cancelled", "place.lat": "lat", "place.lon": "lon"}
     return x.select(*(F.col(f"x.{a}").alias(b) for a, b in names.items()))
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stopweave.operators.departures import normalize_departures
+from stopweave.plans.jobs import station_boards
 
-#: What tells one departure from another; feeds carry no trip id.
-DEPARTURE_KEY = ["planned_when", "direction", "line", "agency_name", "lat", "lon"]
+#: What tells one departure from another; feeds carry no trip id. The mode and the times may change between observations.
+DEPARTURE_KEY = ["planned_when", "direction", "line_name", "agency_name", "lat", "lon"]
+_FIELDS = "observed_at timestamp, lat double, lon double, when timestamp, planned_when timestamp, platform string, direction string, line struct<name: string, product: string>, mode string, agency_name string, cancelled boolean, real_time boolean, delay_minutes long"
 
 
 def live_departures(observations: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -19,23 +21,64 @@ def live_departures(observations: DataFrame, late: str = "10 minutes") -> DataFr
 
 
 def latest_observations(df: DataFrame) -> DataFrame:
-    """The last observation of each departure."""
-    order = Window.partitionBy(*DEPARTURE_KEY).orderBy(F.desc("observed_at"))
-    return df.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    """The last observation of each departure; of several at one time the greatest by its fields."""
+    keyed = df.withColumn("line_name", F.col("line.name"))
+    ties = [F.desc(c) for c in ("observed_at", "when", "platform", "mode", "cancelled", "real_time")]
+    order = Window.partitionBy(*DEPARTURE_KEY).orderBy(*ties)
+    return keyed.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n", "line_name")
+
+
+def _folder(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    where, fs = _folder(spark, path)
+    if not fs.exists(where):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(where)]
+    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+
+
+def read_live(spark: SparkSession, path: str) -> DataFrame:
+    """The last observation of each departure that ``stream_board`` holds."""
+    known = _versions(spark, path)
+    return spark.read.schema(_FIELDS).parquet(f"{path}/version={known[-1]}") if known else spark.createDataFrame([], _FIELDS)
 
 
 def stream_board(observations: DataFrame, path: str, checkpoint: str, late: str = "10 minutes"):
-    """Start the stream; each batch adds its latest observations under ``path``, partitioned by batch.
+    """Start the stream; each batch replaces the table of live departures under ``path`` by a new version.
 
-    ``latest_observations`` over what is read back gives the board. A repeated batch replaces itself.
+    A version holds the last observation of each departure, whatever the order of arrival. Departures that have left,
+    seen from the latest observation, go once nothing within ``late`` can speak of them any more, so the table stays
+    as small as what is live. A repeated batch replaces its own version; the two newest versions are kept.
     """
 
     def put(batch: DataFrame, number: int) -> None:
-        latest_observations(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark = batch.sparkSession
+        before = [v for v in _versions(spark, path) if v < number]
+        seen = batch.select(F.col("observed_at"), *(c for c in batch.columns if c != "observed_at"))
+        if before:
+            seen = seen.unionByName(spark.read.schema(_FIELDS).parquet(f"{path}/version={before[-1]}"))
+        now = seen.agg(F.max("observed_at").alias("now"))
+        gone = (F.unix_millis("when") <= F.unix_millis("now") - 120_000) & (F.col("observed_at") < F.col("now") - F.expr(f"interval {late}"))
+        kept = latest_observations(seen).join(F.broadcast(now)).where(~F.coalesce(gone, F.lit(False))).drop("now")  # one row
+        kept.write.mode("overwrite").parquet(f"{path}/version={number}")
+        for v in before[:-1]:
+            where, fs = _folder(spark, f"{path}/version={v}")
+            fs.delete(where, True)
 
     return live_departures(observations, late).writeStream.option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start()
 
 
+def live_boards(spark: SparkSession, path: str, stations: DataFrame, as_of, radius_m: float = 1500.0, n: int = 200) -> DataFrame:
+    """Boards of all stations from the live departures: departed ones dropped, the first ``n`` of each station by time."""
+    live = read_live(spark, path).withColumns({"at_lat": F.col("lat"), "at_lon": F.col("lon")})
+    board = station_boards(live, stations, as_of, radius_m, n, ("agency_name", "planned_when", "at_lat", "at_lon"))
+    return board.select("stop_id", "position", *(c for c in live.columns if c not in ("lat", "lon", "at_lat", "at_lon")), F.col("at_lat").alias("lat"), F.col("at_lon").alias("lon"))
+
+
 def stream_journey_count(log: DataFrame):
     """A running count of searches, for an output mode of complete or update."""
     return log.groupBy().agg(F.count("*").alias("journeys"))

@@ -6,7 +6,7 @@ ever held whole. A turn's content is a text, or a list of typed parts in which a
 document part by an ordered placeholder, records its reference and counts the tokens it will expand to.
 
 Control strings in texts are escaped reversibly: ``<``, any number of backslashes, ``|`` gets one backslash more, so
-``<|`` occurs in the output only where the template wrote it. A newline in a role is written ``<|nl|>``.
+``<|`` occurs in the output only where the template wrote it; adjoining text parts are escaped as one text. A newline in a role is written ``<|nl|>``.
 
 Reading back parses the segments, not the input. For digests over a whole conversation the segments are sorted by
 conversation and turn within hash partitions and streamed, so memory is bounded by a batch even if one conversation
@@ -44,10 +44,19 @@ def unescape(text: str) -> str:
 
 
 class Visitor:
-    """Walks the parts of one turn; ``out`` is the flattened content, ``attachments`` what it refers to."""
+    """Walks the parts of one turn; ``content`` is what they flatten to, ``attachments`` what it refers to.
+
+    Texts that adjoin are escaped as one, so no control string arises where they meet.
+    """
 
     def __init__(self):
-        self.out, self.attachments, self.tokens = [], [], 0
+        self.out, self.texts, self.attachments, self.tokens = [], [], [], 0
+
+    def content(self) -> str:
+        if self.texts:
+            self.out.append(escape("".join(self.texts)))
+            self.texts = []
+        return "".join(self.out)
 
     def visit(self, part: dict) -> None:
         kind = part["type"] or "text"
@@ -57,10 +66,11 @@ class Visitor:
         method(part)
 
     def visit_text(self, part):
-        self.out.append(escape(part["text"] or ""))
+        self.texts.append(part["text"] or "")
 
     def _attach(self, part, kind):
         n = max(1, part["units"] or 1) * TOKENS_PER_UNIT[kind]
+        self.content()
         self.out.append(f"<|{kind}_{len(self.attachments)}|>")
         self.attachments.append({"place": len(self.attachments), "type": kind, "uri": part["uri"] or "", "tokens": n})
         self.tokens += n
@@ -97,7 +107,7 @@ def format_turns(turns: DataFrame, content_col: str = "text", trained_role: str
                 v = Visitor()
                 for part in x["parts"] or ():
                     v.visit(part)
-                head, body = START + escape(x["role"]).replace("\n", NEWLINE) + "\n", "".join(v.out)
+                head, body = START + escape(x["role"]).replace("\n", NEWLINE) + "\n", v.content()
                 end = len(head) + len(body) if x["role"] == trained_role else len(head)
                 rows.append({"conv_id": x["conv_id"], "turn": x["turn"], "segment": head + body + END + "\n", "loss_start": len(head), "loss_end": end, "expanded_tokens": v.tokens, "attachments": v.attachments})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)

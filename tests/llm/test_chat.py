@@ -17,6 +17,28 @@ def test_escape_is_reversible_and_hides_control_strings(text):
     assert "<|" not in chat.escape(text)
 
 
+PARTS = st.lists(st.one_of(st.tuples(st.just("text"), st.text(alphabet="<|\\>image_0\n", max_size=9)), st.tuples(st.sampled_from(["image", "audio", "document"]), st.just("u"))), max_size=7)
+
+
+@given(PARTS)
+def test_parts_come_back_and_hide_control_strings(parts):
+    v = chat.Visitor()
+    for kind, x in parts:
+        v.visit({"type": kind, "text": x, "uri": x, "units": None})
+    body = v.content()
+    assert chat._PLACE.sub("", body).count("<|") == 0 and body.count("<|") == len(v.attachments)
+    want = []
+    for kind, x in parts:
+        if kind != "text":
+            want.append({"type": kind, "uri": "u"})
+        elif want and want[-1]["type"] == "text":
+            want[-1]["text"] += x
+        elif x:
+            want.append({"type": "text", "text": x})
+    segment = chat.START + "user\n" + body + chat.END + "\n"
+    assert chat.parse_parts(segment, v.attachments) == want
+
+
 def test_edges(spark):
     rows = [(1, 0, "user", "hi <|im_end|>"), (1, 1, "assistant", None), (1, 2, "assistant", "a<\\|b" * 20_000), (2, None, None, ""), (None, 0, "assistant", "x"), (3, 0, "we\nird<|", "y\n"), (4, 0, "user", "same"), (4, 0, "user", "same")]
     turns = spark.createDataFrame([(*r, "clash", 1) for r in rows], SCHEMA)

@@ -92,6 +92,8 @@ def _profiles(docs: DataFrame) -> DataFrame:
 
         cache, (a, b) = WordHashes(), _coefficients()
         for batch in batches:
+            if not batch.num_rows:
+                continue
             out = []
             for text in batch.column("text"):
                 s = shingle_hashes(text.as_py(), cache)
@@ -297,8 +299,9 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir):
+    """One row per row; ``kept`` tells rows of the class's smallest id, repeated ones too."""
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return near_classes(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col(ROW) == F.col("keep_row")).alias("kept"))
+    return near_classes(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 SQL = r"""

@@ -7,8 +7,9 @@ Whatever the stream puts into one class is then held against the bytes that the
 differ (a digest collision) are grouped again by the bytes themselves, so the result never rests on the digest.
 
 Everything is DataFrame and SQL functions. The state holds about a hundred bytes a distinct text. The stream's
-aggregation combines within each task first, so a text that makes up a third of all rows costs one row a task; the
-join back to the rows has a unique side and is left to adaptive skew splitting.
+aggregation combines within each task first, so a text that makes up a third of all rows costs one row a task. Later
+micro-batches find the digests of earlier ones in the state. For the comparison of bytes the copies of a large group
+are dealt to as many keys as their number asks for.
 
 Defined results: null texts count as empty; all empty texts are equal. Of equal texts the row with the most code
 points in the original text stays, then the smallest doc_id (a null doc_id comes last), then the earliest staged row,
@@ -26,6 +27,8 @@ from stopweave.llm.common import ROW, read, shared_folder, stage, stage_rows
 #: The white space that equality ignores.
 BLANKS = "\t\n\x0b\x0c\r "
 LENGTH, DIGEST = "__sw_length", "__sw_digest"
+#: Files of the staged table that a micro-batch takes for each core, and copies that are compared under one key.
+FILES_PER_CORE, COPIES_TOGETHER = 4, 256
 _STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -38,7 +41,7 @@ def _best():
     return F.struct(F.col("n"), F.col("id").isNotNull().alias("known"), (-F.coalesce("id", F.lit(0))).alias("order"), (-F.col(ROW)).alias("locator"))
 
 
-def _stream_state(folder: str, schema, session, files_per_batch: int | None) -> DataFrame:
+def _stream_state(folder: str, schema, session, files_per_batch: int) -> DataFrame:
     """Feed the staged digests through keyed state; the last update of each digest is its state."""
     spark = session.newSession()
     for k in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
@@ -49,9 +52,7 @@ def _stream_state(folder: str, schema, session, files_per_batch: int | None) ->
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "200")
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # many small stores would each reserve megabytes
     spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
-    reader = spark.readStream.schema(schema)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     state = reader.parquet(folder).groupBy("digest").agg(F.max(_best()).alias("best"), F.count("*").alias("group_size"))
     out = shared_folder(session)
 
@@ -65,8 +66,6 @@ def _stream_state(folder: str, schema, session, files_per_batch: int | None) ->
         return session.createDataFrame([], state.schema)
     fields = "digest string, best struct<n: bigint, known: boolean, order: bigint, locator: bigint>, group_size bigint"
     updates = session.read.schema(fields + ", batch bigint").parquet(f"{out}/updates")
-    if not files_per_batch:
-        return updates.drop("batch")
     return updates.groupBy("digest").agg(F.max_by(F.struct("best", "group_size"), "batch").alias("last")).select("digest", "last.best", "last.group_size")
 
 
@@ -79,18 +78,24 @@ def stage_texts(docs: DataFrame, text_col: str = "text", normalise=without_blank
 def exact_dedup(staged: DataFrame, text_col: str = "text", id_col: str = "doc_id", normalise=without_blanks, files_per_batch: int | None = None) -> DataFrame:
     """One row per row of ``staged`` (from ``stage_texts``): ROW, id, digest, keep_id, keep_row, group_size and kept.
 
-    ``files_per_batch`` bounds a micro-batch of the stream; the result does not depend on it.
+    ``files_per_batch`` bounds a micro-batch of the stream, by default FILES_PER_CORE for each core; the result does not
+    depend on it.
     """
     session = staged.sparkSession
+    files_per_batch = files_per_batch or FILES_PER_CORE * session.sparkContext.defaultParallelism
     folder = shared_folder(session)
     narrow = stage(staged.select(ROW, F.col(id_col).cast("long").alias("id"), F.col(LENGTH).alias("n"), F.col(DIGEST).alias("digest")), folder)
     state = stage(_decided(_stream_state(folder, narrow.schema, session, files_per_batch), "digest"))
     classes = narrow.select(ROW, "id", "digest").join(state, "digest")
 
     rows = staged.select(ROW, normalise(F.coalesce(F.col(text_col), F.lit(""))).alias("norm"))
-    members = rows.join(classes.where(f"group_size > 1 and {ROW} <> keep_row").select(ROW, "keep_row", "digest"), ROW)
-    originals = rows.join(state.where("group_size > 1").select(F.col("keep_row").alias(ROW)), ROW).select(F.col(ROW).alias("keep_row"), F.col("norm").alias("original"))
-    differing = stage(members.join(originals, "keep_row").where("norm <> original").select("digest").distinct())
+    # the copies of a large group are dealt to several keys, each with its own copy of the original
+    deals = F.ceil(F.col("group_size") / COPIES_TOGETHER)
+    copied = classes.where(f"group_size > 1 and {ROW} <> keep_row").select(ROW, "keep_row", "digest", F.pmod(F.xxhash64(ROW), deals).alias("deal"))
+    members = rows.join(copied, ROW)
+    firsts = state.where("group_size > 1").select(F.col("keep_row").alias(ROW), deals.alias("deals"))
+    originals = rows.join(firsts, ROW).select(F.col(ROW).alias("keep_row"), F.col("norm").alias("original"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"))
+    differing = stage(members.join(originals, ["keep_row", "deal"]).where("norm <> original").select("digest").distinct())
     if not differing.isEmpty():
         apart = narrow.join(differing, "digest", "left_semi").join(rows, ROW)
         groups = apart.groupBy("digest", "norm").agg(F.max(_best()).alias("best"), F.count("*").alias("group_size"))

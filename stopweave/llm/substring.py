@@ -19,8 +19,8 @@ A window of WINDOW words that starts in a document with a smaller id too is a re
    two documents are the deep internal nodes. All suffixes below such a node but those of its smallest document are
    repeats; adjoining ones make up the maximal repeats, which leave as spans.
 
-Prefixes are 64-bit hashes; around a place each word is held as 32 bits, so two stretches are only taken for equal
-wrongly if every word that differs between them collides. Texts move once, for the documents that share a prefix;
+Prefixes are 64-bit hashes; around a place each word is held as 64 bits, so two stretches are only taken for equal
+wrongly if every word that differs between them collides; surroundings are told apart by 128 bits. Texts move once, for the documents that share a prefix;
 rows are numbered once, in a staged table from which every later pass reads number, id and text.
 
 Defined results: null and empty texts have no words; a text shorter than WINDOW words is untouched; repeats within
@@ -115,7 +115,7 @@ def _contexts(texts: DataFrame, over: bool, group_rows: int) -> DataFrame:
 
     ``firsts`` has the words where the context starts. ``around`` hashes the whole context with the place in it: rows of a prefix that agree in it differ in their document only.
     """
-    schema = pa.schema([("prefix", pa.int64()), ("around", pa.int64()), ("id", pa.int64()), (ROW, pa.int64()), ("firsts", pa.list_(pa.int32())), ("context", pa.binary())])
+    schema = pa.schema([("prefix", pa.int64()), ("around", pa.binary()), ("id", pa.int64()), (ROW, pa.int64()), ("firsts", pa.list_(pa.int32())), ("context", pa.binary())])
 
     def run(batches):
         import xxhash
@@ -123,17 +123,17 @@ def _contexts(texts: DataFrame, over: bool, group_rows: int) -> DataFrame:
         cache = WordHashes()
         for batch in batches:
             for part in batch.to_pylist():
-                h = cache.of((part["text"] or b"").split()).astype(np.uint32)
+                h = cache.of((part["text"] or b"").split())
                 rows = []
                 for x in part["x"]:
                     if (x["suffixes"] > group_rows) != over:
                         continue
                     for (offset, context), at in _distinct_contexts(h, x["at"]).items():
-                        rows.append((x["prefix"], xxhash.xxh3_64_intdigest(context, seed=offset) - (1 << 63), part["id"], part[ROW], at, context))
+                        rows.append((x["prefix"], xxhash.xxh3_128_digest(context, seed=offset), part["id"], part[ROW], at, context))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return texts.mapInArrow(run, f"prefix long, around long, id long, {ROW} long, firsts array<int>, context binary")
+    return texts.mapInArrow(run, f"prefix long, around binary, id long, {ROW} long, firsts array<int>, context binary")
 
 
 def tree_windows(contexts: list[bytes], window: int = WINDOW) -> list[np.ndarray]:
@@ -141,9 +141,9 @@ def tree_windows(contexts: list[bytes], window: int = WINDOW) -> list[np.ndarray
 
     Prefix doubling: suffixes that agree in their first 2k words get one name from the pair of their names at depth k.
     """
-    texts = [np.frombuffer(c, dtype=np.uint32) for c in contexts]
+    texts = [np.frombuffer(c, dtype=np.uint64) for c in contexts]
     starts = np.cumsum([0, *map(len, texts)])
-    whole = np.concatenate(texts) if texts else np.empty(0, dtype=np.uint32)
+    whole = np.concatenate(texts) if texts else np.empty(0, dtype=np.uint64)
     names = pd.factorize(whole)[0].astype(np.int64)
     room = np.repeat(starts[1:], np.diff(starts)) - np.arange(len(whole))  # words from here to the end of the text
     depth = 1
@@ -160,7 +160,7 @@ def _window_keys(context: bytes, count: int) -> list[bytes]:
     """128-bit names of a context's windows that hold in any group; for groups that are cut into blocks."""
     import xxhash
 
-    return [xxhash.xxh3_128_digest(context[4 * k : 4 * (k + WINDOW)]) for k in range(count)]
+    return [xxhash.xxh3_128_digest(context[8 * k : 8 * (k + WINDOW)]) for k in range(count)]
 
 
 def _spans(flags: np.ndarray, firsts: list[int]) -> list[tuple[int, int]]:
@@ -290,12 +290,12 @@ def _large_groups(large: DataFrame) -> DataFrame:
     """
 
     def names(batches):
-        schema = pa.schema([("around", pa.int64()), ("window", pa.binary()), ("k", pa.int32()), ("id", pa.int64())])
+        schema = pa.schema([("around", pa.binary()), ("window", pa.binary()), ("k", pa.int32()), ("id", pa.int64())])
         for batch in batches:
             for around, context, i in zip(*(batch.column(c).to_pylist() for c in ("around", "context", "id")), strict=True):
-                n = len(context) // 4 - WINDOW + 1
+                n = len(context) // 8 - WINDOW + 1
                 if n > 0:
-                    yield pa.RecordBatch.from_arrays([pa.array([around] * n, pa.int64()), pa.array(_window_keys(context, n), pa.binary()), pa.array(range(n), pa.int32()), pa.array([i] * n, pa.int64())], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array([around] * n, pa.binary()), pa.array(_window_keys(context, n), pa.binary()), pa.array(range(n), pa.int32()), pa.array([i] * n, pa.int64())], schema=schema)
 
     def spans(batches):
         for batch in batches:
@@ -307,7 +307,7 @@ def _large_groups(large: DataFrame) -> DataFrame:
             yield _batch(out)
 
     alike = large.groupBy("around").agg(F.min("id").alias("id"), F.min("context").alias("context"))
-    windows = stage(alike.mapInArrow(names, "around long, window binary, k int, id long"))
+    windows = stage(alike.mapInArrow(names, "around binary, window binary, k int, id long"))
     least = stage(windows.groupBy("window").agg(F.min("id").alias("least")))
     known = stage(windows.join(least, "window").groupBy("around").agg(F.collect_list(F.struct("k", "least")).alias("windows")))
     back = large.select(ROW, "id", "firsts", "around").join(known, "around")

@@ -62,6 +62,12 @@ def test_spans_are_maximal_repeats(spark):
     assert len(found) == 1 and substring._covered([x.asDict() for x in found[0]["spans"]]) == [(2, 112)]
 
 
+def test_words_whose_hashes_share_half_their_bits(spark):
+    same = [f"s{k}" for k in range(49)]
+    docs = spark.createDataFrame([(1, " ".join([*same, "w18676"])), (2, " ".join([*same, "w34583"]))], "doc_id long, text string")
+    assert [r["n_removed"] for r in substring.substring_digests(docs).collect()] == [0, 0]
+
+
 def test_oracle_and_empty(spark, sf_dir):
     assert same_rows(QUERIES["op6_substring"](spark, sf_dir), ORACLES["op6_substring"], sf_dir) == 200
     assert substring.substring_digests(spark.createDataFrame([], SCHEMA)).collect() == []

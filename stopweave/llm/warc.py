@@ -1,18 +1,24 @@
 """A deterministic sharded WARC writer, and a reader for what it writes.
 
-Writing: of equal payloads of some size the smallest page_id becomes the response record and the others revisit it;
-only digests are grouped, and the payloads move twice, once to their digest's decision and once to their shard. Exact counts over a bounded histogram of page_id give shard boundaries
-that depend on the data alone, so the same pages give the same files, whatever the cluster. Each shard is sorted by
-page_id within its partition and streamed out as one gzip member a record, rolling to a new file once the compressed
-size reaches a limit. A task writes under a temporary name and renames a file when it is complete; because content
-and names are deterministic, a repeated task replaces a file by itself. Last, a manifest (file, records, bytes,
-SHA-256) is written; readers take only what the manifest lists.
+1. Pages of equal page_id, payload and url collapse into one row with their number, so a page that makes up a third of
+   all rows costs one row a task. Of equal payloads of some size the smallest page_id becomes the response record and
+   the others revisit it; this is decided on rows without payloads.
+2. These narrow rows are sorted by range, and a running sum of their bytes in that order, exact over all ranges, gives
+   each its shard: about SHARD_BYTES each, however the ids are spread. Shards depend on the data alone, so the same
+   pages give the same files, whatever the cluster.
+3. Payloads move to their row's key and then to their shard's task, where they are sorted and streamed out as one gzip
+   member a record, rolling to a new file once the compressed size reaches a limit. Shards are dealt to tasks by their
+   number. Headers, lengths and digests are computed from the payload as it is written.
+4. A task writes under a temporary name and renames a file when it is complete; because content and names are
+   deterministic, a repeated task replaces a file by itself. Last, a manifest (file, records, bytes, SHA-256) is
+   written; readers take only what the manifest lists.
 
 The output folder must be one that executors and driver share; it is reached through ``pyarrow.fs``.
 
-Defined results: null html is an empty payload; a null url gives ``urn:page:<id>``; of rows with equal payload and
-page_id the one with the smallest url is the response. A page_id may repeat or be null (nulls sort first but are never
-preferred as the response). An empty table writes an empty manifest and no file.
+Defined results: null html is an empty payload; a null or empty url gives ``urn:page:<id>``; of rows with equal payload
+and page_id the one with the smallest url is the response. A page_id may repeat or be null (nulls sort last and are
+never preferred as the response). Very long payloads are one record each. An empty table writes an empty manifest and
+no file. Other columns than page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ import zlib
 from datetime import UTC, datetime
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stopweave.llm.common import read, shared_folder, stage
@@ -31,10 +37,13 @@ from stopweave.llm.common import read, shared_folder, stage
 #: Payloads below this size are always written in full.
 LEAST_REVISIT_BYTES = 100
 ROLL_BYTES = 32 << 20
-#: Uncompressed payload bytes that one task writes.
-SHARD_BYTES = 64 << 20
-#: Cells of the page_id histogram that shard boundaries are chosen from.
-CELLS = 4096
+#: Bytes of records before compression that a shard holds, and what a record's headers count for.
+SHARD_BYTES, HEADER_BYTES = 64 << 20, 400
+#: Records of one repeated page that a row stands for at most.
+COPIES_TOGETHER = 10_000
+#: Tasks that shards are dealt to at most; a task writes its shards one after the other.
+MOST_TASKS = 20_000
+_KEY = ["unknown", "page", "digest", "address"]
 DATE = "2020-01-01T00:00:00Z"
 MANIFEST_SCHEMA = "file string, records long, bytes long, sha256 string"
 _CRLF = b"\r\n"
@@ -101,21 +110,29 @@ class _Shard:
             self.out, self.part = None, self.part + 1
 
 
-def _with_shards(joined: DataFrame, rows: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
-    """``joined`` with ``shard``: contiguous ranges of page_id of about ``shard_bytes``, from a histogram of CELLS cells."""
-    low, high = rows.agg(F.min("page_id"), F.max("page_id")).first()
-    if low is None:
-        return joined.withColumn("shard", F.lit(0)), 1
-    width = max(1, -(-(high - low + 1) // CELLS))
-    cell = F.coalesce(F.floor((F.col("page_id") - F.lit(low)) / F.lit(width)).cast("int"), F.lit(0))
-    counts = {r["cell"]: r["b"] for r in rows.groupBy(cell.alias("cell")).agg(F.sum(F.col("size") + 400).alias("b")).collect()}
-    starts, full = [], shard_bytes
-    for c in sorted(counts):
-        if full >= shard_bytes:
-            starts, full = [*starts, c], 0
-        full += counts[c]
-    shard = F.size(F.filter(F.lit(starts), lambda s: s <= cell)) - 1 if len(starts) > 1 else F.lit(0)
-    return joined.withColumn("shard", F.greatest(shard, F.lit(0)).cast("int")), max(1, len(starts))
+def _sharded(rows: DataFrame, shard_bytes: int) -> DataFrame:
+    """For each key of ``rows`` and stretch of its copies: n, before (copies of the page ahead of it), refers, shared and shard."""
+    keys = rows.groupBy(*_KEY).agg(F.count("*").alias("copies"), F.max("size").alias("size"))
+    ahead = Window.partitionBy("unknown", "page", "digest").orderBy("address").rowsBetween(Window.unboundedPreceding, -1)
+    keys = stage(keys.withColumn("ahead", F.coalesce(F.sum("copies").over(ahead), F.lit(0))))
+    first = F.min(F.struct("unknown", "page")).alias("first")
+    groups = keys.where(F.col("size") >= LEAST_REVISIT_BYTES).groupBy("digest").agg(first, F.sum("copies").alias("all")).where("all > 1")
+    groups = groups.select("digest", F.col("first.unknown").alias("none"), F.col("first.page").alias("refers"))
+    stretch = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES_TOGETHER))).alias("stretch")
+    cut = keys.select("*", stretch).withColumn("n", F.least(F.lit(COPIES_TOGETHER), F.col("copies") - F.col("stretch") * COPIES_TOGETHER))
+    cut = cut.select(*_KEY, "size", "stretch", "n", (F.col("ahead") + F.col("stretch") * COPIES_TOGETHER).alias("before"))
+    cut = cut.join(groups, "digest", "left").withColumn("shared", F.col("none").isNotNull())
+    response = ~F.col("shared") | ((F.col("before") == 0) & (F.col("none") == F.col("unknown")) & (F.col("refers") == F.col("page")))
+    full = F.when(~F.col("shared"), F.col("n") * F.col("size")).when(response, F.col("size")).otherwise(0)
+    cut = cut.withColumns({"response": response, "bytes": F.col("n") * HEADER_BYTES + full})
+    order = ["unknown", "page", "digest", "address", "stretch"]
+    ordered = stage(cut.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()))
+    totals = ordered.groupBy("range").agg(F.sum("bytes").alias("bytes"))
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offsets = totals.select("range", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("offset"))
+    running = F.coalesce(F.sum("bytes").over(Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ordered.withColumn("running", running).join(offsets, "range")
+    return stage(placed.withColumn("shard", F.floor((F.col("offset") + F.col("running")) / shard_bytes)).drop("range", "running", "offset", "bytes"))
 
 
 def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES, date: str = DATE) -> DataFrame:
@@ -123,30 +140,35 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
     from pyarrow import fs
 
     datetime.strptime(date, "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=UTC)
-    payload = F.coalesce("html", F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("html")).withColumns({"digest": F.sha2(F.encode("html", "utf-8"), 256), "size": F.octet_length("html").cast("long")})
-    first = F.min(F.struct(F.col("page_id").isNull().alias("unknown"), "page_id", F.coalesce("url", F.lit("")).alias("url"))).alias("first")
-    groups = rows.where(F.col("size") >= LEAST_REVISIT_BYTES).groupBy("digest").agg(first, F.count("*").alias("n")).where("n > 1").select("digest", F.col("first.page_id").alias("refers"), F.lit(True).alias("shared"))
-    placed, shards = _with_shards(rows.join(stage(groups), "digest", "left"), rows, shard_bytes)
-    ordered = placed.repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "url")
+    page = F.col("page_id").cast("long")
+    rows = pages.select(page.isNull().alias("unknown"), F.coalesce(page, F.lit(0)).alias("page"), F.coalesce("url", F.lit("")).alias("address"), F.coalesce("html", F.lit("")).alias("html"))
+    rows = rows.withColumns({"digest": F.sha2(F.encode("html", "utf-8"), 256), "size": F.octet_length("html").cast("long")})
+    sharded = _sharded(rows.drop("html"), shard_bytes)
+    shards = (sharded.agg(F.max("shard")).first()[0] or 0) + 1
+    payloads = rows.select(*_KEY, "html").groupBy(*_KEY).agg(F.first("html").alias("html"))
+    # a revisit's payload stays behind: its record has headers only
+    placed = payloads.join(sharded, _KEY).withColumn("html", F.when(F.col("response"), F.col("html")))
+    tasks = min(shards, MOST_TASKS)
+    ordered = placed.withColumn("task", (F.col("shard") % tasks).cast("int")).repartitionById(tasks, "task").sortWithinPartitions("shard", *_KEY, "stretch")
     schema = pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
 
     def run(batches):
-        now, last, copy = None, None, 0
+        now = None
         for batch in batches:
-            for x in batch.select(["shard", "page_id", "url", "html", "digest", "refers", "shared"]).to_pylist():
-                key = (x["page_id"], x["digest"])
-                last, copy = key, copy + 1 if key == last else 0
+            for x in batch.select(["shard", "unknown", "page", "address", "html", "digest", "none", "refers", "shared", "response", "before", "n"]).to_pylist():
                 if now is None or now.shard != x["shard"]:
                     if now:
                         now.close()
                         yield pa.RecordBatch.from_pylist(now.done, schema=schema)
                     now = _Shard(folder, x["shard"], roll_bytes)
-                data = x["html"].encode()
-                if hashlib.sha256(data).hexdigest() != x["digest"]:
-                    raise ValueError(f"page {x['page_id']}: the payload does not match its digest")
-                refers = {"page_id": x["refers"]} if x["shared"] and (copy or x["page_id"] != x["refers"]) else None
-                now.put(_gzip(_record(x["page_id"], x["url"], data, x["digest"], refers, date, copy)))
+                page = None if x["unknown"] else x["page"]
+                data = (x["html"] or "").encode()
+                if x["response"] and hashlib.sha256(data).hexdigest() != x["digest"]:
+                    raise ValueError(f"page {page}: the payload does not match its digest")
+                first = {"page_id": None if x["none"] else x["refers"]}
+                for k in range(x["n"]):
+                    refers = first if x["shared"] and (k or not x["response"]) else None
+                    now.put(_gzip(_record(page, x["address"], data, x["digest"], refers, date, x["before"] + k)))
         if now:
             now.close()
             yield pa.RecordBatch.from_pylist(now.done, schema=schema)
@@ -208,18 +230,21 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = False)
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     manifest = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{folder}/_manifest").select("file")
-    files = max(1, manifest.count())
-    return manifest.repartition(min(files, 10_000), "file").mapInArrow(run, fields)
+    tasks = min(max(1, manifest.count()), MOST_TASKS)
+    number = F.row_number().over(Window.orderBy("file")) - 1  # a row for each file
+    return manifest.withColumn("task", (number % tasks).cast("int")).repartitionById(tasks, "task").mapInArrow(run, fields)
 
 
 def archive_report(pages: DataFrame, folder: str) -> DataFrame:
     """Write the pages, read the archives back, and resolve revisits against the responses they refer to."""
     write_archives(pages, folder)
     records = stage(read_archives(pages.sparkSession, folder))
-    responses = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_id"), F.col("size").alias("full"), F.col("digest").alias("theirs"))
-    joined = records.join(responses, "refers_id", "left")
-    digest = F.when((F.col("record_type") == "response") | (F.col("theirs") == F.col("digest")), F.col("digest"))
-    return joined.select("page_id", F.coalesce("size", "full").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
+    full = records.where("record_type = 'response'")
+    wanted = records.where("record_type = 'revisit'")
+    theirs = full.join(wanted.select(F.col("refers_id").alias("record_id")).distinct(), "record_id").select(F.col("record_id").alias("refers_id"), F.col("size").alias("full"), F.col("digest").alias("theirs"))
+    resolved = wanted.join(theirs, "refers_id", "left").withColumns({"size": F.col("full"), "digest": F.when(F.col("theirs") == F.col("digest"), F.col("digest"))})
+    columns = ["page_id", F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to"]
+    return full.select(*columns).unionByName(resolved.select(*columns))
 
 
 def query(spark, sf_dir):

@@ -48,5 +48,18 @@ def test_files_are_deterministic_sorted_and_rolled(spark, sf_dir):
     assert back.where("decode(payload, 'utf-8') <> html").count() == 0 and back.count() > 0
 
 
+def test_copies_of_one_page_and_outlying_ids(spark, monkeypatch):
+    monkeypatch.setattr(warc, "COPIES_TOGETHER", 3)
+    rows = [(5, "u", LONG)] * 20 + [(5, "t", LONG)] * 2 + [(10**15, None, LONG)] + [(k, "v", f"page {k} " * 50) for k in range(100, 140)]
+    folder = shared_folder(spark)
+    manifest = warc.write_archives(pages(spark, rows).repartition(4), folder, shard_bytes=4000).collect()
+    assert sum(r["records"] for r in manifest) == len(rows) and len({r["file"][:11] for r in manifest}) > 5
+    got = warc.read_archives(spark, folder).collect()
+    assert len({r["record_id"] for r in got}) == len(rows)
+    five = [r for r in got if r["page_id"] == 5]
+    assert [r["target_uri"] for r in five if r["record_type"] == "response"] == ["t"] and len(five) == 22
+    assert {r["refers_id"] for r in got if r["record_type"] == "revisit"} == {r["record_id"] for r in five if r["record_type"] == "response"}
+
+
 def test_oracle(spark, sf_dir):
     assert same_rows(QUERIES["op8_warc"](spark, sf_dir), ORACLES["op8_warc"], sf_dir) > 20

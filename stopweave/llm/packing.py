@@ -10,10 +10,12 @@ itself, longest piece first:
 - in the end each bin is downsized to the least permitted length that its contents fit.
 
 A sequence of length n costs OVERHEAD + n + n^2 / QUADRATIC: a fixed part, which favours long bins, and attention,
-which favours short ones. Only (row, id, length) is shuffled; bins are written as placements.
+which favours short ones. Only (id, hash of the text, length) is shuffled; bins are written as placements.
 
 Defined results: lengths are UTF-8 bytes plus one end mark, so null and empty texts have length 1 and are packed like
-others. A null id is kept. Repeated rows are packed one by one. An empty table gives no placements.
+others. A null id is kept. Rows that repeat in full are counted first and packed one by one; pieces of equal size go by
+id, hash of the text, copy and place, so ties don't depend on the input's split. Very long texts give many pieces. Other
+columns are ignored. An empty table gives no placements.
 """
 
 from __future__ import annotations
@@ -25,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stopweave.llm.common import ROW, read, stage
+from stopweave.llm.common import read, stage
 
 #: Permitted sequence lengths.
 LENGTHS = (1024, 2048, 4096, 8192, 16384)
 OVERHEAD, QUADRATIC = 256, 65536
 SHARD_ROWS = 4096
+#: Repeated rows that are spread at a time.
+COPIES_TOGETHER = 10_000
 
 
 def cost(length: int) -> float:
@@ -65,31 +69,36 @@ def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list[int
 
 
 def pieces(docs: DataFrame, length_col, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
-    """A row for each piece: ROW, id, piece number, start in the document, size."""
+    """A row for each piece: id, print (a hash of the text), copy (the number among rows equal in these), piece, start, size."""
     top = max(lengths)
+    rows = docs.select("id", F.xxhash64("text").alias("print"), length_col.cast("long").alias("n"))
+    alike = rows.groupBy("id", "print", "n").agg(F.count("*").alias("rows"))
+    last = F.floor((F.col("rows") - 1) / COPIES_TOGETHER)
+    alike = alike.select("id", "print", "n", "rows", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("stretch"))
+    lo = F.col("stretch") * COPIES_TOGETHER
+    alike = alike.select("id", "print", "n", F.explode(F.sequence(lo, F.least(lo + COPIES_TOGETHER, F.col("rows")) - 1)).alias("copy"))
     cut = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / top).cast("int"), F.lit(1)) - 1)
-    rows = docs.withColumn("n", length_col).withColumn(ROW, F.monotonically_increasing_id())
-    out = rows.select(ROW, "id", "n", F.explode(cut).alias("piece"))
+    out = alike.select("id", "print", "copy", "n", F.explode(cut).alias("piece"))
     start = F.col("piece").cast("long") * top
-    return out.select(ROW, "id", "piece", start.alias("start"), F.least(F.lit(top), F.col("n") - start).cast("int").alias("size"))
+    return out.select("id", "print", "copy", "piece", start.alias("start"), F.least(F.lit(top), F.col("n") - start).cast("int").alias("size"))
 
 
 def pack_documents(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, length_col=None, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Placements of ``docs`` (id, text): doc_id, piece, start, size, bin, bin_length, bin_offset.
 
     ``length_col`` is the length of each document in tokens, at least 1 and by default bytes and an end mark. ``bin``
-    is unique over all shards.
+    is unique over all shards. The same rows give the same bins, however they are split into files or partitions.
     """
     lengths = tuple(sorted(lengths))
     n = length_col if length_col is not None else F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     parts = stage(pieces(docs, n, lengths))
     shards = max(1, math.ceil(parts.count() / shard_rows))
-    dealt = parts.withColumn("shard", F.pmod(F.xxhash64(ROW, "piece"), F.lit(shards)))
+    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("id", "print", "copy", "piece"), F.lit(shards)))
     fields = "doc_id long, piece int, start long, size int, bin long, bin_length int, bin_offset int"
     names = ["doc_id", "piece", "start", "size", "bin", "bin_length", "bin_offset"]
 
     def run(table):
-        table = table.sort_by([("size", "descending"), (ROW, "ascending"), ("piece", "ascending")])
+        table = table.sort_by([("size", "descending"), ("id", "ascending"), ("print", "ascending"), ("copy", "ascending"), ("piece", "ascending")])
         placed, offsets, capacity = pack(table.column("size").to_pylist(), lengths)
         first = table.column("shard")[0].as_py() << 32
         new = [pa.array([first + b for b in placed], pa.int64()), pa.array([capacity[b] for b in placed], pa.int32()), pa.array(offsets, pa.int32())]

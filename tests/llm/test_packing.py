@@ -64,6 +64,13 @@ def test_edges(spark):
     assert packing.pack_documents(docs.limit(0), LENGTHS).collect() == []
 
 
+def test_bins_do_not_depend_on_the_split(spark, monkeypatch):
+    monkeypatch.setattr(packing, "COPIES_TOGETHER", 2)
+    docs = spark.createDataFrame([(k, "x" * (k % 50)) for k in range(200)] + [(7, "same")] * 9, "id long, text string")
+    one, two = (sorted(map(tuple, packing.pack_documents(d, LENGTHS, shard_rows=16).collect()), key=str) for d in (docs.coalesce(1), docs.repartition(7)))
+    assert one == two and len(one) == 209
+
+
 def test_whole_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     want = {r["doc_id"]: len(r["text"].encode()) + 1 for r in docs.collect()}

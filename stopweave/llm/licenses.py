@@ -1,17 +1,20 @@
 """License scan with a positional index of rare words.
 
-Templates are short licence notices, split into words. How rare their words are is counted over all documents first
-(one row for each word of the templates, bounded by them, and the only thing collected). The index holds, for the
-highest-IDF words of each template, postings of (template, position). A file looks up its licence words there; every
-posting proposes a start (file position less template position); starts that enough of the template's rare words
-agree on are intersected with the whole template by relative position and scored by the IDF of what matches. A
-candidate counts if its score reaches the bar and all mandatory key phrases stand where the template has them.
+Templates are licence notices, split into words. How rare their words are is counted over all documents first (one row
+for each word of the templates, bounded by them, and the only thing collected). The index holds, for the highest-IDF
+words of each template, postings of (template, position): so many of them that what is left weighs less than a match
+must have, so every place that reaches the bar holds one of them where the template has it. A file's words are looked
+up there, each posting proposes a start (file position less template position), and a start is intersected with the
+whole template by relative position and scored by the IDF of what matches. It counts if its score reaches LEAST_SCORE
+and all mandatory key phrases stand where the template has them. No place above the bar is missed.
 
 Templates of one phrase (the base) have to match in every word, so all their places are found exactly: each place
 holds the template's rarest word, and every occurrence of that word is looked up.
 
-Defined results: null and empty texts have no words, no labels and score 0. Every place counts, overlapping ones too.
-Rows are judged one by one, so repeated rows agree; an empty table gives an empty result.
+Defined results: null and empty texts have no words, no labels and score 0. The score is that of the best match, 1 for
+a base phrase, and 0 without any. Every base place counts, overlapping ones too; of a notice's places the best counts,
+of equally good ones the first. Very long texts are read in whole. Rows are judged one by one, so repeated rows agree;
+other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,20 +29,25 @@ from stopweave.llm.common import read
 
 # The base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-# Wording of public licence notices, each with its label and its mandatory key phrases.
+# Wording of public licence notices, in whole and in the short forms that files often carry, each with its
+# label and its mandatory key phrases.
 NOTICES = [
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", ["permission is hereby granted free of charge"]),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction", ["permission is hereby granted free of charge"]),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ["apache license version 2 0"]),
     ("apache-2", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license", ["apache license version 2 0"]),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ["with or without fee is hereby granted"]),
     ("gpl-3", "this work is licensed under the gnu general public license version 3", ["gnu general public license", "version 3"]),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ["gnu general public license", "free software foundation"]),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version", ["gnu general public license", "free software foundation"]),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version", ["gnu lesser general public license"]),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", ["mozilla public license"]),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
+    ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software", "public domain"]),
     ("cc-by-sa", "licensed under cc by sa 4 0", ["cc by sa"]),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution"]),
     ("proprietary", "all rights reserved", ["all rights reserved"]),
 ]
-#: Rare words of a notice that are looked up, and how many of them must agree on a start.
-LOOKED_UP, AGREE = 5, 2
 #: Least IDF-weighted share of a notice that must match in place.
 LEAST_SCORE = 0.6
 _SEPARATORS = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -84,60 +92,61 @@ class Index:
         for t, x in enumerate(self.templates):
             words = x["words"]
             x["weight"] = sum(self.idf[w] for w in words)
-            # positions of the rarest words; of equal words the first place
-            rarest = sorted({w: k for k, w in reversed(list(enumerate(words)))}.items(), key=lambda p: (-self.idf[p[0]], p[1]))
-            used = rarest[: 1 if x["base"] else LOOKED_UP]
-            x["agree"] = min(AGREE, len(used)) if not x["base"] else 1
-            for w, k in used:
-                places = [k] if x["base"] else [i for i, v in enumerate(words) if v == w]
-                self.postings.setdefault(w, []).extend((t, i) for i in places)
+            spare = 0.0 if x["base"] else (1 - LEAST_SCORE) * x["weight"] + 1e-9
+            for k in sorted(range(len(words)), key=lambda k: (-self.idf[words[k]], k)):
+                self.postings.setdefault(words[k], []).append((t, k))
+                spare -= self.idf[words[k]]
+                if spare < 0:
+                    break
             x["key_places"] = [(i, key) for key in x["keys"] for i in range(len(words) - len(key) + 1) if words[i : i + len(key)] == key]
 
-    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], dict[int, float], float]:
-        """Base places as (template, start), the best accepted score of each other template, and the best score."""
-        postings = self.postings
-        votes: dict[tuple[int, int], int] = {}
-        for at, w in [(i, w) for i, w in enumerate(words) if w in postings]:
-            for t, k in postings[w]:
-                votes[t, at - k] = votes.get((t, at - k), 0) + 1
-        base, notices, best = [], {}, 0.0
-        for (t, start), n in votes.items():
-            x = self.templates[t]
-            if n < x["agree"]:
-                continue
-            same = [0 <= start + k < len(words) and words[start + k] == w for k, w in enumerate(x["words"])]
-            score = 1.0 if all(same) else sum(self.idf[w] for w, ok in zip(x["words"], same, strict=True) if ok) / x["weight"]
-            best = max(best, score)
+    def share(self, t: int, start: int, words: list[bytes]) -> float:
+        """The IDF-weighted share of a template that stands in place, if it starts at ``start``."""
+        x = self.templates[t]
+        same = [0 <= start + k < len(words) and words[start + k] == w for k, w in enumerate(x["words"])]
+        return 1.0 if all(same) else sum(self.idf[w] for w, ok in zip(x["words"], same, strict=True) if ok) / x["weight"]
+
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], dict[int, tuple[float, int]]]:
+        """Base places as (template, start), and the best (score, start) of each other template that counts."""
+        starts = {(t, i - k) for i, w in enumerate(words) if w in self.postings for t, k in self.postings[w]}
+        base, notices = [], {}
+        for t, start in sorted(starts):
+            x, score = self.templates[t], self.share(t, start, words)
             if x["base"]:
-                if all(same):
+                if score == 1.0:
                     base.append((t, start))
-            elif score >= LEAST_SCORE and all(words[max(0, start + i) : start + i + len(key)] == key for i, key in x["key_places"]):
-                notices[t] = max(score, notices.get(t, 0.0))
-        return base, notices, best
+            elif score >= LEAST_SCORE and score > notices.get(t, (0.0, 0))[0] and all(words[max(0, start + i) : start + i + len(key)] == key for i, key in x["key_places"]):
+                notices[t] = (score, start)
+        return base, notices
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): words, base places, labels, score, and the notices found with their starts."""
     vocabulary = {w for x in templates() for w in x["words"]}
     shared = docs.sparkSession.sparkContext.broadcast(Index(*document_counts(docs, vocabulary)))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())])
+    found = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("score", pa.float64())]))
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("notices", found)])
 
     def run(batches):
         index = shared.value
+        name = lambda t: index.templates[t]["label"]
         for batch in batches:
+            if not batch.num_rows:
+                continue
             rows = []
             for text in batch.column("text"):
                 words = split_words(text.as_py())
-                base, notices, best = index.scan(words)
-                starts = [s for _, s in base]
-                own = {index.templates[t]["label"] for t, _ in base}
-                labels = own | {index.templates[t]["label"] for t in notices}
-                rows.append((len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(own)), ",".join(sorted(labels)), min(1.0, best)))
+                base, notices = index.scan(words)
+                starts, own = [s for _, s in base], {name(t) for t, _ in base}
+                labels = own | {name(t) for t in notices}
+                score = 1.0 if base else max((s for s, _ in notices.values()), default=0.0)
+                evidence = sorted(({"label": name(t), "start": start, "score": s} for t, (s, start) in notices.items()), key=lambda x: (x["label"], x["start"], -x["score"]))
+                rows.append((len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(own)), ",".join(sorted(labels)), score, evidence))
             cols = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(cols, list(schema)[1:], strict=True))], schema=schema)
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return narrow.mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, notices array<struct<label:string,start:long,score:double>>")
 
 
 def query(spark, sf_dir):

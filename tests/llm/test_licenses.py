@@ -1,3 +1,4 @@
+import math
 import re
 
 from stopweave.llm import licenses
@@ -20,6 +21,54 @@ def check(rows, texts):
         assert r["score"] == 1 or not r["n_base"]
 
 
+def split(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def brute_notices(texts):
+    """For each text its labels, score and notices, from every template at every start."""
+    rows = [split(t) for t in texts]
+    known = [(label, t.split(), [k.split() for k in keys]) for label, t, keys in licenses.NOTICES]
+    idf = lambda w: math.log((1 + len(rows)) / (1 + sum(w in set(r) for r in rows))) + 1
+    weights = {w: idf(w) for w in {w for _, t, _ in known for w in t}}
+    out = []
+    for words, text in zip(rows, texts, strict=True):
+        found = []
+        for label, t, keys in known:
+            best = None
+            for start in range(-len(t), len(words)):
+                same = [0 <= start + k < len(words) and words[start + k] == w for k, w in enumerate(t)]
+                score = 1.0 if all(same) else sum(weights[w] for w, ok in zip(t, same, strict=True) if ok) / sum(weights[w] for w in t)
+                stands = all(0 <= start + i and words[start + i : start + i + len(k)] == k for k in keys for i in range(len(t)) if t[i : i + len(k)] == k)
+                if score >= licenses.LEAST_SCORE and stands and (best is None or score > best[0]):
+                    best = (score, start)
+            if best:
+                found.append((label, best[1], round(best[0], 9)))
+        base = brute(text)
+        labels = {x for x, *_ in found} | set(filter(None, base[4].split(",")))
+        out.append((",".join(sorted(labels)), 1.0 if base[1] else max((s for *_, s in found), default=0.0), sorted(found)))
+    return out
+
+
+WHOLE = {
+    "apache-2": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "mpl-2": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+}
+
+
+def test_notices_against_brute_force(spark):
+    texts = [*WHOLE.values(), *(f"a b c {t[40:]} and {t[:90]}" for t in WHOLE.values()), *(" ".join(split(t)[::2]) for t in WHOLE.values()), *(t for _, t, _ in licenses.NOTICES), "the license of the software", "", None]
+    texts += [t.replace("free", "gratis").replace("Software", "work") for t in WHOLE.values()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = licenses.scan_licenses(docs).orderBy("doc_id").collect()
+    mine = [(r["labels"], round(r["score"], 9), sorted((x["label"], x["start"], round(x["score"], 9)) for x in r["notices"])) for r in got]
+    assert mine == [(a, round(b, 9), c) for a, b, c in brute_notices(texts)]
+    for r, label in zip(got, WHOLE, strict=False):
+        assert label in r["labels"].split(",") and r["score"] == 1.0
+
+
 def test_edges(spark):
     texts = {
         1: None, 2: "", 3: "Released UNDER the MIT-License. under_the mit license", 4: "Apache License, Version 2.0; apache license version 20", 5: "CC BY-NC cc by nc cc  by  ncé",

@@ -6,7 +6,7 @@
 2. These narrow rows are sorted by range, and a running sum of their bytes in that order, exact over all ranges, gives
    each its shard: about SHARD_BYTES each, however the ids are spread. Shards depend on the data alone, so the same
    pages give the same files, whatever the cluster.
-3. Payloads move to their row's key and then to their shard's task, where they are sorted and streamed out as one gzip
+3. Payloads move, compressed, to their row's key and then to their shard's task, where they are sorted and streamed out as one gzip
    member a record, rolling to a new file once the compressed size reaches a limit. Shards are dealt to tasks by their
    number. Headers, lengths and digests are computed from the payload as it is written.
 4. A task writes under a temporary name and renames a file when it is complete; because content and names are
@@ -49,11 +49,11 @@ MANIFEST_SCHEMA = "file string, records long, bytes long, sha256 string"
 _CRLF = b"\r\n"
 
 
-def _record(page_id, url, payload: bytes, digest: str, refers: dict | None, date: str, n: int) -> bytes:
-    """One WARC/1.1 record; every header and length is computed from the payload here."""
+def _record(page_id, url, payload: bytes, digest: str, refers: dict | None, date: str, n: int, size: int) -> bytes:
+    """One WARC/1.1 record; every header and length is computed here, from the payload or, for a revisit, its size."""
     name = lambda key: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, key)}>"
     uri = url or f"urn:page:{'' if page_id is None else page_id}"
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % (size if refers else len(payload))
     block = http if refers else http + payload
     head = [
         ("WARC-Type", "revisit" if refers else "response"),
@@ -135,6 +135,21 @@ def _sharded(rows: DataFrame, shard_bytes: int) -> DataFrame:
     return stage(placed.withColumn("shard", F.floor((F.col("offset") + F.col("running")) / shard_bytes)).drop("range", "running", "offset", "bytes"))
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """The key columns and ``payload``, the html in UTF-8, compressed for its way through the shuffles."""
+    schema = pa.schema([("unknown", pa.bool_()), ("page", pa.int64()), ("digest", pa.string()), ("address", pa.string()), ("payload", pa.binary())])
+
+    def run(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            payloads = pa.array([pack(x.as_buffer()) for x in batch.column("html").cast(pa.binary())], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _KEY), payloads], schema=schema)
+
+    return rows.mapInArrow(run, "unknown boolean, page long, digest string, address string, payload binary")
+
+
 def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES, date: str = DATE) -> DataFrame:
     """Write (page_id, url, html) below ``folder``, a URI on a shared file system; returns the committed manifest."""
     from pyarrow import fs
@@ -145,30 +160,32 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
     rows = rows.withColumns({"digest": F.sha2(F.encode("html", "utf-8"), 256), "size": F.octet_length("html").cast("long")})
     sharded = _sharded(rows.drop("html"), shard_bytes)
     shards = (sharded.agg(F.max("shard")).first()[0] or 0) + 1
-    payloads = rows.select(*_KEY, "html").groupBy(*_KEY).agg(F.first("html").alias("html"))
+    payloads = _packed(rows.select(*_KEY, "html")).groupBy(*_KEY).agg(F.first("payload").alias("payload"))
     # a revisit's payload stays behind: its record has headers only
-    placed = payloads.join(sharded, _KEY).withColumn("html", F.when(F.col("response"), F.col("html")))
+    placed = payloads.join(sharded, _KEY).withColumn("payload", F.when(F.col("response"), F.col("payload")))
     tasks = min(shards, MOST_TASKS)
     ordered = placed.withColumn("task", (F.col("shard") % tasks).cast("int")).repartitionById(tasks, "task").sortWithinPartitions("shard", *_KEY, "stretch")
     schema = pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
 
     def run(batches):
-        now = None
+        import zstandard
+
+        now, unpack = None, zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for x in batch.select(["shard", "unknown", "page", "address", "html", "digest", "none", "refers", "shared", "response", "before", "n"]).to_pylist():
+            for x in batch.select(["shard", "unknown", "page", "address", "payload", "size", "digest", "none", "refers", "shared", "response", "before", "n"]).to_pylist():
                 if now is None or now.shard != x["shard"]:
                     if now:
                         now.close()
                         yield pa.RecordBatch.from_pylist(now.done, schema=schema)
                     now = _Shard(folder, x["shard"], roll_bytes)
                 page = None if x["unknown"] else x["page"]
-                data = (x["html"] or "").encode()
+                data = unpack(x["payload"]) if x["response"] else bytes(0)
                 if x["response"] and hashlib.sha256(data).hexdigest() != x["digest"]:
                     raise ValueError(f"page {page}: the payload does not match its digest")
                 first = {"page_id": None if x["none"] else x["refers"]}
                 for k in range(x["n"]):
                     refers = first if x["shared"] and (k or not x["response"]) else None
-                    now.put(_gzip(_record(page, x["address"], data, x["digest"], refers, date, x["before"] + k)))
+                    now.put(_gzip(_record(page, x["address"], data, x["digest"], refers, date, x["before"] + k, x["size"])))
         if now:
             now.close()
             yield pa.RecordBatch.from_pylist(now.done, schema=schema)

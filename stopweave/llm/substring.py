@@ -6,18 +6,18 @@ A window of WINDOW words that starts in a document with a smaller id too is a re
    all of its windows are repeats, so it needs no tree.
 2. Suffixes are taken at content-defined places only: of every stretch of WINDOW words the first place whose
    ANCHOR-word prefix has the least hash. Each window belongs to that one place of it, equal windows to the same, so
-   no repeat is missed or looked at twice, and about one suffix in twenty is left. Prefixes that occur in one document alone are pruned by a count that combines within each task.
-   Places of a document that agree in prefix or surroundings (a line said over and over) travel as one row.
+   no repeat is missed or looked at twice, and about one suffix in twenty is left. Prefixes that occur in one document
+   alone are pruned by a count that combines within each task. Places of a document that agree in prefix or surroundings (a line said over and over) travel as one row.
 3. The prefixes that remain partition the suffixes. Tasks take them in prefix order and hold as many whole prefix
    groups at a time as fit a row limit. A prefix with more suffixes than that is lengthened by half a window to the
    right, and to the left, and pruned again, so a common line before different words falls apart. What is too large
    even then is a passage that very many documents share: suffixes that agree in all surrounding words differ in
    their document only and combine to the smallest id, and what is left meets window by window in an aggregation
    (both combine within each task first).
-4. Every suffix carries the words that the windows of its place cover. Suffixes are ranked by prefix doubling (1, 2, 4 .. 32 words, then
-   WINDOW), which names the nodes of the groups' suffix trees at those depths; nodes at depth WINDOW with suffixes of
-   two documents are the deep internal nodes. All suffixes below such a node but those of its smallest document are
-   repeats; adjoining ones make up the maximal repeats, which leave as spans.
+4. Every suffix carries the words that the windows of its place cover. The subtree of the groups that a task holds is
+   built as a suffix array with the common prefixes of neighbours. Its internal nodes at depth WINDOW or below are the
+   repeats: all suffixes below such a node but those of its smallest document are repeated; adjoining ones make up the
+   maximal repeats, which leave as spans.
 
 Prefixes are 64-bit hashes; around a place each word is held as 64 bits, so two stretches are only taken for equal
 wrongly if every word that differs between them collides; surroundings are told apart by 128 bits. Texts move once, for the documents that share a prefix;
@@ -25,7 +25,9 @@ rows are numbered once, in a staged table from which every later pass reads numb
 
 Defined results: null and empty texts have no words; a text shorter than WINDOW words is untouched; repeats within
 one document do not count, nor between rows of equal id. A null id counts as larger than all others. Kept words are
-joined by one space. An empty table gives an empty result.
+joined by one space. Very long texts are read in whole; a passage said often in one document travels as one row.
+Repeated rows, which agree in id, cut nothing from each other. Columns of any other name pass through ``drop_repeats``.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +35,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -136,24 +137,39 @@ def _contexts(texts: DataFrame, over: bool, group_rows: int) -> DataFrame:
     return texts.mapInArrow(run, f"prefix long, around binary, id long, {ROW} long, firsts array<int>, context binary")
 
 
-def tree_windows(contexts: list[bytes], window: int = WINDOW) -> list[np.ndarray]:
-    """Names of the suffix-tree nodes at depth ``window`` over some texts: for each text its suffixes' node names.
+def deep_nodes(contexts: list[bytes], depth: int = WINDOW) -> list[np.ndarray]:
+    """The suffix tree over some texts, cut at ``depth``: for each text the nodes of its suffixes of that length or more.
 
-    Prefix doubling: suffixes that agree in their first 2k words get one name from the pair of their names at depth k.
+    The tree is held as its suffix array and the common prefixes of neighbours in it. Ranks of prefixes of 1, 2, 4 ..
+    words sort the suffixes; the same ranks, from long to short, measure the common prefixes. A stretch of neighbours
+    that share ``depth`` words is an internal node at that depth or below, and gets a number; other suffixes get -1.
     """
     texts = [np.frombuffer(c, dtype=np.uint64) for c in contexts]
     starts = np.cumsum([0, *map(len, texts)])
     whole = np.concatenate(texts) if texts else np.empty(0, dtype=np.uint64)
-    names = pd.factorize(whole)[0].astype(np.int64)
-    room = np.repeat(starts[1:], np.diff(starts)) - np.arange(len(whole))  # words from here to the end of the text
-    depth = 1
-    while depth < window:
-        step = min(depth, window - depth)
-        ok = np.flatnonzero(room >= depth + step)
-        fresh = np.full(len(whole), -1, dtype=np.int64)
-        fresh[ok] = pd.factorize(names[ok] * np.int64(len(whole) + 1) + names[ok + step])[0]
-        names, depth = fresh, depth + step
-    return [names[a : max(a, b - window + 1)] for a, b in zip(starts, starts[1:], strict=False)]
+    n, room = len(whole), np.repeat(starts[1:], np.diff(starts)) - np.arange(starts[-1])  # words from here to the end of the text
+    ranks, step = [np.unique(whole, return_inverse=True)[1].astype(np.int64)], 1
+    while step < max(map(len, texts), default=0):
+        after = np.zeros(n, dtype=np.int64)
+        after[: n - step] = np.where(room[: n - step] > step, ranks[-1][step:] + 1, 0)
+        ranks.append(np.unique(ranks[-1] * np.int64(n + 1) + after, return_inverse=True)[1])
+        step *= 2
+    order = np.argsort(ranks[-1], kind="stable")
+    left, right, shared = order[:-1], order[1:], np.zeros(max(0, n - 1), dtype=np.int64)
+    for rank in reversed(ranks):
+        size = step
+        a, b = np.minimum(left + shared, n - 1), np.minimum(right + shared, n - 1)
+        same = (rank[a] == rank[b]) & (np.minimum(room[left], room[right]) >= shared + size)
+        shared += np.where(same, size, 0)
+        step //= 2
+    together = shared >= depth
+    number = np.concatenate([[0], np.cumsum(~together)]) if n else np.empty(0, dtype=np.int64)
+    inner = np.zeros(n, dtype=bool)
+    inner[:-1] |= together
+    inner[1:] |= together
+    nodes = np.full(n, -1, dtype=np.int64)
+    nodes[order[inner]] = number[inner]
+    return [nodes[a : max(a, b - depth + 1)] for a, b in zip(starts, starts[1:], strict=False)]
 
 
 def _window_keys(context: bytes, count: int) -> list[bytes]:
@@ -178,15 +194,14 @@ _SPAN_SCHEMA = f"{ROW} long, start int, end int"
 
 
 def _tree_spans(table: pa.Table) -> pa.RecordBatch:
-    """The repeats of some prefix groups that are held whole."""
+    """The repeats of some prefix groups that are held whole: below each deep node all but its smallest document's suffixes."""
     ids, rows = (table.column(c).to_numpy() for c in ("id", ROW))
     firsts = table.column("firsts").to_pylist()
-    names = tree_windows(table.column("context").to_pylist())
-    flat = np.concatenate(names)
-    least = np.full(int(flat.max()) + 1 if len(flat) else 0, LAST_ID, dtype=np.int64)
-    owners = np.repeat(ids, [len(x) for x in names])
-    np.minimum.at(least, flat, owners)
-    return _batch((int(r), a, b) for r, i, own, x in zip(rows, ids, firsts, names, strict=True) for a, b in _spans(least[x] < i, own))
+    nodes = deep_nodes(table.column("context").to_pylist())
+    flat = np.concatenate(nodes)
+    least = np.full(int(flat.max(initial=-1)) + 2, LAST_ID, dtype=np.int64)  # the last one stands for -1
+    np.minimum.at(least, flat, np.repeat(ids, [len(x) for x in nodes]))
+    return _batch((int(r), a, b) for r, i, own, x in zip(rows, ids, firsts, nodes, strict=True) for a, b in _spans((x >= 0) & (least[x] < i), own))
 
 
 def _batch(spans) -> pa.RecordBatch:

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from helpers import same_rows
 from pyspark.sql import functions as F
@@ -55,6 +56,21 @@ def test_against_brute_force(spark, group_rows, monkeypatch):
     assert kept.columns == docs.columns and kept.where(F.col("n_chars") != F.length("text")).count() == 0
 
 
+def test_deep_nodes_against_brute_force():
+    rng = random.Random(9)
+    for depth in (1, 3, 5):
+        texts = [np.array([rng.randrange(3) for _ in range(rng.randrange(0, 30))], dtype=np.uint64) for _ in range(12)]
+        got = substring.deep_nodes([t.tobytes() for t in texts], depth)
+        heads = [[tuple(t[k : k + depth].tolist()) for k in range(max(0, len(t) - depth + 1))] for t in texts]
+        flat, seen = [x for h in heads for x in h], {}
+        for nodes, own in zip(got, heads, strict=True):
+            assert len(nodes) == len(own)
+            for node, head in zip(nodes.tolist(), own, strict=True):
+                assert (node < 0) == (flat.count(head) == 1) and (node < 0 or seen.setdefault(node, head) == head)
+        assert len(seen) == len({x for x in flat if flat.count(x) > 1})
+    assert substring.deep_nodes([]) == []
+
+
 def test_spans_are_maximal_repeats(spark):
     shared = [f"s{k}" for k in range(120)]
     rows = [(1, " ".join(["a"] + shared + ["b"])), (2, " ".join(["c", "d"] + shared[10:] + ["e"]))]

@@ -17,8 +17,8 @@
    shingles (the text that others were edited from, or close to it), and components are formed once more.
 7. In buckets that are still not settled every member meets the members of other components. The join keeps a pair
    only if three tests pass: the bound of step 6, a bound from the differing bits of two bitmaps of the sets (each
-   differing bit needs a shingle that one set lacks), and the signatures' test of step 4. Kept pairs go to the full
-   sets. Pairs inside one component can change nothing and are never made.
+   differing bit needs a shingle that one set lacks), and the signatures' test of step 4. A large bucket is dealt to as
+   many keys as its number of members asks for, so no task holds it alone. Kept pairs go to the full sets. Pairs inside one component can change nothing and are never made.
 
 Nothing is collected to the driver but counts; every stage's table lies in the shared folder. The documents are
 numbered once, in a staged table, and that is read again for the sets of likely pairs instead of keeping all sets; a
@@ -50,6 +50,8 @@ SEED = 20240117
 PERCENT = 75
 #: Of BANDS * ROWS one-byte minima this share must agree for a pair to reach the full sets: five deviations below 0.75.
 SKETCH_SHARE = 0.55
+#: Members of an unsettled bucket that one key holds on one side of the last join.
+MEMBERS_TOGETHER = 512
 #: Bits of a set's bitmap; sets of up to about as many shingles are told apart by it.
 BITS = 1024
 
@@ -275,8 +277,12 @@ def near_dups(docs: DataFrame) -> DataFrame:
         found = components(links)
         left = _unsettled(_placed(left.select("key", "rep"), found))
         left = stage(left.join(lines, "rep"))
-        x, y = left.alias("x"), left.alias("y")
-        across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & _may_link("x", "y"))
+        deals = stage(left.groupBy("key").agg(F.ceil(F.count("*") / MEMBERS_TOGETHER).alias("deals")))
+        left = left.join(deals, "key")
+        x = left.withColumn("deal", F.pmod(F.xxhash64("rep"), "deals")).alias("x")
+        y = left.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1))).alias("y")
+        meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.deal") == F.col("y.deal"))
+        across = x.join(y, meet & (F.col("x.component") < F.col("y.component")) & _may_link("x", "y"))
         more = _confirmed(stage(across.select(*_ordered(F.col("x.rep"), F.col("y.rep"))).distinct()), sets)
         if not more.isEmpty():
             found = components(links.unionByName(more))

@@ -63,6 +63,22 @@ def test_random_families_against_brute_force(spark):
     assert {r["id"]: r["component_id"] for r in got} == dict(zip((r[0] for r in rows), brute(rows), strict=True))
 
 
+def test_chains_that_hubs_do_not_tie(spark, monkeypatch):
+    """The first hubs find nothing here, so the links show at the second hub and where members meet."""
+    rng = random.Random(8)
+    text, rows = [f"c{k}" for k in range(100)], []
+    for i in range(60):
+        rows.append((1000 - i, " ".join(text)))
+        text[(7 * i) % 100] = text[(7 * i + 50) % 100] = f"x{i}"
+    rng.shuffle(rows)
+    met, plain = [], minhash._may_link
+    monkeypatch.setattr(minhash, "MEMBERS_TOGETHER", 3)
+    monkeypatch.setattr(minhash, "_likely", lambda pairs, reps: minhash.stage(pairs.limit(0)))
+    monkeypatch.setattr(minhash, "_may_link", lambda x, y: met.append(1) or plain(x, y))
+    _, got = run(spark, rows)
+    assert {r["id"]: r["component_id"] for r in got} == dict(zip((r[0] for r in rows), brute(rows), strict=True)) and len(met) == 2
+
+
 def test_components_of_a_long_path(spark):
     nodes = list(range(300))
     random.Random(1).shuffle(nodes)

@@ -7,6 +7,8 @@ vocabulary, and is the only thing broadcast. Texts are cut by the caller's patte
 itself, a pre-token that is a token as a whole becomes that token. Decoding maps ids back to bytes.
 
 Defined results: a null or empty text has no ids; null ids decode to no bytes; an id outside the vocabulary raises.
+Very long texts are encoded in whole. Rows are encoded one by one, so repeated rows agree; of equally ranked merges
+none exist, as ranks are distinct; an empty table gives an empty result.
 Columns other than the result pass through unchanged; a column with the result's name is replaced.
 """
 

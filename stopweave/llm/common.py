@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,18 +18,35 @@ SPACE = r"[\x20\x09-\x0D]"
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (local tests) a temporary folder stands in for it.
+    Only where that setting is absent and the session is local (tests) a temporary folder stands in for it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="stopweave-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/stopweave-{uuid.uuid4().hex}"
 
 
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that ``stage`` puts into folders of its own choice are deleted at the end; what rests on them is written by then."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for folder in _scratch.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -37,6 +55,8 @@ def stage(df: DataFrame, folder: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = folder or shared_folder(spark)
+    if not folder and _scratch:
+        _scratch[-1].append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,7 +1,15 @@
 """The corpus pipeline: toxicity, exact, near and substring deduplication, and packing, over ``documents``.
 
 Each stage takes what its predecessor kept, written as Parquet in the shared folder and read again, and returns the
-columns of ``documents``; the last one returns placements in training sequences.
+columns of ``documents``, whatever other columns these are; the last one returns placements in training sequences.
+
+Defined results, by stage. Toxicity drops rows that score 0.5 or more; null and empty texts score the calibrated prior.
+Exact deduplication keeps one row of equal texts (null counts as empty), the longest original, then the smallest
+doc_id, so of empty texts one stays. Near deduplication keeps the row with the smallest doc_id of each class; texts
+without words are classes of their own. Substring deduplication cuts words and drops rows that lose all of them; other
+texts stay as they are, and n_chars follows the text. Packing places every byte of every text, and one end mark for
+each row. Null ids come last in every order. Very long texts and repeated rows are read in whole; an empty table gives
+empty results throughout.
 """
 
 from __future__ import annotations
@@ -10,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stopweave.llm import exact, minhash, packing, substring, toxicity
-from stopweave.llm.common import read, stage
+from stopweave.llm.common import read, scratch, shared_folder, stage
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +54,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; the tables that a stage puts down for itself are deleted once its result is written."""
     docs = read(spark, sf_dir, "documents")
     for _, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir))
+        with scratch(spark):
+            docs = stage(step(spark, docs, sf_dir), shared_folder(spark))
     return docs

@@ -317,6 +317,27 @@ def r6_request_cache_report(spark, d):
     return state.request_cache_report(state.ttl_hits(view(spark, d, "board_requests"), "name", TTL_MS), "name")
 
 
+@_query(f"WITH {_TTL} SELECT name, event_id, hit FROM h", "board_requests")
+def t1_stream_ttl_hits(spark, d):
+    """The same rows from a stream: a landing for each week, events up to an hour in the wrong one, then one that ends it."""
+    from stopweave.streaming.ttl import stream_ttl_hits
+
+    base, week = _shared(spark), 7 * 24 * 3600 * 1000
+    events = view(spark, d, "board_requests").select("name", "event_id", F.col("ts").cast("timestamp").alias("ts"), "cacheable")
+    at = F.unix_millis("ts")
+    landed = F.floor((at + (F.col("event_id") % 2) * 3_600_000) / week)
+    first, last, end = events.agg(F.min(landed), F.max(landed), F.max("ts")).first()
+    for n in range(first, last + 1):
+        events.where(landed == n).write.mode("append").parquet(f"{base}/landed")
+    closing = spark.range(1).select(F.lit("the end").alias("name"), F.lit(-1).cast("long").alias("event_id"), (F.lit(end) + F.expr("interval 1 year")).alias("ts"), F.lit(False).alias("cacheable"))
+    closing.write.mode("append").parquet(f"{base}/landed")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 8).parquet(f"{base}/landed")
+    hits = stream_ttl_hits(stream, "name", TTL_MS, late="2 hours")
+    query = hits.writeStream.format("parquet").option("path", f"{base}/hits").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{base}/hits").select("name", "event_id", "hit")
+
+
 _MODES = ", ".join(f"'{m}'" for m in tr.RAIL_MODES)
 _RIDES = f"r AS (SELECT a.trip_id, a.stop_id AS board, a.dep_min, b.stop_id AS alight, b.arr_min FROM stop_calls a JOIN stop_calls b ON a.trip_id = b.trip_id AND a.seq < b.seq WHERE a.mode IN ({_MODES}))"
 _LEVEL = "l{1} AS (SELECT origin, stop_id, min(arrival) AS arrival FROM (SELECT * FROM l{0} UNION ALL SELECT origin, alight, arr_min FROM l{0} JOIN r ON board = stop_id AND dep_min >= arrival AND arr_min <= 540) GROUP BY ALL)"

@@ -23,3 +23,21 @@ def test_ttl_fold_holds_no_key_whole(spark):
     assert {r["event_id"]: r["hit"] for r in rows} == want and len(rows) == len(events)
     assert {r["event_id"]: r["key"] for r in rows} == {e[0]: e[1] for e in events}
     assert "collect_list" not in hits._jdf.queryExecution().toString()  # an array of all events of a key is one row in one task
+
+
+def test_stream_equals_batch_in_any_order_of_batches(spark, tmp_path):
+    from stopweave.streaming.ttl import stream_ttl_hits
+
+    rng = random.Random(6)
+    events = [(i, f"k{rng.randrange(4)}", rng.randrange(400_000), rng.random() < 0.8) for i in range(400)]
+    schema = "event_id long, key string, ts timestamp, cacheable boolean"
+    frame = lambda rows: spark.createDataFrame(rows, "event_id long, key string, ms long, cacheable boolean").selectExpr("event_id", "key", "timestamp_millis(ms) as ts", "cacheable")
+    want = {r["event_id"]: r["hit"] for r in state.ttl_hits(frame(events), "key", 9000).collect()}
+    for name, order in (("forth", 1), ("back", -1)):
+        for part in [events[k::3] for k in range(3)][::order] + [[(-1, "end", 10**9, False)]]:
+            frame(part).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+        hits = stream_ttl_hits(stream, "key", 9000, late="1 hour")
+        hits.writeStream.format("parquet").option("path", str(tmp_path / f"{name}_hits")).option("checkpointLocation", str(tmp_path / f"{name}_state")).trigger(availableNow=True).start().awaitTermination()
+        rows = spark.read.parquet(str(tmp_path / f"{name}_hits")).collect()
+        assert {r["event_id"]: r["hit"] for r in rows} == want and len(rows) == len(events)

@@ -137,7 +137,7 @@ def _sharded(rows: DataFrame, shard_bytes: int) -> DataFrame:
 
 def _packed(rows: DataFrame) -> DataFrame:
     """The key columns and ``payload``, the html in UTF-8, compressed for its way through the shuffles."""
-    schema = pa.schema([("unknown", pa.bool_()), ("page", pa.int64()), ("digest", pa.string()), ("address", pa.string()), ("payload", pa.binary())])
+    schema = pa.schema([("unknown", pa.bool_()), ("page", pa.int64()), ("digest", pa.binary()), ("address", pa.string()), ("payload", pa.binary())])
 
     def run(batches):
         import zstandard
@@ -147,7 +147,7 @@ def _packed(rows: DataFrame) -> DataFrame:
             payloads = pa.array([pack(x.as_buffer()) for x in batch.column("html").cast(pa.binary())], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _KEY), payloads], schema=schema)
 
-    return rows.mapInArrow(run, "unknown boolean, page long, digest string, address string, payload binary")
+    return rows.mapInArrow(run, "unknown boolean, page long, digest binary, address string, payload binary")
 
 
 def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES, date: str = DATE) -> DataFrame:
@@ -157,7 +157,7 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
     datetime.strptime(date, "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=UTC)
     page = F.col("page_id").cast("long")
     rows = pages.select(page.isNull().alias("unknown"), F.coalesce(page, F.lit(0)).alias("page"), F.coalesce("url", F.lit("")).alias("address"), F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumns({"digest": F.sha2(F.encode("html", "utf-8"), 256), "size": F.octet_length("html").cast("long")})
+    rows = rows.withColumns({"digest": F.unhex(F.sha2(F.encode("html", "utf-8"), 256)), "size": F.octet_length("html").cast("long")})
     sharded = _sharded(rows.drop("html"), shard_bytes)
     shards = (sharded.agg(F.max("shard")).first()[0] or 0) + 1
     payloads = _packed(rows.select(*_KEY, "html")).groupBy(*_KEY).agg(F.first("payload").alias("payload"))
@@ -180,12 +180,13 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
                     now = _Shard(folder, x["shard"], roll_bytes)
                 page = None if x["unknown"] else x["page"]
                 data = unpack(x["payload"]) if x["response"] else bytes(0)
-                if x["response"] and hashlib.sha256(data).hexdigest() != x["digest"]:
+                digest = x["digest"].hex()
+                if x["response"] and hashlib.sha256(data).hexdigest() != digest:
                     raise ValueError(f"page {page}: the payload does not match its digest")
                 first = {"page_id": None if x["none"] else x["refers"]}
                 for k in range(x["n"]):
                     refers = first if x["shared"] and (k or not x["response"]) else None
-                    now.put(_gzip(_record(page, x["address"], data, x["digest"], refers, date, x["before"] + k, x["size"])))
+                    now.put(_gzip(_record(page, x["address"], data, digest, refers, date, x["before"] + k, x["size"])))
         if now:
             now.close()
             yield pa.RecordBatch.from_pylist(now.done, schema=schema)

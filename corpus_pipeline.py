@@ -1,7 +1,9 @@
 """The corpus pipeline: toxicity, exact, near and substring deduplication, and packing, over ``documents``.
 
 Each stage takes what its predecessor kept, written as Parquet in the shared folder and read again, and returns the
-columns of ``documents``, whatever other columns these are; the last one returns placements in training sequences.
+columns of ``documents``, whatever other columns these are; the last one returns placements in training sequences. As a
+stage's input is written by then, it starts by deleting the tables that earlier stages put down for themselves, but for
+those that its input still reads.
 
 Defined results, by stage. Toxicity drops rows that score 0.5 or more; null and empty texts score the calibrated prior.
 Exact deduplication keeps one row of equal texts (null counts as empty), the longest original, then the smallest
@@ -14,29 +16,48 @@ empty results throughout.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stopweave.llm import exact, minhash, packing, substring, toxicity
-from stopweave.llm.common import read, scratch, shared_folder, stage
+from stopweave.llm.common import Scratch, read, stage
+
+_scratch = Scratch()
+
+
+def _stage(work):
+    @wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _scratch.clear(spark, docs)
+        with _scratch.recording():
+            return work(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, read(spark, sf_dir, "labels"))
 
 
+@_stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.keep_first_copies(docs)
 
 
+@_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minhash.keep_one_of_each(docs)
 
 
+@_stage
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return substring.drop_repeats(docs)
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs.select(F.col("doc_id").cast("long").alias("id"), "text"))
 
@@ -54,9 +75,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; the tables that a stage puts down for itself are deleted once its result is written."""
     docs = read(spark, sf_dir, "documents")
     for _, step in STAGES:
-        with scratch(spark):
-            docs = stage(step(spark, docs, sf_dir), shared_folder(spark))
+        docs = stage(step(spark, docs, sf_dir))
     return docs

@@ -32,19 +32,30 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/stopweave-{uuid.uuid4().hex}"
 
 
-_scratch: list[list[str]] = []
-
-
-@contextmanager
-def scratch(spark: SparkSession):
-    """Tables that ``stage`` puts into folders of its own choice are deleted at the end; what rests on them is written by then."""
-    _scratch.append([])
-    try:
-        yield
-    finally:
-        for folder in _scratch.pop():
+class Scratch:
+    """The folders that ``stage`` chooses while this records them, to be deleted when nothing rests on them any more."""
+
+    current: list[str] | None = None
+
+    def __init__(self):
+        self.folders: list[str] = []
+
+    @contextmanager
+    def recording(self):
+        before, Scratch.current = Scratch.current, self.folders
+        try:
+            yield
+        finally:
+            Scratch.current = before
+
+    def clear(self, spark: SparkSession, still_read: DataFrame) -> None:
+        """Delete the folders recorded so far, but for those that ``still_read`` reads from."""
+        files = still_read.inputFiles()
+        held = [f for f in self.folders if any(f.rpartition("/")[2] in x for x in files)]
+        for folder in set(self.folders) - set(held):
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.folders[:] = held
 
 
 def stage(df: DataFrame, folder: str | None = None) -> DataFrame:
@@ -55,8 +66,8 @@ def stage(df: DataFrame, folder: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = folder or shared_folder(spark)
-    if not folder and _scratch:
-        _scratch[-1].append(path)
+    if not folder and Scratch.current is not None:
+        Scratch.current.append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

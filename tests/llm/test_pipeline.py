@@ -68,6 +68,20 @@ def test_stages_against_brute_force_with_nulls_repeats_and_clashing_columns(spar
     assert sum(r["size"] for r in placed) == sum(len((r["text"] or "").encode()) + 1 for r in kept.collect())
 
 
+def test_tables_of_earlier_stages_go_unless_they_are_read(spark, tmp_path):
+    import os
+
+    import corpus_pipeline
+
+    docs = stage(spark.createDataFrame([(k, f"text number {k // 2}") for k in range(20)], "doc_id long, text string"))
+    lazy = corpus_pipeline.drop_copies(spark, docs, str(tmp_path))
+    folders = [f.removeprefix("file://") for f in corpus_pipeline._scratch.folders]
+    twice = corpus_pipeline.drop_near_copies(spark, lazy, str(tmp_path))  # not written in between
+    assert twice.count() == 10 and any(map(os.path.exists, folders))
+    corpus_pipeline.drop_near_copies(spark, stage(twice), str(tmp_path))
+    assert folders and not any(map(os.path.exists, folders))
+
+
 def test_run_on_an_empty_table_and_on_toxic_rows(spark, tmp_path):
     import corpus_pipeline
 

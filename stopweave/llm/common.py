@@ -93,3 +93,16 @@ def words(col):
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+#: The 256 values of the byte-wise CRC-32, by its rule, as a DuckDB table ``crc`` of one row with the list ``t``.
+CRC_TABLE_SQL = (
+    "crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), "
+    "lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v FROM range(256) r(i)))"
+)
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a text's UTF-8 bytes, in a query that CRC_TABLE_SQL's table is joined to."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stopweave.llm import bpe, chat, exact, licenses, minhash, packing, quality, substring, toxicity, warc
+from stopweave.llm import bpe, chat, exact, licenses, minhash, packing, quality, sharding, substring, toxicity, warc
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_warc": warc.query,
     "op9_minhash": minhash.query,
     "op10_chat_format": chat.query,
+    "op11_sharding": sharding.query,
 }
 
 ORACLES = {
@@ -25,4 +26,5 @@ ORACLES = {
     "op8_warc": warc.SQL,
     "op9_minhash": minhash.SQL,
     "op10_chat_format": chat.SQL,
+    "op11_sharding": sharding.SQL,
 }

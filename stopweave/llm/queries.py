@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stopweave.llm import bpe, chat, exact, licenses, minhash, packing, quality, sharding, substring, toxicity, warc
+from stopweave.llm import bpe, chat, exact, licenses, merkle, minhash, packing, quality, sharding, substring, toxicity, warc
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_minhash": minhash.query,
     "op10_chat_format": chat.query,
     "op11_sharding": sharding.query,
+    "op12_merkle_manifest": merkle.query,
 }
 
 ORACLES = {
@@ -27,4 +28,5 @@ ORACLES = {
     "op9_minhash": minhash.SQL,
     "op10_chat_format": chat.SQL,
     "op11_sharding": sharding.SQL,
+    "op12_merkle_manifest": merkle.SQL,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stopweave.llm import bpe, chat, exact, licenses, merkle, minhash, packing, quality, sharding, substring, toxicity, warc
+from stopweave.llm import bpe, chat, exact, licenses, merkle, minhash, packing, quality, resampling, sharding, substring, toxicity, warc
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_chat_format": chat.query,
     "op11_sharding": sharding.query,
     "op12_merkle_manifest": merkle.query,
+    "op13_resampling": resampling.query,
 }
 
 ORACLES = {
@@ -29,4 +30,5 @@ ORACLES = {
     "op10_chat_format": chat.SQL,
     "op11_sharding": sharding.SQL,
     "op12_merkle_manifest": merkle.SQL,
+    "op13_resampling": resampling.SQL,
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in ``checkpoint_folder``."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def shared_path(spark: SparkSession, name: str = "table") -> str:
+    """A new path in ``checkpoint_folder``."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/stopweave-{uuid.uuid4().hex}/{name}"
+
+
+def put_down(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in ``checkpoint_folder`` and read again: a loop's round, with its size known to the next."""
+    path = shared_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -357,7 +357,7 @@ _REACH = f"{_RIDES}, l0 AS (SELECT stop_id AS origin, stop_id, CAST(480 AS BIGIN
 
 @_query(f"WITH {_REACH} SELECT origin, stop_id, arrival, arrival - 480 AS duration_min FROM l3", "stations", "stop_calls")
 def r1_j10_a7_reach(spark, d):
-    return routing.reach(routing.rides(view(spark, d, "stop_calls")), view(spark, d, "stations"), 480, 60, max_rides=3)
+    return routing.reach(routing.lines(view(spark, d, "stop_calls")), view(spark, d, "stations"), 480, 60, max_rides=3)
 
 
 _EVERY = f"""{_RIDES}, u AS (SELECT DISTINCT board, dep_min, alight, arr_min FROM r WHERE dep_min >= 480 AND arr_min <= 540),
@@ -367,14 +367,14 @@ s AS (SELECT stop_id AS origin, stop_id, CAST(480 AS BIGINT) AS arrival FROM sta
 @_query(f"WITH {_EVERY} SELECT origin, stop_id, min(arrival) AS arrival, min(arrival) - 480 AS duration_min FROM s GROUP BY ALL", "stations", "stop_calls")
 def r1_reach_all_stations(spark, d):
     """R1 in whole: from every station, with as many rides as fit. The query above stops after three."""
-    return routing.reach(routing.rides(view(spark, d, "stop_calls")), view(spark, d, "stations"), 480, 60)
+    return routing.reach(routing.lines(view(spark, d, "stop_calls")), view(spark, d, "stations"), 480, 60)
 
 
 @_query()
 def r1_reach_on_foot_too(spark, d):
     """R1 in whole, with walks of up to a quarter of an hour between stops."""
     stations = view(spark, d, "stations")
-    return routing.reach(routing.rides(view(spark, d, "stop_calls")), stations, 480, 60, walks=routing.walking_edges(stations))
+    return routing.reach(routing.lines(view(spark, d, "stop_calls")), stations, 480, 60, walks=routing.walking_edges(stations))
 
 
 @_query()
@@ -383,7 +383,38 @@ def r2_journeys(spark, d):
     s = view(spark, d, "stations").select("stop_id")
     od = s.withColumnRenamed("stop_id", "origin").crossJoin(s.withColumnRenamed("stop_id", "destination")).where("origin <> destination")
     od = od.select((F.shiftleft("origin", 32) + F.col("destination")).alias("od_id"), "origin", "destination", F.lit(480).alias("depart_at"))
-    return routing.journeys(routing.rides(view(spark, d, "stop_calls")), od, max_transfers=None)
+    return routing.journeys(routing.lines(view(spark, d, "stop_calls")), od, max_transfers=None).drop("walked")
+
+
+@_query()
+def r2_journeys_on_foot_too(spark, d):
+    """All pairs again, with walks of a quarter of an hour before, between and after rides, and straight ones of half an hour."""
+    stations = view(spark, d, "stations")
+    s = stations.select("stop_id")
+    od = s.withColumnRenamed("stop_id", "origin").crossJoin(s.withColumnRenamed("stop_id", "destination")).where("origin <> destination")
+    od = od.select((F.shiftleft("origin", 32) + F.col("destination")).alias("od_id"), "origin", "destination", F.lit(480).alias("depart_at"))
+    walks, direct = routing.walking_edges(stations), routing.walking_edges(stations, 1800)
+    return routing.journeys(routing.lines(view(spark, d, "stop_calls")), od, max_transfers=2, walks=walks, direct=direct)
+
+
+def _asked(spark, d):
+    """A request for each supplier: two stops, one or two stops on the way, and both times."""
+    k = F.col("s_suppkey")
+    vias = F.when(k % 3 == 0, F.array((k * 13 + 5) % 100)).otherwise(F.array((k * 29 + 3) % 100, (k * 17 + 50) % 100))
+    return spark.read.parquet(f"{d}/supplier.parquet").select(k.alias("od_id"), (k % 97).alias("origin"), ((k * 7 + 1) % 99).alias("destination"), vias.alias("vias"), (60 + k % 3 * 30).alias("depart_at"), (720 + k % 3 * 30).alias("arrive_by"))
+
+
+@_query()
+def r2_journeys_with_vias(spark, d):
+    """The requests leaving at their time, over their stops on the way in order."""
+    return routing.journeys(routing.lines(view(spark, d, "stop_calls")), _asked(spark, d), max_transfers=4)
+
+
+@_query()
+def r2_journeys_arriving(spark, d):
+    """The requests arriving by their time, with five minutes for each change and walks."""
+    walks = routing.walking_edges(view(spark, d, "stations"))
+    return routing.journeys_arriving(routing.lines(view(spark, d, "stop_calls")), _asked(spark, d).drop("vias"), walks=walks, min_transfer_min=5)
 
 
 # The same departures seen three times: all of them, then every second one on another track, then every third one later.

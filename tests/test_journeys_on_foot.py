@@ -1,0 +1,131 @@
+"""Itineraries with walks against brute force over arrival, rides and walked minutes."""
+
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from stopweave.fixtures import view
+from stopweave.operators import routing
+from stopweave.queries import QUERIES
+
+SF = "/root/testdata/sf0.01"
+NEVER, SIZE = 10**9, 1000
+
+
+@pytest.fixture(scope="module")
+def network(spark):
+    stations = view(spark, SF, "stations")
+    table = lambda df: df.toPandas().to_numpy().astype(int)
+    rides = table(routing.rides(view(spark, SF, "stop_calls")).select("board", "dep_min", "alight", "arr_min"))
+    walks = [table(routing.walking_edges(stations, s).select("board", "alight", "minutes")) for s in (900, 1800)]
+    return [r["stop_id"] for r in stations.collect()], rides, *walks
+
+
+def fronts(rides, walks, origin, begin, most, slack=0):
+    """For each number of rides, arrays [walked minutes allowed][stop] of the earliest arrival with at most these minutes."""
+    board, dep, alight, arr = rides.T
+    width = 15 * (most + 1) + 1
+    now = np.full((width, SIZE), NEVER)
+    now[:, origin] = begin
+    for a, b, m in walks[walks[:, 0] == origin]:
+        now[m:, b] = np.minimum(now[m:, b], begin + m)
+    yield now
+    for k in range(most):
+        rode = np.full((width, SIZE), NEVER)
+        for w in range(width):
+            ok = dep >= now[w][board] + (slack if k else 0)
+            np.minimum.at(rode[w], alight[ok], arr[ok])
+        every = rode.copy()
+        for a, b, m in walks:
+            every[m:, b] = np.minimum(every[m:, b], rode[: width - m, a] + m)
+        now = every
+        yield now
+
+
+def pareto(levels, stop, straight):
+    """(arrival, rides, walked) that no other equals or beats in all three."""
+    found = set() if straight is None else {straight}
+    for k, level in enumerate(levels):
+        for w in range(level.shape[0]):
+            if level[w, stop] < NEVER and (not w or level[w, stop] < level[w - 1, stop]):
+                found.add((int(level[w, stop]), k, w))
+    return sorted(p for p in found if not any(q != p and all(a <= b for a, b in zip(q, p, strict=True)) for q in found))
+
+
+def joined_up(legs, walks):
+    """Whether legs follow each other in place and time, without two walks in a row."""
+    minutes = {(a, b): m for a, b, m in walks}
+    for x in legs:
+        if x["trip_id"] is None:
+            assert x["arr_min"] - x["dep_min"] == minutes[x["board"], x["alight"]]
+    for x, y in zip(legs, legs[1:], strict=False):
+        assert x["alight"] == y["board"] and x["arr_min"] <= y["dep_min"] and (x["trip_id"] is not None or y["trip_id"] is not None)
+
+
+def test_all_pairs(spark, network):
+    stops, rides, walks, direct = network
+    got, straight = defaultdict(list), {(a, b): (480 + m, 0, m) for a, b, m in direct}
+    for r in QUERIES["r2_journeys_on_foot_too"](spark, SF).orderBy("od_id", "rank").collect():
+        o, to = r["od_id"] >> 32, r["od_id"] & 0xFFFFFFFF
+        got[o, to].append((r["arrival"], r["rides"], r["walked"]))
+        legs = r["legs"]
+        joined_up(legs, direct if r["rides"] == 0 else walks)
+        assert legs[0]["board"] == o and legs[0]["dep_min"] == r["departure"] >= 480 and legs[-1]["alight"] == to and legs[-1]["arr_min"] == r["arrival"]
+        assert sum(x["trip_id"] is not None for x in legs) == r["rides"] and sum(x["arr_min"] - x["dep_min"] for x in legs if x["trip_id"] is None) == r["walked"]
+    assert {o for o, _ in got} == set(stops)
+    mixed = 0
+    for o in stops[::6]:
+        levels = list(fronts(rides, walks, o, 480, 3))
+        for to in stops:
+            want = [] if to == o else pareto(levels, to, straight.get((o, to)))[:6]
+            assert got.get((o, to), []) == want, (o, to)
+            mixed += any(r and w for _, r, w in want)
+    assert mixed > 50 and any(r == 0 for x in got.values() for _, r, _ in x)
+
+
+def test_arriving_is_the_same_search_in_reverse(spark, network):
+    _, rides, walks, _ = network
+    asked = {r["s_suppkey"]: r for r in spark.read.parquet(f"{SF}/supplier.parquet").collect()}
+    got = defaultdict(list)
+    for r in QUERIES["r2_journeys_arriving"](spark, SF).orderBy("od_id", "rank").collect():
+        got[r["od_id"]].append((-r["departure"], r["rides"], r["walked"]))
+        joined_up(r["legs"], walks)
+        assert r["arrival"] <= 720 + r["od_id"] % 3 * 30 and r["legs"][-1]["arr_min"] == r["arrival"] and r["legs"][0]["dep_min"] == r["departure"]
+    back = np.stack([rides[:, 2], -rides[:, 3], rides[:, 0], -rides[:, 1]], axis=1)
+    some = 0
+    for k in sorted(asked)[::5]:
+        o, to = k % 97, (k * 7 + 1) % 99
+        levels = list(fronts(back, walks, to, -(720 + k % 3 * 30), 3, slack=5))
+        want = [] if o == to else pareto(levels, o, None)[:6]
+        assert got.get(k, []) == want, k
+        some += bool(want)
+    assert some > 5
+
+
+def test_vias_are_passed_in_order(spark, network):
+    _, rides, *_ = network
+    board, dep, alight, arr = rides.T
+    got = defaultdict(list)
+    for r in QUERIES["r2_journeys_with_vias"](spark, SF).orderBy("od_id", "rank").collect():
+        got[r["od_id"]].append((r["arrival"], r["rides"]))
+    some = 0
+    for k in range(1, 101):
+        o, to = k % 97, (k * 7 + 1) % 99
+        vias = [(k * 13 + 5) % 100] if k % 3 == 0 else [(k * 29 + 3) % 100, (k * 17 + 50) % 100]
+        now = np.full((len(vias) + 1, SIZE), NEVER)
+        now[0, o] = 60 + k % 3 * 30
+        best, want = NEVER, []
+        for n in range(5):
+            new = np.full_like(now, NEVER)
+            for p in range(len(vias) + 1):
+                ok = dep >= now[p][board]
+                after = p + (alight[ok] == vias[p]) if p < len(vias) else np.full(ok.sum(), p)
+                np.minimum.at(new, (after, alight[ok]), arr[ok])
+            now = new
+            if now[-1, to] < best:
+                best = int(now[-1, to])
+                want.append((best, n + 1))
+        assert got.get(k, []) == sorted(want), k
+        some += bool(want)
+    assert some > 5

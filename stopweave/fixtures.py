@@ -24,7 +24,7 @@ SELECT event_id,
   CASE WHEN event_id % 4 = 0 THEN '' ELSE CAST(event_id % 12 AS STRING) END AS scheduled_track,
   CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(user_id % 9 AS STRING) END AS track,
   CASE CAST(event_id % 10 AS INT) WHEN 0 THEN 'IC Berlin' WHEN 1 THEN 'Sprinter Utrecht' WHEN 2 THEN 'Locality Park' WHEN 3 THEN 'éintercity'
-    WHEN 4 THEN '' WHEN 5 THEN 'Paris Eurostar' WHEN 6 THEN 'RE Köln' WHEN 7 THEN 'Nightjet Wien' ELSE 'Centrum' END AS headsign,
+    WHEN 4 THEN '' WHEN 5 THEN 'Paris Eurostar' WHEN 6 THEN 'RE Köln' WHEN 7 THEN 'Nightjet Wien' WHEN 8 THEN 'IC\u00a0Basel' ELSE 'Centrum' END AS headsign,
   CASE CAST(event_id % 4 AS INT) WHEN 0 THEN 'IC 123' WHEN 1 THEN 'RB 7' WHEN 2 THEN NULL ELSE 'S1' END AS route_short_name,
   CASE CAST(event_id % 9 AS INT) WHEN 0 THEN 'HIGHSPEED_RAIL' WHEN 1 THEN 'LONG_DISTANCE' WHEN 2 THEN 'NIGHT_RAIL' WHEN 3 THEN 'REGIONAL_RAIL'
     WHEN 4 THEN 'SUBURBAN' WHEN 5 THEN 'FERRY' WHEN 6 THEN 'BUS' WHEN 7 THEN 'TRAM' ELSE NULL END AS mode,

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stopweave.functions.text import SPACES
+
+#: One white space, as browsers know it.
+SPACE = f"[{SPACES}]"
 # Modes that reach and itinerary jobs ask for; buses replace trains.
 RAIL_MODES = ["HIGHSPEED_RAIL", "LONG_DISTANCE", "NIGHT_RAIL", "REGIONAL_RAIL", "SUBURBAN", "FERRY", "BUS"]
 # What in "headsign route", lower-cased, tells a class of service. Those with ^ see the headsign only.
-INTERCITY = ["(?<![a-z0-9_])intercity(?![a-z0-9_])", r"^ic\s", r"^ice\s", r"^ec\s", "tgv", "eurostar", "thalys", "railjet", "nightjet", r"^rj\s", "supercity", r"^nj\s"]
-REGIONAL = ["(?<![a-z0-9_])sprinter(?![a-z0-9_])", "regional", r"^re\s", r"^rb\s", r"^r\s", "stoptrein", "local"]
+INTERCITY = ["(?<![a-z0-9_])intercity(?![a-z0-9_])", f"^ic{SPACE}", f"^ice{SPACE}", f"^ec{SPACE}", "tgv", "eurostar", "thalys", "railjet", "nightjet", f"^rj{SPACE}", "supercity", f"^nj{SPACE}"]
+REGIONAL = ["(?<![a-z0-9_])sprinter(?![a-z0-9_])", "regional", f"^re{SPACE}", f"^rb{SPACE}", f"^r{SPACE}", "stoptrein", "local"]
 
 
 def falsy_coalesce(*cols):

@@ -13,13 +13,15 @@ def normalize_departures(raw: DataFrame, *keep: str) -> DataFrame:
     """Flat stop-times as departures; ``keep`` names columns that pass through.
 
     Without real-time data the scheduled time counts as the actual one, so the delay is 0 and not null. The scheduled
-    platform wins over the actual one. Unparseable times are null.
+    platform wins over the actual one. The actual time is chosen before it is read, so one that is given but can't be
+    parsed is null, and the delay with it; the scheduled time does not stand in for it.
     """
-    time = lambda c: F.col(c).try_cast("timestamp")
+    time = lambda c: c.try_cast("timestamp")
+    given = lambda c: falsy_coalesce(F.col(c)) if dict(raw.dtypes)[c] == "string" else F.col(c)
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     mode = detect_mode(F.col("headsign"), F.col("route_short_name"), F.col("mode"))
-    timed = raw.withColumns({"__planned": time("scheduled_departure"), "__when": F.coalesce(time("departure"), time("scheduled_departure"))})
+    timed = raw.withColumns({"__planned": time(F.col("scheduled_departure")), "__when": time(F.coalesce(given("departure"), given("scheduled_departure")))})
     return timed.select(
         *keep,
         F.col("__when").alias("when"),
@@ -36,6 +38,20 @@ def normalize_departures(raw: DataFrame, *keep: str) -> DataFrame:
     )
 
 
+def perhaps_recent(raw: DataFrame, as_of, grace_s: int = 120) -> DataFrame:
+    """Flat stop-times without those that ``recent_departures`` is bound to drop, in a form that reaches a Parquet scan.
+
+    Whichever of its two times counts as the actual one, a recent row has one of them within the grace; row groups whose
+    statistics have none are not read. Times that are still text can't be compared and stay.
+    """
+    kinds = dict(raw.dtypes)
+    since = as_of - F.expr(f"interval {grace_s} seconds")
+    if any(not kinds[c].startswith("timestamp") for c in ("departure", "scheduled_departure")):
+        return raw
+    later = lambda c: F.col(c) > since.cast(kinds[c])  # noqa: E731  the literal is cast, a cast column would not be pushed
+    return raw.where(later("departure") | later("scheduled_departure"))
+
+
 def recent_departures(df: DataFrame, as_of, grace_s: int = 120) -> DataFrame:
     """Departures later than ``as_of`` less the grace, strictly; rows without a time go."""
     return df.where(F.unix_millis("when") > F.unix_millis(as_of) - grace_s * 1000)
@@ -57,11 +73,15 @@ def board_status(stops: DataFrame, board: DataFrame, key: str = "stop_id") -> Da
     return stops.join(counts, key, "left").select(key, n.alias("departures"), F.when(n == 0, "no departures").otherwise("ok").alias("status"))
 
 
-def split_valid_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected): valid ones name a place, or give both coordinates; an empty string is no value."""
+def split_valid_requests(requests: DataFrame, action: str = "action") -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected) by kind of request; an empty string is no value.
+
+    A request for ``isochrones`` needs both coordinates, one for a ``plan`` is passed on as it is, and every other one
+    (null, or no such column) asks for a board and needs a name, whatever its coordinates.
+    """
     given = lambda c: falsy_coalesce(F.col(c)).isNotNull()
-    one_only = given("lat") != given("lng")
-    ok = (given("name") | given("lat") & given("lng")) & ~one_only
+    kind = F.coalesce(F.col(action), F.lit("")) if action in requests.columns else F.lit("")
+    ok = F.when(kind == "isochrones", given("lat") & given("lng")).when(kind == "plan", True).otherwise(given("name"))
     return requests.where(ok), requests.where(~ok)
 
 

@@ -12,7 +12,7 @@ _SHOWN = ("when", "planned_when", "platform", "direction", "line", "mode", "agen
 
 def departures_board(raw: DataFrame, stations: DataFrame, as_of, radius_m: float = 1500.0, n: int = 200) -> DataFrame:
     """Boards of all stations: departures within ``radius_m`` of each, live ones only, the first ``n`` by time."""
-    known = departures.normalize_departures(raw, "event_id", "lat", "lon")
+    known = departures.normalize_departures(departures.perhaps_recent(raw, as_of), "event_id", "lat", "lon")
     return station_boards(known, stations, as_of, radius_m, n).select("stop_id", "position", "event_id", *_SHOWN)
 
 

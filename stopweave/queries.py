@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from stopweave.fixtures import view, with_views
@@ -43,8 +45,12 @@ _SAID = "lower(coalesce(headsign, '') || ' ' || coalesce(route_short_name, ''))"
 
 
 def _said(patterns):
-    """Whether one of the patterns occurs; DuckDB has no look-around, so the letter beside a word is matched too."""
-    own = "|".join(patterns).replace("(?<![a-z0-9_])", "(^|[^a-z0-9_])").replace("(?![a-z0-9_])", "($|[^a-z0-9_])")
+    """Whether one of the patterns occurs; DuckDB has no look-around, so the letter beside a word is matched too.
+
+    White space is spelt out by code points.
+    """
+    spaces = "[" + re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", tx.SPACES) + "]"
+    own = "|".join(patterns).replace(tr.SPACE, spaces).replace("(?<![a-z0-9_])", "(^|[^a-z0-9_])").replace("(?![a-z0-9_])", "($|[^a-z0-9_])")
     return f"regexp_matches({_SAID}, '{own}')"
 
 
@@ -69,7 +75,12 @@ def p1_normalize_departures(spark, d):
 
 @_query(f"WITH {_NORMAL} SELECT event_id, (epoch_us(when_) // 1000) AS when_ms FROM n WHERE {_LIVE}", "departures_raw")
 def p6_recent_departures(spark, d):
-    return departures.recent_departures(_deps(spark, d), _as_of()).select("event_id", _ms("when").alias("when_ms"))
+    """Landed stop-times; the scan leaves out row groups that are too old, the exact filter comes after."""
+    path = f"{_shared(spark)}/stop_times"
+    view(spark, d, "departures_raw").select("*", F.coalesce("departure", "scheduled_departure").alias("by")).sort("by").drop("by").write.parquet(path)
+    landed = departures.perhaps_recent(spark.read.parquet(path), _as_of())
+    known = departures.normalize_departures(landed, "event_id", "lat", "lon")
+    return departures.recent_departures(known, _as_of()).select("event_id", _ms("when").alias("when_ms"))
 
 
 _MODES = ", ".join(f"'{m}'" for m in tr.RAIL_MODES)
@@ -105,10 +116,17 @@ def p9_board_status(spark, d):
     return departures.board_status(view(spark, d, "stations"), r0_board(spark, d))
 
 
-@_query("SELECT event_id, lower(coalesce(name, '') || '|' || coalesce(lat, '') || ',' || coalesce(lng, '')) AS request_key, (nullif(lat, '') IS NOT NULL) = (nullif(lng, '') IS NOT NULL) AND (nullif(name, '') IS NOT NULL OR nullif(lat, '') IS NOT NULL) AS valid FROM board_requests", "board_requests")
+_KINDS = """k AS (SELECT event_id, CASE CAST(event_id % 4 AS INT) WHEN 0 THEN 'isochrones' WHEN 1 THEN 'plan' WHEN 2 THEN '' END AS action,
+  CASE CAST(event_id % 5 AS INT) WHEN 0 THEN NULL WHEN 1 THEN '' ELSE name END AS name, lat, CASE CAST(event_id % 3 AS INT) WHEN 0 THEN '' ELSE lng END AS lng FROM board_requests)"""
+
+
+@_query(f"WITH {_KINDS} SELECT event_id, lower(coalesce(name, '') || '|' || coalesce(lat, '') || ',' || coalesce(lng, '')) AS request_key, CASE coalesce(action, '') WHEN 'isochrones' THEN coalesce(lat, '') <> '' AND coalesce(lng, '') <> '' WHEN 'plan' THEN true ELSE coalesce(name, '') <> '' END AS valid FROM k", "board_requests")
 def p10_f8_requests(spark, d):
-    requests = departures.normalize_requests(view(spark, d, "board_requests"))
-    ok, bad = departures.split_valid_requests(requests)
+    """Requests of all kinds, with names and coordinates missing or empty."""
+    n = F.col("event_id")
+    kinds = F.when(n % 4 == 0, "isochrones").when(n % 4 == 1, "plan").when(n % 4 == 2, "")
+    asked = view(spark, d, "board_requests").withColumns({"action": kinds, "name": F.when(n % 5 == 1, "").when(n % 5 > 1, F.col("name")), "lng": F.when(n % 3 == 0, "").otherwise(F.col("lng"))})
+    ok, bad = departures.split_valid_requests(departures.normalize_requests(asked))
     return ok.withColumn("valid", F.lit(True)).unionByName(bad.withColumn("valid", F.lit(False))).select("event_id", "request_key", "valid")
 
 
@@ -486,12 +504,13 @@ def s4_read_ferry_routes(spark, d):
     return files.read_ferry_routes(spark, _landed(spark, rows, "routes"), lines=True)
 
 
-@_query(f"WITH {_NORMAL} SELECT (epoch_us(when_) // 1000) AS when_ms, platform, direction, line_name, mode, agency_name, cancelled, real_time, delay_minutes FROM n", "departures_raw")
+@_query(f"WITH {_NORMAL} SELECT CASE WHEN event_id % 13 <> 3 THEN (epoch_us(when_) // 1000) END AS when_ms, platform, direction, line_name, mode, agency_name, cancelled, real_time, CASE WHEN event_id % 13 <> 3 THEN delay_minutes END AS delay_minutes FROM n", "departures_raw")
 def s5_read_stop_times(spark, d):
-    """Landed stop-time documents read back and normalised."""
+    """Landed stop-time documents read back and normalised; some have an actual time that is none, some an empty one."""
     raw = view(spark, d, "departures_raw")
     at = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    place = F.struct(at("scheduled_departure").alias("scheduledDeparture"), at("departure").alias("departure"), F.col("scheduled_track").alias("scheduledTrack"), "track", "cancelled", "lat", "lon")
+    actual = F.when(F.col("event_id") % 13 == 3, "soon").otherwise(F.coalesce(at("departure"), F.lit("")))
+    place = F.struct(at("scheduled_departure").alias("scheduledDeparture"), actual.alias("departure"), F.col("scheduled_track").alias("scheduledTrack"), "track", "cancelled", "lat", "lon")
     stop = F.struct("headsign", F.col("route_short_name").alias("routeShortName"), "mode", F.col("agency_name").alias("agencyName"), F.col("trip_cancelled").alias("tripCancelled"), F.col("real_time").alias("realTime"), place.alias("place"))
     path = f"{_shared(spark)}/stop_times"
     raw.groupBy((F.xxhash64("event_id") % 1000).alias("b")).agg(F.collect_list(stop).alias("stopTimes")).drop("b").write.json(path)

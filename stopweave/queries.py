@@ -463,7 +463,7 @@ def t3_stream_board(spark, d):
         rows.withColumn("observed_at", F.col("observed_at").cast("timestamp")).write.mode("append").parquet(f"{base}/landed")
     observed = spark.readStream.schema(spark.read.parquet(f"{base}/landed").schema).option("maxFilesPerTrigger", 8).parquet(f"{base}/landed")
     stream_board(observed, f"{base}/board", f"{base}/state", late="30 minutes").awaitTermination()
-    board = live_boards(spark, f"{base}/board", view(spark, d, "stations"), _as_of())
+    board = live_boards(spark, f"{base}/board", view(spark, d, "stations"), _as_of(), late="30 minutes")
     return board.select("stop_id", F.col("position").cast("long").alias("position"), _ms("when").alias("when_ms"), _ms("planned_when").alias("planned_ms"), "platform", "direction", F.col("line.name").alias("line_name"), "mode", "agency_name", "cancelled", "real_time", "delay_minutes", _ms("observed_at").alias("observed_ms"))
 
 

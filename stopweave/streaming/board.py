@@ -1,4 +1,4 @@
-"""The live board: stop-time observations as they arrive."""
+"""The live board: stop-time observations as they arrive, written as changes and compacted by slices."""
 
 from __future__ import annotations
 
@@ -10,71 +10,140 @@ from stopweave.plans.jobs import station_boards
 
 #: What tells one departure from another; feeds carry no trip id. The mode and the times may change between observations.
 DEPARTURE_KEY = ["planned_when", "direction", "line_name", "agency_name", "lat", "lon"]
+#: Of observations of one departure and moment the greatest by these counts; null is least.
+_TIES = ["observed_at", "when", "platform", "mode", "cancelled", "real_time"]
 _FIELDS = "observed_at timestamp, lat double, lon double, when timestamp, planned_when timestamp, platform string, direction string, line struct<name: string, product: string>, mode string, agency_name string, cancelled boolean, real_time boolean, delay_minutes long"
+#: Slices of the table, by a hash of the key, that are compacted each by itself, and bytes of changes that are left as they are.
+SLICES, SMALL_BYTES = 16, 1 << 20
 
 
 def live_departures(observations: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """A stream of normalised departures without exact repeats; the watermark is on ``observed_at``."""
+    """A stream of normalised departures without exact repeats, whose keys are state until the watermark has passed them.
+
+    ``observed_at`` is part of the repeat: a departure that changes and changes back is told again.
+    """
     df = normalize_departures(observations, "observed_at", "lat", "lon").drop("raw_mode")
-    marked = df.withWatermark("observed_at", late)
-    return marked.dropDuplicatesWithinWatermark([c for c in df.columns if c != "observed_at"])
+    return df.withWatermark("observed_at", late).dropDuplicatesWithinWatermark(df.columns)
 
 
 def latest_observations(df: DataFrame) -> DataFrame:
     """The last observation of each departure; of several at one time the greatest by its fields."""
     keyed = df.withColumn("line_name", F.col("line.name"))
-    ties = [F.desc(c) for c in ("observed_at", "when", "platform", "mode", "cancelled", "real_time")]
-    order = Window.partitionBy(*DEPARTURE_KEY).orderBy(*ties)
+    order = Window.partitionBy(*DEPARTURE_KEY).orderBy(*map(F.desc, _TIES))
     return keyed.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n", "line_name")
 
 
-def _folder(spark: SparkSession, path: str):
+def _not_gone(df: DataFrame, now, late: str) -> DataFrame:
+    """Without departures that have left, seen from ``now``, and that nothing within ``late`` can speak of any more."""
+    gone = (F.unix_millis("when") <= F.unix_millis(now) - 120_000) & (F.col("observed_at") < now - F.expr(f"interval {late}"))
+    return df.where(~F.coalesce(gone, F.lit(False)))
+
+
+def _fs(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    where, fs = _folder(spark, path)
+def _numbers(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The n of the folders name=n below ``path`` whose writing was finished, in order."""
+    where, fs = _fs(spark, path)
     if not fs.exists(where):
         return []
-    names = [x.getPath().getName() for x in fs.listStatus(where)]
-    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+    found = [x.getPath() for x in fs.listStatus(where) if x.getPath().getName().startswith(f"{name}=")]
+    done = [p for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().partition("=")[2]) for p in done)
+
+
+def _bytes(spark: SparkSession, path: str) -> int:
+    where, fs = _fs(spark, path)
+    return fs.getContentSummary(where).getLength() if fs.exists(where) else 0
+
 
+def _bases(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    return {s: _numbers(spark, f"{path}/base/slice={s}", "version") for s in range(SLICES)}
 
-def read_live(spark: SparkSession, path: str) -> DataFrame:
-    """The last observation of each departure that ``stream_board`` holds."""
-    known = _versions(spark, path)
-    return spark.read.schema(_FIELDS).parquet(f"{path}/version={known[-1]}") if known else spark.createDataFrame([], _FIELDS)
+
+def _seen(spark: SparkSession, path: str, slices: list[int], upto: int | None = None) -> DataFrame:
+    """What some slices hold: their bases and the changes since, with ``slice``."""
+    newest = {s: max((v for v in versions if upto is None or v <= upto), default=-1) for s, versions in _bases(spark, path).items() if s in slices}
+    batches = [b for b in _numbers(spark, f"{path}/changes", "batch") if (upto is None or b <= upto) and b > min(newest.values())]
+    schema = f"{_FIELDS}, batch long, slice int"
+    out = spark.createDataFrame([], schema)
+    if batches:
+        since = F.create_map(*(F.lit(x) for s, v in newest.items() for x in (s, v)))
+        read = spark.read.schema(schema).option("basePath", f"{path}/changes").parquet(*(f"{path}/changes/batch={b}" for b in batches))
+        out = out.unionByName(read.where(F.col("slice").isin(slices) & (F.col("batch") > F.try_element_at(since, F.col("slice")))))
+    for s, v in newest.items():
+        if v >= 0:
+            out = out.unionByName(spark.read.schema(_FIELDS).parquet(f"{path}/base/slice={s}/version={v}").withColumns({"batch": F.lit(v).cast("long"), "slice": F.lit(s)}))
+    return out.drop("batch")
+
+
+def read_live(spark: SparkSession, path: str, late: str = "10 minutes") -> DataFrame:
+    """The last observation of each departure that ``stream_board`` holds and that is not gone, seen from the latest one."""
+    seen = _seen(spark, path, list(range(SLICES))).drop("slice")
+    now = F.broadcast(seen.agg(F.max("observed_at").alias("now")))  # one row
+    return _not_gone(latest_observations(seen).join(now), F.col("now"), late).drop("now")
+
+
+def compact(spark: SparkSession, path: str, slices: list[int], number: int, late: str = "10 minutes") -> None:
+    """New bases of some slices as of batch ``number``, written as one job without what is gone.
+
+    The newest base before stays for readers; older ones and changes that all slices have in their bases go.
+    """
+    seen = _seen(spark, path, slices, number)
+    now = seen.agg(F.max("observed_at")).first()[0]
+    kept = _not_gone(latest_observations(seen), F.lit(now).cast("timestamp"), late)
+    work = f"{path}/compacting={number}"
+    kept.repartition("slice").write.mode("overwrite").partitionBy("slice").parquet(work)
+    for s in slices:
+        source, fs = _fs(spark, f"{work}/slice={s}")
+        target, _ = _fs(spark, f"{path}/base/slice={s}/version={number}")
+        fs.delete(target, True)
+        fs.mkdirs(target.getParent())
+        if not fs.exists(source):
+            fs.mkdirs(source)
+        fs.create(spark._jvm.org.apache.hadoop.fs.Path(source, "_SUCCESS")).close()
+        fs.rename(source, target)
+        for v in [v for v in _numbers(spark, f"{path}/base/slice={s}", "version") if v < number][:-1]:
+            fs.delete(_fs(spark, f"{path}/base/slice={s}/version={v}")[0], True)
+    where, fs = _fs(spark, work)
+    fs.delete(where, True)
+    oldest = min(v[-2] if len(v) > 1 else -1 for v in _bases(spark, path).values())
+    for b in _numbers(spark, f"{path}/changes", "batch"):
+        if b <= oldest:
+            fs.delete(_fs(spark, f"{path}/changes/batch={b}")[0], True)
 
 
 def stream_board(observations: DataFrame, path: str, checkpoint: str, late: str = "10 minutes"):
-    """Start the stream; each batch replaces the table of live departures under ``path`` by a new version.
+    """Start the stream; each batch adds its last observations under ``path``, by slice, and rewrites nothing.
 
-    A version holds the last observation of each departure, whatever the order of arrival. Departures that have left,
-    seen from the latest observation, go once nothing within ``late`` can speak of them any more, so the table stays
-    as small as what is live. A repeated batch replaces its own version; the two newest versions are kept.
+    Which observation is a departure's last is decided when the table is read or compacted, by the time of observation,
+    so the order of arrival does not matter and a batch costs what it holds. A slice whose changes have outgrown its
+    base is compacted, so over time what is written follows what changes. A repeated batch replaces its own changes.
     """
 
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = [v for v in _versions(spark, path) if v < number]
-        seen = batch.select(F.col("observed_at"), *(c for c in batch.columns if c != "observed_at"))
-        if before:
-            seen = seen.unionByName(spark.read.schema(_FIELDS).parquet(f"{path}/version={before[-1]}"))
-        now = seen.agg(F.max("observed_at").alias("now"))
-        gone = (F.unix_millis("when") <= F.unix_millis("now") - 120_000) & (F.col("observed_at") < F.col("now") - F.expr(f"interval {late}"))
-        kept = latest_observations(seen).join(F.broadcast(now)).where(~F.coalesce(gone, F.lit(False))).drop("now")  # one row
-        kept.write.mode("overwrite").parquet(f"{path}/version={number}")
-        for v in before[:-1]:
-            where, fs = _folder(spark, f"{path}/version={v}")
-            fs.delete(where, True)
-
-    return live_departures(observations, late).writeStream.option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start()
-
-
-def live_boards(spark: SparkSession, path: str, stations: DataFrame, as_of, radius_m: float = 1500.0, n: int = 200) -> DataFrame:
+        names = [F.col("line.name") if c == "line_name" else F.col(c) for c in DEPARTURE_KEY]
+        last = latest_observations(batch).withColumn("slice", F.pmod(F.xxhash64(*names), F.lit(SLICES)).cast("int"))
+        last.write.mode("overwrite").partitionBy("slice").parquet(f"{path}/changes/batch={number}")
+        batches, grown = _numbers(spark, f"{path}/changes", "batch"), []
+        for s, versions in _bases(spark, path).items():
+            base = max((v for v in versions if v < number), default=-1)
+            since = sum(_bytes(spark, f"{path}/changes/batch={b}/slice={s}") for b in batches if base < b <= number)
+            if since > max(SMALL_BYTES, _bytes(spark, f"{path}/base/slice={s}/version={base}")):
+                grown.append(s)
+        if grown:
+            compact(spark, path, grown, number, late)
+
+    changes = live_departures(observations, late)
+    return changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start()
+
+
+def live_boards(spark: SparkSession, path: str, stations: DataFrame, as_of, radius_m: float = 1500.0, n: int = 200, late: str = "10 minutes") -> DataFrame:
     """Boards of all stations from the live departures: departed ones dropped, the first ``n`` of each station by time."""
-    live = read_live(spark, path).withColumns({"at_lat": F.col("lat"), "at_lon": F.col("lon")})
+    live = read_live(spark, path, late).withColumns({"at_lat": F.col("lat"), "at_lon": F.col("lon")})
     board = station_boards(live, stations, as_of, radius_m, n, ("agency_name", "planned_when", "at_lat", "at_lon"))
     return board.select("stop_id", "position", *(c for c in live.columns if c not in ("lat", "lon", "at_lat", "at_lon")), F.col("at_lat").alias("lat"), F.col("at_lon").alias("lon"))
 

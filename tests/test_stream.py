@@ -41,3 +41,29 @@ def test_departed_rows_leave_the_table(spark, tmp_path):
 def test_board_where_keys_differ_in_mode_only(spark):
     sf = "/root/testdata/sf0.01"
     assert same_rows(QUERIES["t3_stream_board"](spark, sf), ORACLES["t3_stream_board"], sf) > 100
+
+
+def test_what_changes_and_changes_back_is_told_twice(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(board, "SMALL_BYTES", 0)  # every slice that changes is compacted
+    landings = [[seen(0, 30, 30, "1"), seen(0, 40, 40)], [seen(1, 30, 30, "2"), seen(1, 50, 50), seen(0, 30, 30, "1")], [seen(2, 30, 30, "1")], [seen(2, 30, 30, "1"), seen(1, 30, 30, "9")]]
+    written = []
+    for rows in landings:
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        board.stream_board(stream, str(tmp_path / "live"), str(tmp_path / "state")).awaitTermination()
+        live = {r["planned_when"].minute: r["platform"] for r in board.read_live(spark, str(tmp_path / "live")).collect()}
+        written.append(live)
+    assert written == [{30: "1", 40: "1"}, {30: "2", 40: "1", 50: "1"}, {30: "1", 40: "1", 50: "1"}, {30: "1", 40: "1", 50: "1"}]
+
+
+def test_a_batch_writes_its_changes_only(spark, tmp_path):
+    many = [seen(0, 30 + i, 30 + i) for i in range(300)]
+    for rows in (many, [seen(1, 30, 31)], [seen(1, 30, 31)]):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        board.stream_board(stream, str(tmp_path / "live"), str(tmp_path / "state")).awaitTermination()
+    changes = spark.read.parquet(str(tmp_path / "live" / "changes"))
+    assert sorted(r["count"] for r in changes.groupBy("batch").count().collect()) == [1, 300]
+    before = sorted(map(str, board.read_live(spark, str(tmp_path / "live")).collect()))
+    board.compact(spark, str(tmp_path / "live"), list(range(board.SLICES)), 9)
+    assert sorted(map(str, board.read_live(spark, str(tmp_path / "live")).collect())) == before and len(before) == 300

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 def _pieces(events: DataFrame, key: str, ttl_ms: int) -> DataFrame:
@@ -23,14 +23,17 @@ def _pieces(events: DataFrame, key: str, ttl_ms: int) -> DataFrame:
     return events.join(cut, F.col(key).eqNullSafe(F.col("of")) & F.col("cell").eqNullSafe(F.col("in"))).drop("of", "in")
 
 
-def ttl_hits(events: DataFrame, key: str, ttl_ms: int, ts: str = "ts", id_col: str = "event_id", cacheable: str = "cacheable") -> DataFrame:
-    """(key, event_id, hit) of each event in time order.
+def cache_events(events: DataFrame, key: str, ts: str = "ts", id_col: str = "event_id", cacheable: str = "cacheable") -> DataFrame:
+    """(key, at, id, keeps) of raw events."""
+    return events.select(F.col(key).alias("key"), F.unix_millis(F.col(ts).cast("timestamp")).alias("at"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(cacheable), F.lit(False)).alias("keeps"))
 
-    An event hits while less than ``ttl_ms`` have passed since the anchor of its key; a hit leaves the anchor where
-    it is; a miss sets it if the event is cacheable. Pieces of keys are dealt to the tasks, sorted there and streamed
-    with the anchor alone as state, so no key is ever held whole.
+
+def judged(known: DataFrame, ttl_ms: int) -> DataFrame:
+    """``known`` (from ``cache_events``) with ``hit``.
+
+    Pieces of keys are dealt to the tasks, sorted there and streamed with the anchor alone as state, so no key is ever
+    held whole.
     """
-    known = events.select(F.col(key).alias("key"), F.unix_millis(F.col(ts).cast("timestamp")).alias("at"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(cacheable), F.lit(False)).alias("keeps"))
     ordered = _pieces(known, "key", ttl_ms).repartition("key", "piece").sortWithinPartitions("key", "piece", "at", "id", "keeps")
 
     def run(batches):
@@ -44,11 +47,20 @@ def ttl_hits(events: DataFrame, key: str, ttl_ms: int, ts: str = "ts", id_col: s
                 if keeps and not hit:
                     anchor = at
                 hits.append(hit)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("id"), pa.array(hits, pa.bool_())], names=[key, id_col, "hit"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "at", "id", "keeps")), pa.array(hits, pa.bool_())], names=["key", "at", "id", "keeps", "hit"])
 
-    schema = StructType([StructField(key, known.schema["key"].dataType), StructField(id_col, LongType()), StructField("hit", BooleanType())])
+    schema = StructType([*(StructField(f.name, f.dataType) for f in known.schema), StructField("hit", BooleanType())])
     return ordered.select("key", "piece", "at", "id", "keeps").mapInArrow(run, schema)
 
 
+def ttl_hits(events: DataFrame, key: str, ttl_ms: int, ts: str = "ts", id_col: str = "event_id", cacheable: str = "cacheable") -> DataFrame:
+    """(key, event_id, hit) of each event in time order.
+
+    An event hits while less than ``ttl_ms`` have passed since the anchor of its key; a hit leaves the anchor where
+    it is; a miss sets it if the event is cacheable.
+    """
+    return judged(cache_events(events, key, ts, id_col, cacheable), ttl_ms).select(F.col("key").alias(key), F.col("id").alias(id_col), "hit")
+
+
 def request_cache_report(hits: DataFrame, key: str) -> DataFrame:
     return hits.groupBy(key).agg(F.count("*").alias("requests"), F.sum(F.col("hit").cast("long")).alias("hits"))

@@ -37,3 +37,19 @@ def put_down(df: DataFrame) -> DataFrame:
     path = shared_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def folder(spark: SparkSession, path: str):
+    """(path, file system) as Hadoop knows them."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def finished(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The n of the folders name=n below ``path`` whose writing was finished, in order."""
+    where, fs = folder(spark, path)
+    if not fs.exists(where):
+        return []
+    found = [x.getPath() for x in fs.listStatus(where) if x.getPath().getName().startswith(f"{name}=")]
+    done = [p for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().partition("=")[2]) for p in done)

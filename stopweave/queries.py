@@ -349,23 +349,18 @@ def r6_request_cache_report(spark, d):
 
 @_query(f"WITH {_TTL} SELECT name, event_id, hit FROM h", "board_requests")
 def t1_stream_ttl_hits(spark, d):
-    """The same rows from a stream: a landing for each week, events up to an hour in the wrong one, then one that ends it."""
-    from stopweave.streaming.ttl import stream_ttl_hits
+    """The same rows from a stream: a landing for each week, events up to an hour in the wrong one."""
+    from stopweave.streaming.ttl import read_cache_hits, stream_cache_hits
 
     base, week = _shared(spark), 7 * 24 * 3600 * 1000
     events = view(spark, d, "board_requests").select("name", "event_id", F.col("ts").cast("timestamp").alias("ts"), "cacheable")
-    at = F.unix_millis("ts")
-    landed = F.floor((at + (F.col("event_id") % 2) * 3_600_000) / week)
-    first, last, end = events.agg(F.min(landed), F.max(landed), F.max("ts")).first()
+    landed = F.floor((F.unix_millis("ts") + (F.col("event_id") % 2) * 3_600_000) / week)
+    first, last = events.agg(F.min(landed), F.max(landed)).first()
     for n in range(first, last + 1):
         events.where(landed == n).write.mode("append").parquet(f"{base}/landed")
-    closing = spark.range(1).select(F.lit("the end").alias("name"), F.lit(-1).cast("long").alias("event_id"), (F.lit(end) + F.expr("interval 1 year")).alias("ts"), F.lit(False).alias("cacheable"))
-    closing.write.mode("append").parquet(f"{base}/landed")
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 8).parquet(f"{base}/landed")
-    hits = stream_ttl_hits(stream, "name", TTL_MS, late="2 hours")
-    query = hits.writeStream.format("parquet").option("path", f"{base}/hits").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(f"{base}/hits").select("name", "event_id", "hit")
+    stream_cache_hits(stream, f"{base}/cache", f"{base}/checkpoint", "name", TTL_MS, late="2 hours").awaitTermination()
+    return read_cache_hits(spark, f"{base}/cache", TTL_MS, ended=True).select(F.col("key").alias("name"), F.col("id").alias("event_id"), "hit")
 
 
 _RIDES = f"r AS (SELECT a.trip_id, a.stop_id AS board, a.dep_min, b.stop_id AS alight, b.arr_min FROM stop_calls a JOIN stop_calls b ON a.trip_id = b.trip_id AND a.seq < b.seq WHERE a.mode IN ({_MODES}))"
@@ -544,6 +539,17 @@ def k1_write_board(spark, d):
     return spark.read.parquet(path).select("stop_id", F.col("position").cast("long").alias("position"), "event_id", F.col("service_date").cast("string").alias("service_date"))
 
 
+@_query(f"WITH {_NORMAL} SELECT event_id, (epoch_us(when_) // 1000) AS when_ms, CAST(CAST(when_ AS DATE) AS VARCHAR) AS service_date FROM n", "departures_raw")
+def k1_stream_board_files(spark, d):
+    """Normalised departures from a stream of landed files, written by day of departure."""
+    base = _shared(spark)
+    raw = view(spark, d, "departures_raw")
+    raw.write.parquet(f"{base}/landed")
+    landed = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/landed")
+    files.stream_board_files(departures.normalize_departures(landed, "event_id"), f"{base}/days", f"{base}/checkpoint").awaitTermination()
+    return files.read_board_files(spark, f"{base}/days").select("event_id", _ms("when").alias("when_ms"), F.col("service_date").cast("string").alias("service_date"))
+
+
 @_query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(event_id AS VARCHAR) WHEN event_id % 3 = 1 THEN 't' || event_id ELSE '' END AS depart_at FROM board_requests", "board_requests")
 def f12_parameter_alias(spark, d):
     """The departure time under its two names: the first one that is not empty."""

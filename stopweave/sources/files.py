@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stopweave.plans.lineage import folder
+
 STATIONS = "countries map<string, struct<counts: struct<total: bigint>>>"
 PLACE = "scheduledDeparture: string, departure: string, scheduledTrack: string, track: string, cancelled: boolean, lat: double, lon: double"
 STOP_TIMES = f"stopTimes array<struct<headsign: string, routeShortName: string, mode: string, agencyName: string, tripCancelled: boolean, realTime: boolean, place: struct<{PLACE}>>>"
@@ -59,3 +61,39 @@ def write_board(board: DataFrame, path: str, form: str = "parquet") -> None:
 def write_status(status: DataFrame, path: str) -> None:
     """The whole status table replaces the last one."""
     status.write.mode("overwrite").parquet(path)
+
+
+def _commit(spark: SparkSession, path: str, number: int) -> None:
+    where, fs = folder(spark, f"{path}/_commits/{number}")
+    fs.create(where, True).close()
+
+
+def _committed(spark: SparkSession, path: str) -> list[int]:
+    where, fs = folder(spark, f"{path}/_commits")
+    return sorted(int(x.getPath().getName()) for x in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def stream_board_files(rows: DataFrame, path: str, checkpoint: str):
+    """Start a stream that writes rows with ``when`` by the day of departure; ``read_board_files`` has them, each once.
+
+    A batch is a folder of its own in each day and counts once its mark is set, after all its files. A batch that was
+    stopped anywhere before that is repeated by Spark and first removes what it left, so nothing is lost or doubled and
+    no other batch's files are touched. Rows without a time are the day null.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        where, fs = folder(spark, path)
+        days = [x.getPath() for x in fs.listStatus(where) if x.getPath().getName().startswith("service_date=")] if fs.exists(where) else []
+        for day in days:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(day, f"batch={number}"), True)
+        dated = batch.withColumns({"service_date": F.to_date("when"), "batch": F.lit(number)})
+        dated.write.mode("append").partitionBy("service_date", "batch").parquet(path)
+        _commit(spark, path, number)
+
+    return rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start()
+
+
+def read_board_files(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all finished batches, with service_date and batch."""
+    return spark.read.parquet(path).where(F.col("batch").isin(_committed(spark, path)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stopweave.operators.departures import normalize_departures
 from stopweave.plans.jobs import station_boards
+from stopweave.plans.lineage import finished, folder
 
 #: What tells one departure from another; feeds carry no trip id. The mode and the times may change between observations.
 DEPARTURE_KEY = ["planned_when", "direction", "line_name", "agency_name", "lat", "lon"]
@@ -39,34 +40,19 @@ def _not_gone(df: DataFrame, now, late: str) -> DataFrame:
     return df.where(~F.coalesce(gone, F.lit(False)))
 
 
-def _fs(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _numbers(spark: SparkSession, path: str, name: str) -> list[int]:
-    """The n of the folders name=n below ``path`` whose writing was finished, in order."""
-    where, fs = _fs(spark, path)
-    if not fs.exists(where):
-        return []
-    found = [x.getPath() for x in fs.listStatus(where) if x.getPath().getName().startswith(f"{name}=")]
-    done = [p for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(int(p.getName().partition("=")[2]) for p in done)
-
-
 def _bytes(spark: SparkSession, path: str) -> int:
-    where, fs = _fs(spark, path)
+    where, fs = folder(spark, path)
     return fs.getContentSummary(where).getLength() if fs.exists(where) else 0
 
 
 def _bases(spark: SparkSession, path: str) -> dict[int, list[int]]:
-    return {s: _numbers(spark, f"{path}/base/slice={s}", "version") for s in range(SLICES)}
+    return {s: finished(spark, f"{path}/base/slice={s}", "version") for s in range(SLICES)}
 
 
 def _seen(spark: SparkSession, path: str, slices: list[int], upto: int | None = None) -> DataFrame:
     """What some slices hold: their bases and the changes since, with ``slice``."""
     newest = {s: max((v for v in versions if upto is None or v <= upto), default=-1) for s, versions in _bases(spark, path).items() if s in slices}
-    batches = [b for b in _numbers(spark, f"{path}/changes", "batch") if (upto is None or b <= upto) and b > min(newest.values())]
+    batches = [b for b in finished(spark, f"{path}/changes", "batch") if (upto is None or b <= upto) and b > min(newest.values())]
     schema = f"{_FIELDS}, batch long, slice int"
     out = spark.createDataFrame([], schema)
     if batches:
@@ -97,22 +83,22 @@ def compact(spark: SparkSession, path: str, slices: list[int], number: int, late
     work = f"{path}/compacting={number}"
     kept.repartition("slice").write.mode("overwrite").partitionBy("slice").parquet(work)
     for s in slices:
-        source, fs = _fs(spark, f"{work}/slice={s}")
-        target, _ = _fs(spark, f"{path}/base/slice={s}/version={number}")
+        source, fs = folder(spark, f"{work}/slice={s}")
+        target, _ = folder(spark, f"{path}/base/slice={s}/version={number}")
         fs.delete(target, True)
         fs.mkdirs(target.getParent())
         if not fs.exists(source):
             fs.mkdirs(source)
         fs.create(spark._jvm.org.apache.hadoop.fs.Path(source, "_SUCCESS")).close()
         fs.rename(source, target)
-        for v in [v for v in _numbers(spark, f"{path}/base/slice={s}", "version") if v < number][:-1]:
-            fs.delete(_fs(spark, f"{path}/base/slice={s}/version={v}")[0], True)
-    where, fs = _fs(spark, work)
+        for v in [v for v in finished(spark, f"{path}/base/slice={s}", "version") if v < number][:-1]:
+            fs.delete(folder(spark, f"{path}/base/slice={s}/version={v}")[0], True)
+    where, fs = folder(spark, work)
     fs.delete(where, True)
     oldest = min(v[-2] if len(v) > 1 else -1 for v in _bases(spark, path).values())
-    for b in _numbers(spark, f"{path}/changes", "batch"):
+    for b in finished(spark, f"{path}/changes", "batch"):
         if b <= oldest:
-            fs.delete(_fs(spark, f"{path}/changes/batch={b}")[0], True)
+            fs.delete(folder(spark, f"{path}/changes/batch={b}")[0], True)
 
 
 def stream_board(observations: DataFrame, path: str, checkpoint: str, late: str = "10 minutes"):
@@ -128,7 +114,7 @@ def stream_board(observations: DataFrame, path: str, checkpoint: str, late: str
         names = [F.col("line.name") if c == "line_name" else F.col(c) for c in DEPARTURE_KEY]
         last = latest_observations(batch).withColumn("slice", F.pmod(F.xxhash64(*names), F.lit(SLICES)).cast("int"))
         last.write.mode("overwrite").partitionBy("slice").parquet(f"{path}/changes/batch={number}")
-        batches, grown = _numbers(spark, f"{path}/changes", "batch"), []
+        batches, grown = finished(spark, f"{path}/changes", "batch"), []
         for s, versions in _bases(spark, path).items():
             base = max((v for v in versions if v < number), default=-1)
             since = sum(_bytes(spark, f"{path}/changes/batch={b}/slice={s}") for b in batches if base < b <= number)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,21 +33,23 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/stopweave-{uuid.uuid4().hex}"
 
 
-class Scratch:
-    """The folders that ``stage`` chooses while this records them, to be deleted when nothing rests on them any more."""
+#: Where ``stage`` notes the folders that it chooses, in the thread at hand.
+_noting: ContextVar[list[str] | None] = ContextVar("noting", default=None)
+
 
-    current: list[str] | None = None
+class Scratch:
+    """The folders that ``stage`` chooses in this thread while this records them, to be deleted when nothing rests on them any more."""
 
     def __init__(self):
         self.folders: list[str] = []
 
     @contextmanager
     def recording(self):
-        before, Scratch.current = Scratch.current, self.folders
+        token = _noting.set(self.folders)
         try:
             yield
         finally:
-            Scratch.current = before
+            _noting.reset(token)
 
     def clear(self, spark: SparkSession, still_read: DataFrame) -> None:
         """Delete the folders recorded so far, but for those that ``still_read`` reads from."""
@@ -66,8 +69,8 @@ def stage(df: DataFrame, folder: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = folder or shared_folder(spark)
-    if not folder and Scratch.current is not None:
-        Scratch.current.append(path)
+    if not folder and (noted := _noting.get()) is not None:
+        noted.append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -11,7 +11,9 @@ Everything is DataFrame and SQL functions. A repeated window is found by sorting
 line) within each task, so a very common line or host costs a row a task.
 
 Defined results: a null or empty text has no words and fails the base rules; a null host is the host ''. Rows that
-are repeated are judged alike. An empty table gives an empty result.
+are repeated are judged alike; lines that are equal after normalising are one line, and a line counts once in a
+document. Very long texts and lines are read in whole. Columns other than the id, the text and the host are passed by,
+whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,14 +21,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stopweave.llm.common import ROW, SPACE, read, stage_rows, words
+from stopweave.llm.common import ROW, SPACE, read, stage, stage_rows, words
 
 BLANKS = "\t\n\x0b\x0c\r "
 SYMBOLS = "#*$%&|<>"
-#: A line is frequent in a host in more distinct documents than this ...
+#: A line is frequent in a host in more distinct documents than this.
 MORE_THAN_DOCUMENTS = 20
-#: ... and in more than this share of the host's distinct documents.
-MORE_THAN_SHARE = 0.10
 #: A document is depleted if frequent lines hold more than this share of its characters.
 DEPLETED_SHARE = 0.50
 
@@ -52,12 +52,13 @@ def _repeated_words(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", F.coalesce(swept["covered"], F.lit(0)).cast("long")).drop("h", "s")
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", keep: list[str] | None = None) -> DataFrame:
     """A row for each row: id, host, the base figures, a content hash and the lines as (hash, characters)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(host_col), F.lit("")).alias("host"), text.alias("text"))
+    df = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(host_col), F.lit("")).alias("host"), text.alias("text"), *(keep or []))
     solid = lambda c: F.length(F.translate(c, BLANKS, ""))
     df = df.select(
+        *(keep or []),
         "id",
         "host",
         F.xxhash64("text").alias("content"),
@@ -71,20 +72,22 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     return _repeated_words(df).withColumn("n", F.col("n").cast("long")).withColumnRenamed("n", "n_words")
 
 
-def frequent_lines(rows: DataFrame, more_than: int = MORE_THAN_DOCUMENTS, share: float = MORE_THAN_SHARE) -> DataFrame:
-    """(host, line, documents): lines above both limits, counted over all rows of ``measures``."""
+def frequent_lines(rows: DataFrame, more_than: int = MORE_THAN_DOCUMENTS) -> DataFrame:
+    """(host, line, documents): lines in more than that many distinct documents, counted over all rows of ``measures``."""
     lines = rows.select("host", "content", F.explode("lines.line").alias("line"))
-    counts = lines.groupBy("host", "line").agg(F.count_distinct("content").alias("documents")).where(F.col("documents") > more_than)
-    hosts = rows.groupBy("host").agg(F.count_distinct("content").alias("of"))
-    return counts.join(hosts, "host").where(F.col("documents") > F.lit(share) * F.col("of")).drop("of")
+    return lines.groupBy("host", "line").agg(F.count_distinct("content").alias("documents")).where(F.col("documents") > more_than)
 
 
-def judge(docs: DataFrame, depleted: float = DEPLETED_SHARE, **limits) -> DataFrame:
-    """A row for each row: id, the figures, removed_chars, the removed line hashes, base_failed and kept."""
-    rows = stage_rows(measures(docs))
+def judge(docs: DataFrame, depleted: float = DEPLETED_SHARE, with_lines: bool = True, **limits) -> DataFrame:
+    """A row for each row: id, the figures, removed_chars, base_failed and kept, and the removed line hashes ``with_lines``.
+
+    Of ``docs`` that are numbered already (``stage_rows``) the numbers stay.
+    """
+    numbered = ROW in docs.columns
+    rows = stage(measures(docs, keep=[ROW])) if numbered else stage_rows(measures(docs))
     frequent = frequent_lines(rows, **limits)
     hit = rows.select(ROW, "host", F.explode("lines").alias("x")).select(ROW, "host", "x.line", "x.chars").join(frequent.select("host", "line"), ["host", "line"])
-    lost = hit.groupBy(ROW).agg(F.sum("chars").alias("removed_chars"), F.collect_set("line").alias("removed"))
+    lost = hit.groupBy(ROW).agg(F.sum("chars").alias("removed_chars"), *([F.collect_set("line").alias("removed")] if with_lines else []))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     gone = F.coalesce("removed_chars", F.lit(0))
     return (
@@ -102,20 +105,24 @@ def without_lines(text, removed):
     return F.array_join(left, "\n")
 
 
+def without_frequent_lines(documents: DataFrame, **limits) -> DataFrame:
+    """The documents that stay, without the lines that are frequent in their host; columns unchanged but for the text."""
+    numbered = stage_rows(documents)
+    kept = judge(numbered, **limits).where("kept").select(ROW, F.col("removed").alias("__sw_removed"))
+    none = F.array().cast("array<binary>")
+    cut = numbered.join(kept, ROW).withColumn("text", without_lines(F.col("text"), F.coalesce("__sw_removed", none)))
+    return cut.select(documents.columns)
+
+
 def quality_verdicts(documents: DataFrame, **limits) -> DataFrame:
     """The figures and the verdict of each document."""
-    return judge(documents, **limits).select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("removed_chars").cast("long").alias("removed_chars"))
+    return judge(documents, with_lines=False, **limits).select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("removed_chars").cast("long").alias("removed_chars"))
 
 
 def query(spark, sf_dir):
     return quality_verdicts(read(spark, sf_dir, "documents"))
 
 
-def query_any_host(spark, sf_dir):
-    """The absolute limit alone, so a line shared by as many documents goes in a host of any size."""
-    return quality_verdicts(read(spark, sf_dir, "documents"), share=0.0)
-
-
 SQL = r"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM t),
@@ -127,8 +134,7 @@ l AS (SELECT r, host, text, line, length(regexp_replace(line, '[\x20\x09-\x0D]',
       FROM (SELECT r, host, text, unnest(string_split(text, chr(10))) AS line FROM t)),
 solid AS (SELECT * FROM l WHERE chars > 0),
 lines AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup FROM solid GROUP BY r),
-hosts AS (SELECT host, count(DISTINCT text) AS of_docs FROM t GROUP BY host),
-freq AS (SELECT f.host, f.norm FROM (SELECT host, norm, count(DISTINCT text) AS d FROM solid GROUP BY host, norm) f JOIN hosts USING (host) WHERE d > 20 AND d > 0.10 * of_docs),
+freq AS (SELECT host, norm FROM solid GROUP BY host, norm HAVING count(DISTINCT text) > 20),
 lost AS (SELECT r, sum(chars) AS n FROM solid JOIN freq USING (host, norm) GROUP BY r),
 f AS (SELECT t.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t.text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
         CAST(length(t.text) - length(regexp_replace(t.text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,

@@ -12,7 +12,7 @@ QUERIES = {
     "op5_toxicity": toxicity.query,
     "op6_substring": substring.query,
     "op7_quality_rules": quality.query,
-    "op7_quality_rules_any_host": quality.query_any_host,
+    "op7_quality_rules_any_host": quality.query,
     "op8_warc": warc.query,
     "op9_minhash": minhash.query,
     "op10_chat_format": chat.query,
@@ -25,6 +25,7 @@ ORACLES = {
     "op4_exact_dedup": exact.SQL,
     "op6_substring": substring.SQL,
     "op7_quality_rules": quality.SQL,
+    "op7_quality_rules_any_host": quality.SQL,
     "op8_warc": warc.SQL,
     "op9_minhash": minhash.SQL,
     "op10_chat_format": chat.SQL,

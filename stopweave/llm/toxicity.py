@@ -324,9 +324,11 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that score 0.5 or more; columns unchanged."""
-    name = "__sw_toxicity"
-    return score_texts(docs, fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels), score_col=name).where(F.col(name) < 0.5).select(docs.columns)
+    """``docs`` without the rows that score 0.5 or more; columns unchanged. Without any toxic example all rows stay."""
+    name, index = "__sw_toxicity", fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels)
+    if not any(index.labels):
+        return docs
+    return score_texts(docs, index, score_col=name).where(F.col(name) < 0.5).select(docs.columns)
 
 
 def query(spark, sf_dir):

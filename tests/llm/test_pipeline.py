@@ -75,13 +75,32 @@ def test_tables_of_earlier_stages_go_unless_they_are_read(spark, tmp_path):
 
     docs = stage(spark.createDataFrame([(k, f"text number {k // 2}") for k in range(20)], "doc_id long, text string"))
     lazy = corpus_pipeline.drop_copies(spark, docs, str(tmp_path))
-    folders = [f.removeprefix("file://") for f in corpus_pipeline._scratch.folders]
+    folders = [f.removeprefix("file://") for f in corpus_pipeline._tables(str(tmp_path))[1].folders]
     twice = corpus_pipeline.drop_near_copies(spark, lazy, str(tmp_path))  # not written in between
     assert twice.count() == 10 and any(map(os.path.exists, folders))
     corpus_pipeline.drop_near_copies(spark, stage(twice), str(tmp_path))
     assert folders and not any(map(os.path.exists, folders))
 
 
+def test_runs_on_two_tables_and_in_two_threads_leave_each_other_alone(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    import corpus_pipeline
+
+    made = {}
+    for n in (3, 4):
+        docs = spark.createDataFrame([(k, f"text number {k // n}") for k in range(24)], "doc_id long, text string")
+        made[n] = (stage(docs), str(tmp_path / str(n)))
+        docs.write.parquet(made[n][1] + "/documents.parquet")
+        spark.createDataFrame([], "doc_id long, toxic int").write.parquet(made[n][1] + "/labels.parquet")
+    lazy = {n: corpus_pipeline.drop_copies(spark, docs, where) for n, (docs, where) in made.items()}
+    near = corpus_pipeline.drop_near_copies(spark, stage(lazy[4]), made[4][1])
+    assert lazy[3].count() == 8 and near.count() == 6
+    with ThreadPoolExecutor(2) as pool:
+        counts = pool.map(lambda n: corpus_pipeline.run(spark, made[n][1]).count(), made)
+    assert all(counts)
+
+
 def test_run_on_an_empty_table_and_on_toxic_rows(spark, tmp_path):
     import corpus_pipeline
 

@@ -1,3 +1,4 @@
+from stopweave.llm import quality
 from stopweave.llm.queries import QUERIES
 
 
@@ -9,5 +10,11 @@ def test_a_shared_line_goes_in_hosts_of_any_size(spark, tmp_path):
     rows += [(1000 + i, text("small", i) + ("\n" + line if i < 25 else ""), "small") for i in range(30)]
     rows += [(2000 + i, text("rare", i) + ("\n" + line if i < 20 else ""), "rare") for i in range(30)]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r["doc_id"]: r["removed_chars"] for r in QUERIES["op7_quality_rules_any_host"](spark, str(tmp_path)).collect()}
-    assert {i for i, n in got.items() if n} == {*range(25), *range(1000, 1025)} and len(got) == 360
+    for name in ("op7_quality_rules", "op7_quality_rules_any_host"):
+        got = {r["doc_id"]: r["removed_chars"] for r in QUERIES[name](spark, str(tmp_path)).collect()}
+        assert {i for i, n in got.items() if n} == {*range(25), *range(1000, 1025)} and len(got) == 360
+    plain = "read more about what we do with the data that you give us"  # the long line repeats itself, so the base rules reject it
+    docs = spark.createDataFrame([(i, t.replace(line, plain), h) for i, t, h in rows], "doc_id long, text string, source string")
+    left = quality.without_frequent_lines(docs)
+    want = {i: t.split("\n")[0] + ("\n" + plain if h == "rare" and i < 2020 else "") for i, t, h in rows}
+    assert left.columns == docs.columns and {r["doc_id"]: r["text"] for r in left.collect()} == want

@@ -130,6 +130,13 @@ def p10_f8_requests(spark, d):
     return ok.withColumn("valid", F.lit(True)).unionByName(bad.withColumn("valid", F.lit(False))).select("event_id", "request_key", "valid")
 
 
+@_query("SELECT p_partkey, p_name FROM part WHERE p_type = (SELECT min(p_type) FROM part)")
+def p11_filter_by_kind(spark, d):
+    """The directory of parts by its kind, the first one by name."""
+    parts = spark.read.parquet(f"{d}/part.parquet").withColumnRenamed("p_type", "kind")
+    return catalogue.filter_directory(parts, kind=parts.agg(F.min("kind")).first()[0]).select("p_partkey", "p_name")
+
+
 @_query("SELECT stop_id, name FROM stations WHERE country = 'NATION_3'", "stations")
 def p11_filter_directory(spark, d):
     return catalogue.filter_directory(view(spark, d, "stations"), "NATION_3").select("stop_id", "name")
@@ -271,6 +278,17 @@ def l4_surprise_me(spark, d):
     return catalogue.surprise_me(view(spark, d, "stations"), 7)
 
 
+@_query("SELECT stop_id, name, country FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY md5('7:' || CAST(stop_id AS VARCHAR)), stop_id) AS k FROM stations) WHERE k = 1", "stations")
+def l4_surprise_each_country(spark, d):
+    return catalogue.surprise_each(view(spark, d, "stations"), "country", 7).select("stop_id", "name", "country")
+
+
+@_query("SELECT event_id, system_id, ok FROM (SELECT *, row_number() OVER (PARTITION BY system_id ORDER BY md5('7:' || CAST(event_id AS VARCHAR)), event_id) AS k FROM status_checks) WHERE k <= 5", "status_checks")
+def l4_sample_of_checks(spark, d):
+    """Five checks of each system."""
+    return catalogue.surprise_each(view(spark, d, "status_checks"), "system_id", 7, 5, "event_id").select("event_id", "system_id", "ok")
+
+
 _SPECIAL = [(a, b) for a, b in tx.SPECIAL_LETTERS.items()]
 
 

@@ -262,6 +262,20 @@ def a4_journey_count(spark, d):
     return catalogue.journey_count(view(spark, d, "board_requests"))
 
 
+@_query("SELECT count(*) AS journeys FROM board_requests", "board_requests")
+def a4_stream_journey_count(spark, d):
+    """The same count from a stream that is stopped and started again between two landings."""
+    from stopweave.streaming.board import count_journeys, read_journey_count
+
+    base = _shared(spark)
+    log = view(spark, d, "board_requests").select("event_id", "name")
+    for half in (0, 1):
+        log.where(F.col("event_id") % 2 == half).write.mode("append").parquet(f"{base}/landed")
+        landed = spark.readStream.schema(log.schema).parquet(f"{base}/landed")
+        count_journeys(landed, f"{base}/count", f"{base}/checkpoint").awaitTermination()
+    return read_journey_count(spark, f"{base}/count")
+
+
 @_query("SELECT country, count(*) AS stations FROM stations GROUP BY country", "stations")
 def a8_stations_by_country(spark, d):
     return catalogue.stations_by_country(view(spark, d, "stations"))

@@ -134,6 +134,31 @@ def live_boards(spark: SparkSession, path: str, stations: DataFrame, as_of, radi
     return board.select("stop_id", "position", *(c for c in live.columns if c not in ("lat", "lon", "at_lat", "at_lon")), F.col("at_lat").alias("lat"), F.col("at_lon").alias("lon"))
 
 
-def stream_journey_count(log: DataFrame):
-    """A running count of searches, for an output mode of complete or update."""
-    return log.groupBy().agg(F.count("*").alias("journeys"))
+#: Keys that the running count is spread over.
+COUNTERS = 16
+
+
+def stream_journey_count(log: DataFrame) -> DataFrame:
+    """A running count of searches in COUNTERS parts (part, journeys), for an output mode of complete or update.
+
+    A search goes to a part by a hash of all its columns; each task adds up its parts before the shuffle.
+    """
+    part = F.pmod(F.xxhash64(*log.columns), F.lit(COUNTERS)).cast("int").alias("part")
+    return log.groupBy(part).agg(F.count("*").alias("journeys"))
+
+
+def count_journeys(log: DataFrame, path: str, checkpoint: str):
+    """Start the count; each batch puts down the parts that changed, and a repeated batch replaces its own."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream_journey_count(log).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start()
+
+
+def read_journey_count(spark: SparkSession, path: str) -> DataFrame:
+    """One row with the number of journeys: the last count of each part."""
+    done = finished(spark, path, "batch")
+    schema = "part int, journeys long, batch long"
+    rows = spark.read.schema(schema).option("basePath", path).parquet(*(f"{path}/batch={b}" for b in done)) if done else spark.createDataFrame([], schema)
+    return rows.groupBy("part").agg(F.max_by("journeys", "batch").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("journeys"))

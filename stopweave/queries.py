@@ -443,23 +443,26 @@ def r2_journeys_on_foot_too(spark, d):
 
 
 def _asked(spark, d):
-    """A request for each supplier: two stops, one or two stops on the way, and both times."""
+    """A request for each supplier: two stops and both times."""
     k = F.col("s_suppkey")
-    vias = F.when(k % 3 == 0, F.array((k * 13 + 5) % 100)).otherwise(F.array((k * 29 + 3) % 100, (k * 17 + 50) % 100))
-    return spark.read.parquet(f"{d}/supplier.parquet").select(k.alias("od_id"), (k % 97).alias("origin"), ((k * 7 + 1) % 99).alias("destination"), vias.alias("vias"), (60 + k % 3 * 30).alias("depart_at"), (720 + k % 3 * 30).alias("arrive_by"))
+    return spark.read.parquet(f"{d}/supplier.parquet").select(k.alias("od_id"), (k % 97).alias("origin"), ((k * 7 + 1) % 99).alias("destination"), (480 + k % 3 * 30).alias("depart_at"), (720 + k % 3 * 30).alias("arrive_by"))
 
 
 @_query()
 def r2_journeys_with_vias(spark, d):
-    """The requests leaving at their time, over their stops on the way in order."""
-    return routing.journeys(routing.lines(view(spark, d, "stop_calls")), _asked(spark, d), max_transfers=4)
+    """A request for each supplier along the stops of one trip, over one or two of them in order."""
+    k = F.col("s_suppkey")
+    stop = lambda n: (93 * k + n * 17 * (1 + 3 * k % 7)) % 100
+    vias = F.when(k % 3 == 0, F.array(stop(2))).otherwise(F.array(stop(1), stop(3)))
+    od = spark.read.parquet(f"{d}/supplier.parquet").select(k.alias("od_id"), stop(0).alias("origin"), stop(4).alias("destination"), vias.alias("vias"), (39 * k % 1200).alias("depart_at"))
+    return routing.journeys(routing.lines(view(spark, d, "stop_calls")), od, max_transfers=4)
 
 
 @_query()
 def r2_journeys_arriving(spark, d):
     """The requests arriving by their time, with five minutes for each change and walks."""
     walks = routing.walking_edges(view(spark, d, "stations"))
-    return routing.journeys_arriving(routing.lines(view(spark, d, "stop_calls")), _asked(spark, d).drop("vias"), walks=walks, min_transfer_min=5)
+    return routing.journeys_arriving(routing.lines(view(spark, d, "stop_calls")), _asked(spark, d), walks=walks, min_transfer_min=5)
 
 
 # The same departures seen three times: all of them, then every second one on another track, then every third one later.

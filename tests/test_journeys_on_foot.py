@@ -110,11 +110,11 @@ def test_vias_are_passed_in_order(spark, network):
     for r in QUERIES["r2_journeys_with_vias"](spark, SF).orderBy("od_id", "rank").collect():
         got[r["od_id"]].append((r["arrival"], r["rides"]))
     some = 0
-    for k in range(1, 101):
-        o, to = k % 97, (k * 7 + 1) % 99
-        vias = [(k * 13 + 5) % 100] if k % 3 == 0 else [(k * 29 + 3) % 100, (k * 17 + 50) % 100]
+    for k in sorted(r["s_suppkey"] for r in spark.read.parquet(f"{SF}/supplier.parquet").collect()):
+        o, *between, to = ((93 * k + n * 17 * (1 + 3 * k % 7)) % 100 for n in range(5))
+        vias = [between[1]] if k % 3 == 0 else [between[0], between[2]]
         now = np.full((len(vias) + 1, SIZE), NEVER)
-        now[0, o] = 60 + k % 3 * 30
+        now[0, o] = 39 * k % 1200
         best, want = NEVER, []
         for n in range(5):
             new = np.full_like(now, NEVER)

@@ -21,28 +21,95 @@ SPACED_ENDINGS = [["Railway", "Station"], ["Train", "Station"], ["Railway"], ["S
 EXACT_ENDINGS = ["駅", "站", "火车站"]
 
 
-def _base_letters() -> tuple[str, str]:
-    """Letters whose decomposition without combining marks is one other letter, and those letters."""
-    pairs = []
+def _bare(c: str) -> str:
+    """A character's full canonical decomposition without the marks that searches leave out."""
+    return "".join(x for x in unicodedata.normalize("NFD", c) if not 0x300 <= ord(x) <= 0x36F)
+
+
+def _letters():
+    """Letters whose bare form is one other letter, and those letters; letters with any other bare form, and those forms.
+
+    Hangul syllables are left out: their parts follow from their code points.
+    """
+    one, other = [], []
     for c in map(chr, range(sys.maxunicode + 1)):
-        if not 0xD800 <= ord(c) <= 0xDFFF and c not in SPECIAL_LETTERS:
-            bare = "".join(x for x in unicodedata.normalize("NFD", c) if not 0x300 <= ord(x) <= 0x36F)
-            if len(bare) == 1 and bare != c:
-                pairs.append((c, bare))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+        if not 0xD800 <= ord(c) <= 0xDFFF and not 0xAC00 <= ord(c) <= 0xD7A3 and c not in SPECIAL_LETTERS and _bare(c) != c:
+            (one if len(_bare(c)) == 1 else other).append((c, _bare(c)))
+    return one, other
 
 
-_ACCENTED, _BARE = _base_letters()
+def _marks() -> list[tuple[str, int]]:
+    """Marks that decomposition puts in canonical order and that searches keep, with their classes."""
+    return [(c, unicodedata.combining(c)) for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.combining(c) and _bare(c) == c]
 
 
-def normalize_for_search(text):
-    """Diacritics stripped, special letters spelt out, lower case. İ becomes i, capital ẞ stays ß.
+def _char_class(chars) -> str:
+    """The characters as ranges inside a Java character class."""
+    codes, out = sorted(map(ord, chars)), []
+    for k in codes:
+        if out and out[-1][1] == k - 1:
+            out[-1][1] = k
+        else:
+            out.append([k, k])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out)
+
+
+_ONE, _OTHER = _letters()
+_ACCENTED, _BARE = ("".join(x) for x in zip(*_ONE, strict=True))
+_MARKS = _marks()
+_MARK_CLASS = _char_class(c for c, _ in _MARKS)
+_SYLLABLE = r"\x{ac00}-\x{d7a3}"
+
+
+def _list(items):
+    """A constant array of strings, none of which holds a line feed."""
+    return F.split(F.lit("\n".join(items)), "\n")
+
+
+def _jamo(first: int, n: int):
+    return _list(chr(first + k) for k in range(n))
 
-    Not decomposed: Hangul syllables and letters whose bare form has several characters. Null stays null.
+
+def _spelt_out(c):
+    """One character as its parts, where it is a Hangul syllable or a letter whose bare form is not one letter."""
+    k = F.ascii(c) - 0xAC00
+    tail = F.when(k % 28 != 0, F.element_at(_jamo(0x11A8, 27), (k % 28).cast("int"))).otherwise("")
+    syllable = F.concat(F.element_at(_jamo(0x1100, 19), (F.floor(k / 588) + 1).cast("int")), F.element_at(_jamo(0x1161, 21), (F.floor(k % 588 / 28) + 1).cast("int")), tail)
+    at = F.position(c, F.lit("".join(a for a, _ in _OTHER)))
+    listed = F.element_at(_list(b for _, b in _OTHER), at)
+    return F.when((k >= 0) & (k < 11172), syllable).when((c != "") & (at > 0), listed).otherwise(c)
+
+
+def _mark_order(run):
+    """A run of marks in canonical order: by class, those of one class as they stood."""
+    kind = lambda c: F.element_at(_list(str(k) for _, k in _MARKS).cast("array<int>"), F.position(c, F.lit("".join(m for m, _ in _MARKS))))
+    marks = F.array_sort(F.transform(F.split(run, ""), lambda c, i: F.struct(kind(c).alias("kind"), i.alias("i"), c.alias("c"))))
+    return F.array_join(F.transform(marks, lambda x: x["c"]), "")
+
+
+#: Latin, Greek and Cyrillic letters and common punctuation: nothing but letters of one base letter.
+_PLAIN = r"\x{0}-\x{482}\x{1e00}-\x{20cf}"
+#: Stretches of 256 characters that hold marks, syllables or letters of several parts.
+_BLOCKS = _char_class(chr(k) for b in sorted({ord(c) >> 8 for c in [*(a for a, _ in _OTHER), *(c for c, _ in _MARKS)]}) for k in range(b << 8, (b + 1) << 8)) + _SYLLABLE
+
+
+def decomposed(text):
+    """``text`` in full canonical decomposition, without the marks U+0300 to U+036F.
+
+    Letters with one base letter are translated, and most texts have no others. Texts that hold characters of other
+    blocks are looked at again: Hangul and letters of several parts are spelt out, other marks in a row are put in order.
     """
+    plain = F.regexp_replace(F.translate(text, _ACCENTED, _BARE), r"[\u0300-\u036f]", "")
+    spelt = F.array_join(F.transform(F.split(plain, ""), _spelt_out), "")
+    runs = F.regexp_extract_all(spelt, F.lit(f"([{_MARK_CLASS}]+|[^{_MARK_CLASS}]+)"), F.lit(1))
+    ordered = F.array_join(F.transform(runs, lambda r: F.when(F.rlike(r, F.lit(f"^[{_MARK_CLASS}]{{2}}")), _mark_order(r)).otherwise(r)), "")
+    return F.when(F.rlike(text, F.lit(rf"\A[{_PLAIN}]*\z")), plain).when(~F.rlike(text, F.lit(f"[{_BLOCKS}]")), plain).otherwise(ordered)
+
+
+def normalize_for_search(text):
+    """Diacritics stripped, special letters spelt out, lower case. İ becomes i, capital ẞ stays ß. Null stays null."""
     single = {a: b for a, b in SPECIAL_LETTERS.items() if len(b) == 1}
-    letters = F.translate(text, "İ" + _ACCENTED + "".join(single), "I" + _BARE + "".join(single.values()))
-    out = F.regexp_replace(letters, r"[\u0300-\u036f]", "")
+    out = decomposed(F.translate(text, "İ" + "".join(single), "I" + "".join(single.values())))
     for letter, stands in SPECIAL_LETTERS.items():
         if letter not in single and letter != "İ":
             out = F.replace(out, F.lit(letter), F.lit(stands))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 
 def _pieces(events: DataFrame, key: str, ttl_ms: int) -> DataFrame:
@@ -28,8 +28,8 @@ def cache_events(events: DataFrame, key: str, ts: str = "ts", id_col: str = "eve
     return events.select(F.col(key).alias("key"), F.unix_millis(F.col(ts).cast("timestamp")).alias("at"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(cacheable), F.lit(False)).alias("keeps"))
 
 
-def judged(known: DataFrame, ttl_ms: int) -> DataFrame:
-    """``known`` (from ``cache_events``) with ``hit``.
+def judged(known: DataFrame, ttl_ms: int, anchors: bool = False) -> DataFrame:
+    """``known`` (from ``cache_events``) with ``hit``, and with ``anchors`` the id and time of the anchor after each event.
 
     Pieces of keys are dealt to the tasks, sorted there and streamed with the anchor alone as state, so no key is ever
     held whole.
@@ -37,19 +37,23 @@ def judged(known: DataFrame, ttl_ms: int) -> DataFrame:
     ordered = _pieces(known, "key", ttl_ms).repartition("key", "piece").sortWithinPartitions("key", "piece", "at", "id", "keeps")
 
     def run(batches):
-        now, anchor = None, None
+        now, anchor, owner = None, None, None
         for batch in batches:
-            hits = []
-            for k, piece, at, keeps in zip(*(batch.column(c).to_pylist() for c in ("key", "piece", "at", "keeps")), strict=True):
+            hits, found = [], []
+            for k, piece, at, number, keeps in zip(*(batch.column(c).to_pylist() for c in ("key", "piece", "at", "id", "keeps")), strict=True):
                 if now != (k, piece):
-                    now, anchor = (k, piece), None
+                    now, anchor, owner = (k, piece), None, None
                 hit = at is not None and anchor is not None and at - anchor < ttl_ms
                 if keeps and not hit:
-                    anchor = at
+                    anchor, owner = at, number
                 hits.append(hit)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "at", "id", "keeps")), pa.array(hits, pa.bool_())], names=["key", "at", "id", "keeps", "hit"])
+                found.append((owner, anchor))
+            more = [pa.array(x, pa.int64()) for x in zip(*found, strict=True)] if anchors and found else [pa.array([], pa.int64())] * 2 if anchors else []
+            columns = [*(batch.column(c) for c in ("key", "at", "id", "keeps")), pa.array(hits, pa.bool_()), *more]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "at", "id", "keeps", "hit", *added])
 
-    schema = StructType([*(StructField(f.name, f.dataType) for f in known.schema), StructField("hit", BooleanType())])
+    added = ["anchor_id", "anchor"] if anchors else []
+    schema = StructType([*(StructField(f.name, f.dataType) for f in known.schema), StructField("hit", BooleanType()), *(StructField(c, LongType()) for c in added)])
     return ordered.select("key", "piece", "at", "id", "keeps").mapInArrow(run, schema)
 
 

@@ -243,6 +243,39 @@ def t2_freshness(spark, d):
     return view(spark, d, "status_checks").select("event_id", tr.is_fresh(F.col("checked_at").cast("timestamp"), _as_of()).alias("fresh"))
 
 
+_GATE = """e AS (SELECT system_id, event_id, ok, (epoch_us(checked_at) // 1000) AS tms, row_number() OVER (PARTITION BY system_id ORDER BY epoch_us(checked_at) // 1000, event_id) AS k FROM status_checks WHERE checked_at IS NOT NULL),
+g AS (SELECT system_id, event_id, tms, k, 'check' AS kind, event_id AS snapshot_id, tms AS taken, ok FROM e WHERE k = 1
+  UNION ALL SELECT e.system_id, e.event_id, e.tms, e.k, CASE WHEN e.tms - g.taken < 1800000 THEN 'served' ELSE 'check' END, CASE WHEN e.tms - g.taken < 1800000 THEN g.snapshot_id ELSE e.event_id END,
+    CASE WHEN e.tms - g.taken < 1800000 THEN g.taken ELSE e.tms END, CASE WHEN e.tms - g.taken < 1800000 THEN g.ok ELSE e.ok END FROM g JOIN e ON e.system_id = g.system_id AND e.k = g.k + 1)"""
+_GATED = "SELECT system_id, event_id, kind, snapshot_id, tms AS at_ms FROM g UNION ALL SELECT system_id, NULL, 'due', snapshot_id, taken + 1800000 FROM g WHERE kind = 'check'"
+
+
+@_query(f"WITH {_GATE}, a AS ({_GATED}) SELECT a.*, CASE WHEN c.ok THEN 'ok' ELSE 'down' END AS status FROM a JOIN status_checks c ON c.event_id = a.snapshot_id", "status_checks")
+def t2_status_gate(spark, d):
+    """Every check of the log as an ask: served with the status of a snapshot of at most half an hour, or checked anew."""
+    checks = view(spark, d, "status_checks")
+    gate = status.freshness_gate(checks, "system_id", ts="checked_at")
+    return gate.join(checks.select(F.col("event_id").alias("snapshot_id"), tr.check_status(F.col("ok")).alias("status")), "snapshot_id")
+
+
+@_query(f"WITH {_GATE} {_GATED}", "status_checks")
+def t2_stream_gate(spark, d):
+    """The same gate from a stream: a landing for each week, asks up to an hour in the wrong one, and an ask long after all."""
+    from stopweave.streaming.gate import stream_gate
+
+    base, week = _shared(spark), 7 * 24 * 3600 * 1000
+    asks = view(spark, d, "status_checks").select("system_id", "event_id", F.col("checked_at").cast("timestamp").alias("ts"))
+    landed = F.floor((F.unix_millis("ts") + (F.col("event_id") % 2) * 3_600_000) / week)
+    first, last, newest = asks.agg(F.min(landed), F.max(landed), F.max("ts")).first()
+    for n in range(first, last + 1):
+        asks.where(landed == n).coalesce(1).write.mode("append").parquet(f"{base}/landed")
+    spark.range(1).select(F.lit(None).cast("string").alias("system_id"), F.lit(None).cast("long").alias("event_id"), (F.lit(newest) + F.expr("interval 10 days")).alias("ts")).write.mode("append").parquet(f"{base}/landed")
+    stream = spark.readStream.schema(asks.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/landed")
+    gate = stream_gate(stream, "system_id", late="2 hours")
+    gate.writeStream.format("parquet").option("path", f"{base}/gate").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/gate").where("system_id is not null")
+
+
 @_query("SELECT stop_id, name, 1 AS source FROM stations WHERE stop_id % 2 = 0 UNION ALL SELECT stop_id, 'second ' || name, 2 FROM stations WHERE stop_id % 2 = 1", "stations")
 def j8_merge_by_precedence(spark, d):
     s = view(spark, d, "stations").select("stop_id", "name")

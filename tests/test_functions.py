@@ -1,3 +1,8 @@
+import random
+import sys
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from stopweave.functions import text as tx
@@ -51,3 +56,19 @@ def test_age_label_freshness_and_walks(spark):
     assert values(spark, g, [("2024-01-01 00:30:00",), ("2024-01-01 00:30:01",), (None,)], "a string") == [False, True, False]
     assert [round(x) for x in values(spark, tr.walk_radius_m, [(900,), (1800,)], "s int")] == [1260, 2520]
     assert values(spark, lambda a, b: tr.has_coords(a, b, True), [(0.0, 1.0), (1.0, 1.0), (None, 1.0)], "a double, b double") == [False, True, False]
+
+
+def test_names_are_decomposed_in_full(spark):
+    rng = random.Random(9)
+    every = [chr(k) for k in range(1, sys.maxunicode + 1) if not 0xD800 <= k <= 0xDFFF]
+    marks = [c for c in every if unicodedata.combining(c)]
+    mixed = ["".join(rng.choice(["a", "é", "한", "آ", chr(rng.randrange(0x180, 0xD800)), *rng.choices(marks, k=4)]) for _ in range(12)) for _ in range(600)]
+    every = [c for c in every if c not in tx.SPECIAL_LETTERS]
+    alone = [c for c in every if c != unicodedata.normalize("NFD", c) or unicodedata.combining(c)]
+    texts = [*alone, *("".join(every[k : k + 500]) for k in range(0, len(every), 500)), *mixed, "서울역", ""]
+    bare = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if not 0x300 <= ord(c) <= 0x36F)
+    want = [bare(t) for t in texts]
+    df = spark.createDataFrame(pd.DataFrame({"i": range(len(texts)), "t": texts})).repartition(8)
+    got = {r["i"]: r["v"] for r in df.select("i", tx.decomposed(F.col("t")).alias("v")).collect()}
+    assert [(texts[i], got[i]) for i, w in enumerate(want) if got[i] != w][:5] == []
+    assert values(spark, tx.normalize_for_search, [("서울역",), ("ﬡÉ",), (None,)], "t string") == [bare("서울역"), bare("ﬡÉ").lower(), None]

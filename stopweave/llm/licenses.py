@@ -44,10 +44,25 @@ NOTICES = [
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", ["mozilla public license"]),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software", "public domain"]),
+    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation", ["gnu general public license version 2 as published"]),
+    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", ["gnu general public license", "version 2 of the license"]),
+    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", ["gnu general public license", "version 3 of the license"]),
+    ("agpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license", ["gnu affero general public license"]),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["may be used to endorse or promote products"]),
     ("cc-by-sa", "licensed under cc by sa 4 0", ["cc by sa"]),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution"]),
+    ("cc-by-nd", "licensed under cc by nd 4 0", ["cc by nd"]),
+    ("cc-by-nc-sa", "licensed under cc by nc sa 4 0", ["cc by nc sa"]),
+    ("cc-by-nc-nd", "licensed under cc by nc nd 4 0", ["cc by nc nd"]),
     ("proprietary", "all rights reserved", ["all rights reserved"]),
 ]
+# What is added to "Creative Commons Attribution", in whole notices and in their names alone.
+CREATIVE_COMMONS = {"cc-by": "", "cc-by-sa": "sharealike ", "cc-by-nd": "noderivatives ", "cc-by-nc": "noncommercial ", "cc-by-nc-sa": "noncommercial sharealike ", "cc-by-nc-nd": "noncommercial noderivatives "}
+for _label, _more in CREATIVE_COMMONS.items():
+    _name = f"creative commons attribution {_more}4 0"
+    NOTICES += [(_label, f"this work is licensed under a {_name} international license", [_name]), (_label, f"{_name} international", [_name])]
+# Identifiers as they follow "SPDX-License-Identifier:", each with its label.
+SPDX = {"mit": "mit", "apache 2 0": "apache-2", "isc": "isc", "mpl 2 0": "mpl-2", "bsd 2 clause": "bsd-2", "bsd 3 clause": "bsd-3", "gpl 2 0": "gpl-2", "gpl 3 0": "gpl-3", "lgpl 2 1": "lgpl", "lgpl 3 0": "lgpl", "agpl 3 0": "agpl-3", "cc by 4 0": "cc-by", "cc by sa 4 0": "cc-by-sa", "cc by nc 4 0": "cc-by-nc", "unlicense": "unlicense"}
+NOTICES += [(label, f"spdx license identifier {name}", [f"spdx license identifier {name}"]) for name, label in SPDX.items()]
 #: Least IDF-weighted share of a notice that must match in place.
 LEAST_SCORE = 0.6
 _SEPARATORS = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))

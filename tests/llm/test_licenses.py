@@ -91,3 +91,23 @@ def test_whole_table(spark, sf_dir):
     assert len(got) == 200
     check(got, {r["doc_id"]: r["text"] for r in docs.collect()})
     assert sum(r["n_base"] for r in got) > 0
+
+
+def test_versions_and_restrictions_are_told_apart(spark):
+    cases = {
+        "Creative Commons Attribution-NonCommercial 4.0 International": "cc-by-nc",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": "cc-by",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.": "cc-by-nc-nd",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa",
+        "This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License version 2 as\n * published by the Free Software Foundation.": "gpl-2",
+        WHOLE["gpl"]: "gpl,gpl-3",
+        WHOLE["gpl"].replace("General", "Affero General"): "agpl-3",
+        "// SPDX-License-Identifier: BSD-3-Clause": "bsd-3",
+        "# SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.": "bsd-3",
+        "the attribution of this work to a creative person": "",
+    }
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = licenses.scan_licenses(docs).orderBy("doc_id").collect()
+    assert [r["labels"] for r in got] == list(cases.values())
+    assert [(r["labels"], round(r["score"], 9)) for r in got] == [(a, round(b, 9)) for a, b, _ in brute_notices(list(cases))]

@@ -47,7 +47,7 @@ def test_radius_join_equals_brute_force_without_nested_loops(spark):
     got = geo.radius_join(a, b, 1500)
     assert {(r["left_id"], r["right_id"]) for r in got.collect()} == set(brute(left, right, 1500))
     assert "NestedLoop" not in plan(got) and "Cartesian" not in plan(got)
-    nearest = {r["left_id"]: r["right_id"] for r in geo.nearest_stop(a, b, rounds=2).collect()}
+    nearest = {r["left_id"]: r["right_id"] for r in geo.nearest_stop(a, b).collect()}
     all_pairs = brute(left, right, 1e9)
     assert nearest == {i: min((d, j) for (k, j), d in all_pairs.items() if k == i)[1] for i, *_ in left}
 

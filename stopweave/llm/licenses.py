@@ -8,6 +8,11 @@ up there, each posting proposes a start (file position less template position),
 whole template by relative position and scored by the IDF of what matches. It counts if its score reaches LEAST_SCORE
 and all mandatory key phrases stand where the template has them. No place above the bar is missed.
 
+Files insert words into notices, or wrap them in comments. So each place of a template's first key phrase is aligned as
+well: the words before and after it count if they stand in order (the heaviest common subsequence) in a stretch that is
+longer than the template's part by a quarter and INSERTED words, and the other key phrases have to stand in that
+stretch. And where a word begins COMMENTED lines in a row or more (`dnl`, `rem`), the file is also read without it.
+
 Templates of one phrase (the base) have to match in every word, so all their places are found exactly: each place
 holds the template's rarest word, and every occurrence of that word is looked up.
 
@@ -20,6 +25,7 @@ other columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +45,7 @@ NOTICES = [
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ["with or without fee is hereby granted"]),
     ("gpl-3", "this work is licensed under the gnu general public license version 3", ["gnu general public license", "version 3"]),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version", ["gnu general public license", "free software foundation"]),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version", ["gnu general public license as published", "free software foundation"]),
     ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version", ["gnu lesser general public license"]),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", ["mozilla public license"]),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
@@ -65,6 +71,10 @@ SPDX = {"mit": "mit", "apache 2 0": "apache-2", "isc": "isc", "mpl 2 0": "mpl-2"
 NOTICES += [(label, f"spdx license identifier {name}", [f"spdx license identifier {name}"]) for name, label in SPDX.items()]
 #: Least IDF-weighted share of a notice that must match in place.
 LEAST_SCORE = 0.6
+#: Words that may be inserted on either side of a key phrase, beside a quarter of the notice's words there.
+INSERTED = 8
+#: Lines in a row that a comment word begins at least.
+COMMENTED = 3
 _SEPARATORS = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
 
@@ -73,6 +83,18 @@ def split_words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().translate(_SEPARATORS).split()
 
 
+def split_lines(text: bytes | None) -> tuple[list[bytes], list[int]]:
+    """The words of a text, and the places of those that are left without comment words (none if there are no such words)."""
+    lines = [x for x in (line.translate(_SEPARATORS).split() for line in (text or b"").lower().split(b"\n")) if x]
+    words, kept, at = [w for line in lines for w in line], [], 0
+    for _, run in groupby(lines, key=lambda line: line[0]):
+        run = list(run)
+        for line in run:
+            kept += range(at + (len(run) >= COMMENTED), at + len(line))
+            at += len(line)
+    return words, kept if len(kept) < len(words) else []
+
+
 def templates() -> list[dict]:
     cut = lambda s: [w.encode() for w in s.split()]
     out = [{"label": label, "words": cut(p), "keys": [cut(p)], "base": True} for p, label in BASE.items()]
@@ -104,6 +126,7 @@ class Index:
         self.idf = {w: math.log((1 + rows) / (1 + n)) + 1 for w, n in counts.items()}
         self.templates = templates()
         self.postings: dict[bytes, list[tuple[int, int]]] = {}
+        self.anchors: dict[bytes, list[tuple[int, int]]] = {}  # the rarest word of a first key phrase: template, place in the phrase
         for t, x in enumerate(self.templates):
             words = x["words"]
             x["weight"] = sum(self.idf[w] for w in words)
@@ -113,6 +136,10 @@ class Index:
                 spare -= self.idf[words[k]]
                 if spare < 0:
                     break
+            if not x["base"] and len(x["keys"][0]) < len(words):
+                key = x["keys"][0]
+                k = max(range(len(key)), key=lambda k: (self.idf[key[k]], -k))
+                self.anchors.setdefault(key[k], []).append((t, k))
             x["key_places"] = [(i, key) for key in x["keys"] for i in range(len(words) - len(key) + 1) if words[i : i + len(key)] == key]
 
     def share(self, t: int, start: int, words: list[bytes]) -> float:
@@ -121,6 +148,32 @@ class Index:
         same = [0 <= start + k < len(words) and words[start + k] == w for k, w in enumerate(x["words"])]
         return 1.0 if all(same) else sum(self.idf[w] for w, ok in zip(x["words"], same, strict=True) if ok) / x["weight"]
 
+    def _in_order(self, part: list[bytes], stretch: list[bytes]) -> float:
+        """The weight of the heaviest common subsequence."""
+        best = [0.0] * (len(stretch) + 1)
+        for w in part:
+            row = [0.0]
+            for j, v in enumerate(stretch):
+                row.append(max(best[j] + self.idf[w] if v == w else 0.0, best[j + 1], row[j]))
+            best = row
+        return best[-1]
+
+    def aligned(self, t: int, at: int, words: list[bytes], bar: float) -> tuple[float, int]:
+        """(score, start) of a template whose first key phrase stands at ``at``; score 0 if it can't exceed ``bar``."""
+        x = self.templates[t]
+        notice, key = x["words"], x["keys"][0]
+        k = x["key_places"][0][0]
+        before, after = notice[:k], notice[k + len(key) :]
+        lo = max(0, at - len(before) - len(before) // 4 - INSERTED)
+        hi = at + len(key) + len(after) + len(after) // 4 + INSERTED
+        held, own = set(words[lo:hi]), sum(self.idf[w] for w in key)
+        if (own + sum(self.idf[w] for w in before + after if w in held)) / x["weight"] <= bar:
+            return 0.0, 0
+        if not all(any(words[j : j + len(other)] == other for j in range(lo, min(hi, len(words)) - len(other) + 1)) for other in x["keys"][1:]):
+            return 0.0, 0
+        found = self._in_order(before, words[lo:at]) + own + self._in_order(after, words[at + len(key) : hi])
+        return min(1.0, found / x["weight"]), at - k
+
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], dict[int, tuple[float, int]]]:
         """Base places as (template, start), and the best (score, start) of each other template that counts."""
         starts = {(t, i - k) for i, w in enumerate(words) if w in self.postings for t, k in self.postings[w]}
@@ -132,7 +185,25 @@ class Index:
                     base.append((t, start))
             elif score >= LEAST_SCORE and score > notices.get(t, (0.0, 0))[0] and all(words[max(0, start + i) : start + i + len(key)] == key for i, key in x["key_places"]):
                 notices[t] = (score, start)
-        return base, notices
+        return base, self._with_insertions(words, notices)
+
+    def _with_insertions(self, words: list[bytes], notices: dict[int, tuple[float, int]]) -> dict[int, tuple[float, int]]:
+        """``notices`` and those that only an alignment finds, or finds better."""
+        places = sorted({(t, i - k) for i, w in enumerate(words) if w in self.anchors for t, k in self.anchors[w]})
+        for t, at in places:
+            key, best = self.templates[t]["keys"][0], notices.get(t, (0.0, 0))[0]
+            if best < 1 - 1e-9 and at >= 0 and words[at : at + len(key)] == key:
+                score, start = self.aligned(t, at, words, max(LEAST_SCORE - 2e-9, best) + 1e-9)
+                if score >= LEAST_SCORE and score > best + 1e-9:
+                    notices[t] = (score, start)
+        return notices
+
+    def notices_without(self, words: list[bytes], kept: list[int], notices: dict[int, tuple[float, int]]) -> dict[int, tuple[float, int]]:
+        """``notices`` and those that are found, or found better, in the words at the places ``kept``."""
+        for t, (score, start) in self.scan([words[i] for i in kept])[1].items():
+            if score > notices.get(t, (0.0, 0))[0] + 1e-9:
+                notices[t] = (score, start if start < 0 else kept[start])
+        return notices
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -150,8 +221,10 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
                 continue
             rows = []
             for text in batch.column("text"):
-                words = split_words(text.as_py())
+                words, kept = split_lines(text.as_py())
                 base, notices = index.scan(words)
+                if kept:
+                    notices = index.notices_without(words, kept, notices)
                 starts, own = [s for _, s in base], {name(t) for t, _ in base}
                 labels = own | {name(t) for t in notices}
                 score = 1.0 if base else max((s for s, _ in notices.values()), default=0.0)

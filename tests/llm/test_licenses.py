@@ -1,4 +1,6 @@
+import functools
 import math
+import random
 import re
 
 from stopweave.llm import licenses
@@ -25,23 +27,67 @@ def split(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
+def read_twice(text):
+    """(words, their places) of a text as it is, and without words that begin three lines in a row or more."""
+    lines = [x for x in map(split, (text or "").split("\n")) if x]
+    same = lambda i, j: 0 <= i and j < len(lines) and len({x[0] for x in lines[i : j + 1]}) == 1
+    left, at = [], 0
+    for n, line in enumerate(lines):
+        comment = any(same(n - d, n - d + 2) for d in range(3))
+        left += [(w, at + k) for k, w in enumerate(line) if k or not comment]
+        at += len(line)
+    whole = split(text)
+    return [(whole, list(range(len(whole)))), ([w for w, _ in left], [i for _, i in left])]
+
+
+def heaviest(part, stretch, weights):
+    @functools.cache
+    def best(a, b):
+        if a == len(part) or b == len(stretch):
+            return 0.0
+        return max(best(a + 1, b), best(a, b + 1), best(a + 1, b + 1) + weights[part[a]] if part[a] == stretch[b] else 0.0)
+
+    return best(0, 0)
+
+
+def brute_aligned(words, t, keys, weights):
+    """(score, start) around every place of the first key phrase."""
+    key, holds = keys[0], lambda stretch, k: any(stretch[j : j + len(k)] == k for j in range(len(stretch)))
+    at = next(i for i in range(len(t)) if t[i : i + len(key)] == key)
+    before, after = t[:at], t[at + len(key) :]
+    for p in range(len(words)):
+        if words[p : p + len(key)] == key and len(key) < len(t):
+            left = words[max(0, p - len(before) - len(before) // 4 - licenses.INSERTED) : p]
+            right = words[p + len(key) :][: len(after) + len(after) // 4 + licenses.INSERTED]
+            if all(holds(left + key + right, k) for k in keys[1:]):
+                found = heaviest(before, left, weights) + sum(weights[w] for w in key) + heaviest(after, right, weights)
+                yield min(1.0, found / sum(weights[w] for w in t)), p - at
+
+
 def brute_notices(texts):
-    """For each text its labels, score and notices, from every template at every start."""
+    """For each text its labels, score and notices, from every template at every start and around every key phrase."""
     rows = [split(t) for t in texts]
     known = [(label, t.split(), [k.split() for k in keys]) for label, t, keys in licenses.NOTICES]
     idf = lambda w: math.log((1 + len(rows)) / (1 + sum(w in set(r) for r in rows))) + 1
     weights = {w: idf(w) for w in {w for _, t, _ in known for w in t}}
     out = []
-    for words, text in zip(rows, texts, strict=True):
+    for text in texts:
         found = []
         for label, t, keys in known:
             best = None
-            for start in range(-len(t), len(words)):
-                same = [0 <= start + k < len(words) and words[start + k] == w for k, w in enumerate(t)]
-                score = 1.0 if all(same) else sum(weights[w] for w, ok in zip(t, same, strict=True) if ok) / sum(weights[w] for w in t)
-                stands = all(0 <= start + i and words[start + i : start + i + len(k)] == k for k in keys for i in range(len(t)) if t[i : i + len(k)] == k)
-                if score >= licenses.LEAST_SCORE and stands and (best is None or score > best[0]):
-                    best = (score, start)
+            for own, places in read_twice(text):
+                here = None
+                for start in range(-len(t), len(own)):
+                    same = [0 <= start + k < len(own) and own[start + k] == w for k, w in enumerate(t)]
+                    score = 1.0 if all(same) else sum(weights[w] for w, ok in zip(t, same, strict=True) if ok) / sum(weights[w] for w in t)
+                    stands = all(0 <= start + i and own[start + i : start + i + len(k)] == k for k in keys for i in range(len(t)) if t[i : i + len(k)] == k)
+                    if score >= licenses.LEAST_SCORE and stands and (here is None or score > here[0]):
+                        here = (score, start)
+                for score, start in brute_aligned(own, t, keys, weights):
+                    if score >= licenses.LEAST_SCORE and (here is None or score > here[0] + 1e-9):
+                        here = (score, start)
+                if here and (best is None or here[0] > best[0] + 1e-9):
+                    best = (here[0], here[1] if here[1] < 0 else places[here[1]])
             if best:
                 found.append((label, best[1], round(best[0], 9)))
         base = brute(text)
@@ -111,3 +157,41 @@ def test_versions_and_restrictions_are_told_apart(spark):
     got = licenses.scan_licenses(docs).orderBy("doc_id").collect()
     assert [r["labels"] for r in got] == list(cases.values())
     assert [(r["labels"], round(r["score"], 9)) for r in got] == [(a, round(b, 9)) for a, b, _ in brute_notices(list(cases))]
+
+
+def test_comment_words_and_insertions(spark):
+    grant = WHOLE["mit"].split()
+    lines = [" ".join(grant[i : i + 7]) for i in range(0, len(grant), 7)]
+    header = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation (FSF, Boston), either version 3 of the License"
+    cases = {
+        "\n".join(f"dnl {x}" for x in lines): "mit",
+        "\n".join(f"# {x}" for x in lines): "mit",
+        "head\n\n" + "\n\n".join(f"REM {x}" for x in lines) + "\ntail": "mit",
+        WHOLE["mit"].replace("to deal in", "(the 'Software', as we call it from here on) to deal in"): "mit",
+        header: "gpl,gpl-3",
+        WHOLE["apache-2"].replace("you may not", "and you, dear reader, may not"): "apache-2",
+        "permission is hereby granted free of charge " * 300: "",
+        "the gnu general public license as published " + "word " * 60 + "free software foundation either version 3 of the license": "",
+        "dnl a b\ndnl c d": "",
+        "dnl\ndnl\ndnl": "",
+        "software " * 3000: "",
+    }
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = licenses.scan_licenses(docs).orderBy("doc_id").collect()
+    assert [r["labels"] for r in got] == list(cases.values())
+    mine = [(r["labels"], round(r["score"], 9), sorted((x["label"], x["start"], round(x["score"], 9)) for x in r["notices"])) for r in got]
+    assert mine == [(a, round(b, 9), c) for a, b, c in brute_notices(list(cases))]
+
+
+def test_random_cuts_and_insertions_against_brute_force(spark):
+    r, texts = random.Random(3), []
+    for _, notice, _ in licenses.NOTICES:
+        words = notice.split()
+        for _ in range(2):
+            own = [w for w in words if r.random() > 0.1]
+            for _ in range(r.randrange(4)):
+                own.insert(r.randrange(len(own) + 1), r.choice(["the", "software", "x", "license", "2"]))
+            texts.append("".join(w + r.choice("    \n") for w in own))
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    mine = [(r["labels"], round(r["score"], 9), sorted((x["label"], x["start"], round(x["score"], 9)) for x in r["notices"])) for r in got]
+    assert mine == [(a, round(b, 9), c) for a, b, c in brute_notices(texts)]

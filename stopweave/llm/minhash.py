@@ -52,6 +52,8 @@ PERCENT = 75
 SKETCH_SHARE = 0.55
 #: Members of an unsettled bucket that one key holds on one side of the last join.
 MEMBERS_TOGETHER = 512
+#: Edges of a round that one task of ``components`` writes and reads together.
+EDGES_TOGETHER = 1_000_000
 #: Bits of a set's bitmap; sets of up to about as many shingles are told apart by it.
 BITS = 1024
 
@@ -220,19 +222,22 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     """(node, component) of every node of an edge list: the component is its smallest node.
 
     Alternating large-star (each node ties its larger neighbours to its smallest one) and small-star (each node ties
-    its smaller neighbours and itself to its smallest one), until a round leaves the edges as they were.
+    its smaller neighbours and itself to its smallest one), until a round leaves the edges as they were. Rounds are
+    written in as many parts as their edges ask for: most have few, and hundreds of all but empty tasks a table would
+    take longer than the work.
     """
     edges = stage(edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u <> v").distinct())
     print_of = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     last = None
     while (now := print_of(edges)) != last:
         last = now
+        put = lambda df: stage(df.coalesce(1 + now[0] // EDGES_TOGETHER))  # noqa: B023, E731
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stage(both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m")))
-        large = stage(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        least = stage(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = put(both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m")))
+        large = put(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = put(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u")
-        edges = stage(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = put(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     nodes = edges.groupBy("u").agg(F.min("v").alias("component"))
     return stage(nodes.select(F.col("u").alias("node"), "component").unionByName(nodes.select(F.col("component").alias("node"), "component").distinct()))
 

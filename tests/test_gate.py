@@ -1,6 +1,7 @@
 import random
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stopweave.operators import status
 from stopweave.streaming.gate import stream_gate
@@ -45,3 +46,17 @@ def test_stream_gate_in_any_order_of_landings(spark, tmp_path):
         out = str(tmp_path / f"{name}_gate")
         stream_gate(stream, "key", 9000, late="1 hour").writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / f"{name}_state")).trigger(availableNow=True).start().awaitTermination()
         assert rows(spark.read.parquet(out).where("key <> 'end'")) == fold(asks, 9000)
+
+
+def test_what_waits_is_held_as_bytes_and_told_in_parts(spark, tmp_path, monkeypatch):
+    from stopweave.streaming import gate
+
+    monkeypatch.setattr(gate, "ROWS", 50)
+    assert [f.dataType.simpleString() for f in T._parse_datatype_string(gate._STATE).fields] == ["bigint", "bigint", "binary", "binary"]
+    rng = random.Random(5)
+    asks = [(i, "k", rng.randrange(100_000)) for i in range(2000)]
+    for part in (asks[::2], asks[1::2], [(None, "end", 10**9)]):
+        frame(spark, part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("event_id long, key string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream_gate(stream, "key", 9000, late="1 hour").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert rows(spark.read.parquet(str(tmp_path / "out")).where("key <> 'end'")) == fold(asks, 9000)

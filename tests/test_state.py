@@ -1,8 +1,10 @@
 import random
 
+from oracle import TABLES, same_rows
 from pyspark.sql import functions as F
 
 from stopweave.operators import state
+from stopweave.queries import ORACLES, QUERIES
 
 
 def test_ttl_fold_holds_no_key_whole(spark):
@@ -41,3 +43,15 @@ def test_stream_equals_batch_in_any_order_of_batches(spark, tmp_path):
         hits.writeStream.format("parquet").option("path", str(tmp_path / f"{name}_hits")).option("checkpointLocation", str(tmp_path / f"{name}_state")).trigger(availableNow=True).start().awaitTermination()
         rows = spark.read.parquet(str(tmp_path / f"{name}_hits")).collect()
         assert {r["event_id"]: r["hit"] for r in rows} == want and len(rows) == len(events)
+
+
+def test_stream_query_takes_a_landing_of_many_files_whole(spark, sf_dir, tmp_path):
+    for t in TABLES:
+        if t != "events":
+            (tmp_path / f"{t}.parquet").symlink_to(f"{sf_dir}/{t}.parquet")
+    spark.read.parquet(f"{sf_dir}/events.parquet").repartition(12).write.parquet(str(tmp_path / "files"))
+    (tmp_path / "events.parquet").mkdir()
+    for n, x in enumerate(sorted((tmp_path / "files").glob("*.parquet"))):
+        x.rename(tmp_path / "events.parquet" / f"{n}.parquet")
+    sql = ORACLES["t1_stream_ttl_hits"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert same_rows(QUERIES["t1_stream_ttl_hits"](spark, str(tmp_path)), sql, sf_dir) == 1000

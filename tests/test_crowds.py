@@ -34,3 +34,23 @@ def test_picks_by_key_are_those_of_the_least_hashes(spark):
         for key in {k for _, k in rows}:
             want += sorted((i for i, k in rows if k == key), key=lambda i: (hashlib.md5(f"3:{i}".encode()).hexdigest(), i))[:n]
         assert sorted(r["stop_id"] for r in catalogue.surprise_each(df, "country", 3, n).collect()) == sorted(want)
+
+
+def test_rows_of_one_place_are_joined_as_lists(spark, monkeypatch):
+    monkeypatch.setattr(geo, "LIST_ROWS", 7)
+    rng = random.Random(6)
+    stops = [(i, 50.0 + i % 5 * 0.01, 4.0) for i in range(40)] + [(90, None, 4.0)]
+    points = [(i, 50.0 + i % 3 * 0.01 + 0.001, 4.0) for i in range(900)] + [(1000 + i, 50 + rng.uniform(-0.05, 0.05), 4.0) for i in range(20)] + [(1900, 50.0, None)]
+    left = spark.createDataFrame(stops, "left_id long, left_lat double, left_lon double")
+    right = spark.createDataFrame(points, "right_id long, right_lat double, right_lon double")
+    want = set(brute(stops[:-1], points[:-1], 1500))
+    far = {(r["left_id"], r["right_id"]): r["distance_m"] for r in geo.radius_join(left, right, 1500).collect()}
+    for side in ("left", "right"):
+        got = geo.radius_join(left, right, 1500, spread=side, crowded_rows=100, digits=1)
+        rows = [tuple(r) for r in got.collect()]
+        assert got.columns == [*left.columns, *right.columns, "distance_m"] and len(rows) == len(want) and {(r[0], r[3]) for r in rows} == want
+        assert all(abs(r[6] - far[r[0], r[3]]) < 0.0501 and round(r[6], 1) == r[6] for r in rows)
+        text = plan(got)
+        assert text.index("Generate inline") < text.index("ASIN")  # pairs are made after the distance
+    lists = geo._listed(geo._placed(right, "right", 1500), "right").select(F.size("rows").alias("n"))
+    assert lists.agg(F.sum("n"), F.max("n")).first()[:] == (920, 7) and lists.count() < 300

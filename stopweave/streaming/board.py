@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stopweave.functions.transit import delay_minutes
 from stopweave.operators.departures import normalize_departures
 from stopweave.plans.jobs import station_boards
 from stopweave.plans.lineage import finished, folder
@@ -18,20 +19,35 @@ _FIELDS = "observed_at timestamp, lat double, lon double, when timestamp, planne
 SLICES, SMALL_BYTES = 16, 1 << 20
 
 
-def live_departures(observations: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """A stream of normalised departures without exact repeats, whose keys are state until the watermark has passed them.
+def live_departures(observations: DataFrame) -> DataFrame:
+    """Normalised departures with the slice of their key; exact repeats are left out where they are put down.
 
     ``observed_at`` is part of the repeat: a departure that changes and changes back is told again.
     """
     df = normalize_departures(observations, "observed_at", "lat", "lon").drop("raw_mode")
-    return df.withWatermark("observed_at", late).dropDuplicatesWithinWatermark(df.columns)
+    names = [F.col("line.name") if c == "line_name" else F.col(c) for c in DEPARTURE_KEY]
+    return df.withColumn("slice", F.pmod(F.xxhash64(*names), F.lit(SLICES)).cast("int"))
 
 
 def latest_observations(df: DataFrame) -> DataFrame:
-    """The last observation of each departure; of several at one time the greatest by its fields."""
-    keyed = df.withColumn("line_name", F.col("line.name"))
-    order = Window.partitionBy(*DEPARTURE_KEY).orderBy(*map(F.desc, _TIES))
-    return keyed.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n", "line_name")
+    """The last observation of each departure; of several at one time the greatest by its fields.
+
+    Rows move once, by ``slice``, and can be written by slice without moving again; what follows from other fields does
+    not move with them.
+    """
+    keyed = df.withColumn("line_name", F.col("line.name")).drop("line", "delay_minutes").repartition(SLICES, "slice")
+    order = Window.partitionBy("slice", *DEPARTURE_KEY).orderBy(*map(F.desc, _TIES))
+    last = keyed.withColumn("__n", F.row_number().over(order)).where("__n = 1")
+    line = F.struct(F.col("line_name").alias("name"), F.col("mode").alias("product"))
+    return last.withColumns({"line": line, "delay_minutes": delay_minutes(F.col("planned_when"), F.col("when"))}).select(df.columns)
+
+
+def _without_repeats(last: DataFrame, held: DataFrame) -> DataFrame:
+    """Rows of which ``held`` has no equal, told by 128 bits of hashes, so rows of ``held`` move as these."""
+    columns = [c for c in last.columns if c != "slice"]
+    told = ["slice", "__a", "__b"]
+    hashed = lambda df: df.withColumns({"__a": F.xxhash64(*columns), "__b": F.xxhash64(F.lit(1), F.struct(*(F.col(c).isNull() for c in columns)), *reversed(columns))})
+    return hashed(last).join(hashed(held).select(*told).repartition(SLICES, "slice"), told, "left_anti").drop("__a", "__b")
 
 
 def _not_gone(df: DataFrame, now, late: str) -> DataFrame:
@@ -67,9 +83,9 @@ def _seen(spark: SparkSession, path: str, slices: list[int], upto: int | None =
 
 def read_live(spark: SparkSession, path: str, late: str = "10 minutes") -> DataFrame:
     """The last observation of each departure that ``stream_board`` holds and that is not gone, seen from the latest one."""
-    seen = _seen(spark, path, list(range(SLICES))).drop("slice")
+    seen = _seen(spark, path, list(range(SLICES)))
     now = F.broadcast(seen.agg(F.max("observed_at").alias("now")))  # one row
-    return _not_gone(latest_observations(seen).join(now), F.col("now"), late).drop("now")
+    return _not_gone(latest_observations(seen).join(now), F.col("now"), late).drop("now", "slice")
 
 
 def compact(spark: SparkSession, path: str, slices: list[int], number: int, late: str = "10 minutes") -> None:
@@ -81,7 +97,7 @@ def compact(spark: SparkSession, path: str, slices: list[int], number: int, late
     now = seen.agg(F.max("observed_at")).first()[0]
     kept = _not_gone(latest_observations(seen), F.lit(now).cast("timestamp"), late)
     work = f"{path}/compacting={number}"
-    kept.repartition("slice").write.mode("overwrite").partitionBy("slice").parquet(work)
+    kept.write.mode("overwrite").partitionBy("slice").parquet(work)
     for s in slices:
         source, fs = folder(spark, f"{work}/slice={s}")
         target, _ = folder(spark, f"{path}/base/slice={s}/version={number}")
@@ -105,26 +121,31 @@ def stream_board(observations: DataFrame, path: str, checkpoint: str, late: str
     """Start the stream; each batch adds its last observations under ``path``, by slice, and rewrites nothing.
 
     Which observation is a departure's last is decided when the table is read or compacted, by the time of observation,
-    so the order of arrival does not matter and a batch costs what it holds. A slice whose changes have outgrown its
-    base is compacted, so over time what is written follows what changes. A repeated batch replaces its own changes.
+    so the order of arrival does not matter and a batch costs what it holds. Exact repeats are looked for among what is
+    held since the batch's first observation, so the stream keeps no state. A slice whose changes have outgrown its base,
+    or its first changes, is compacted, so over time what is written follows what changes. A repeated batch replaces its
+    own changes.
     """
 
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        names = [F.col("line.name") if c == "line_name" else F.col(c) for c in DEPARTURE_KEY]
-        last = latest_observations(batch).withColumn("slice", F.pmod(F.xxhash64(*names), F.lit(SLICES)).cast("int"))
+        last = latest_observations(batch)
+        since = batch.agg(F.min("observed_at")).first()[0]
+        if since and (_bytes(spark, f"{path}/changes") or _bytes(spark, f"{path}/base")):
+            held = _seen(spark, path, list(range(SLICES)), number - 1).where(F.col("observed_at") >= F.lit(since))
+            last = _without_repeats(last, held)
         last.write.mode("overwrite").partitionBy("slice").parquet(f"{path}/changes/batch={number}")
         batches, grown = finished(spark, f"{path}/changes", "batch"), []
         for s, versions in _bases(spark, path).items():
             base = max((v for v in versions if v < number), default=-1)
-            since = sum(_bytes(spark, f"{path}/changes/batch={b}/slice={s}") for b in batches if base < b <= number)
-            if since > max(SMALL_BYTES, _bytes(spark, f"{path}/base/slice={s}/version={base}")):
+            sizes = [_bytes(spark, f"{path}/changes/batch={b}/slice={s}") for b in batches if base < b <= number]
+            first = _bytes(spark, f"{path}/base/slice={s}/version={base}") if base >= 0 else sizes.pop(0)
+            if sum(sizes) > max(SMALL_BYTES, first):
                 grown.append(s)
         if grown:
             compact(spark, path, grown, number, late)
 
-    changes = live_departures(observations, late)
-    return changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start()
+    return live_departures(observations).writeStream.option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start()
 
 
 def live_boards(spark: SparkSession, path: str, stations: DataFrame, as_of, radius_m: float = 1500.0, n: int = 200, late: str = "10 minutes") -> DataFrame:

@@ -67,3 +67,21 @@ def test_a_batch_writes_its_changes_only(spark, tmp_path):
     before = sorted(map(str, board.read_live(spark, str(tmp_path / "live")).collect()))
     board.compact(spark, str(tmp_path / "live"), list(range(board.SLICES)), 9)
     assert sorted(map(str, board.read_live(spark, str(tmp_path / "live")).collect())) == before and len(before) == 300
+
+
+def test_a_stream_keeps_no_state_and_a_first_batch_is_written_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(board, "SMALL_BYTES", 0)
+    many = [seen(0, 30 + i, 30 + i) for i in range(300)]
+    spark.createDataFrame(many + many, SCHEMA).repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    board.stream_board(stream, str(tmp_path / "live"), str(tmp_path / "checkpoint")).awaitTermination()
+    assert not (tmp_path / "checkpoint" / "state").exists() and not (tmp_path / "live" / "base").exists()
+    assert len(list((tmp_path / "live" / "changes").rglob("*.parquet"))) <= board.SLICES
+    assert board.read_live(spark, str(tmp_path / "live")).count() == 300
+
+
+def test_repeats_are_equal_in_nulls_too(spark):
+    rows = lambda *x: spark.createDataFrame([(0, *r) for r in x], "slice int, a string, b string, c long")
+    last = rows(("x", None, 1), (None, "x", 1), (None, None, 2), ("y", "y", None))
+    held = rows(("x", None, 1), (None, None, 2), ("y", None, None))
+    assert sorted(map(str, board._without_repeats(last, held).collect())) == sorted(map(str, rows((None, "x", 1), ("y", "y", None)).collect()))

@@ -6,7 +6,8 @@ ever held whole. A turn's content is a text, or a list of typed parts in which a
 document part by an ordered placeholder, records its reference and counts the tokens it will expand to.
 
 Control strings in texts are escaped reversibly: ``<``, any number of backslashes, ``|`` gets one backslash more, so
-``<|`` occurs in the output only where the template wrote it; adjoining text parts are escaped as one text. A newline in a role is written ``<|nl|>``.
+``<|`` occurs in the output only where the template wrote it; all text parts of a turn are escaped as one text, so none
+arises either where placeholders are taken out. A newline in a role is written ``<|nl|>``.
 
 Reading back parses the segments, not the input. For digests over a whole conversation the segments are sorted by
 conversation and turn within hash partitions and streamed, so memory is bounded by a batch even if one conversation
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,17 +48,23 @@ def unescape(text: str) -> str:
 class Visitor:
     """Walks the parts of one turn; ``content`` is what they flatten to, ``attachments`` what it refers to.
 
-    Texts that adjoin are escaped as one, so no control string arises where they meet.
+    Texts are escaped as one and placeholders put in after that, so no control string arises where texts meet.
     """
 
     def __init__(self):
-        self.out, self.texts, self.attachments, self.tokens = [], [], [], 0
+        self.texts, self.places, self.attachments, self.tokens = [], [], [], 0
 
     def content(self) -> str:
-        if self.texts:
-            self.out.append(escape("".join(self.texts)))
-            self.texts = []
-        return "".join(self.out)
+        text = "".join(self.texts)
+        if not self.places:
+            return escape(text)
+        escaped, bars = escape(text), [m.end() - 1 for m in _ESCAPE.finditer(text)]
+        out, at = [], 0
+        for place, written in self.places:
+            to = place + bisect_left(bars, place)
+            out += [escaped[at:to], written]
+            at = to
+        return "".join(out) + escaped[at:]
 
     def visit(self, part: dict) -> None:
         kind = part["type"] or "text"
@@ -70,8 +78,7 @@ class Visitor:
 
     def _attach(self, part, kind):
         n = max(1, part["units"] or 1) * TOKENS_PER_UNIT[kind]
-        self.content()
-        self.out.append(f"<|{kind}_{len(self.attachments)}|>")
+        self.places.append((sum(map(len, self.texts)), f"<|{kind}_{len(self.attachments)}|>"))
         self.attachments.append({"place": len(self.attachments), "type": kind, "uri": part["uri"] or "", "tokens": n})
         self.tokens += n
 
@@ -115,23 +122,48 @@ def format_turns(turns: DataFrame, content_col: str = "text", trained_role: str
     return narrow.mapInArrow(run, SEGMENT_SCHEMA)
 
 
+def _read_back(body: str) -> tuple[str, list[tuple[int, re.Match]]]:
+    """The texts of a body as one and its placeholders, each with its offset in that text."""
+    if "<|" not in body:
+        return unescape(body), []
+    plain, places, at, length = [], [], 0, 0
+    for m in _PLACE.finditer(body):
+        plain.append(body[at : m.start()])
+        length, at = length + m.start() - at, m.end()
+        places.append((length, m))
+    escaped = "".join(plain) + body[at:]
+    cuts = [m.end() - 2 for m in _UNESCAPE.finditer(escaped)]
+    return unescape(escaped), [(n - bisect_left(cuts, n), m) for n, m in places]
+
+
+def _content(body: str) -> str:
+    """A body unescaped, still with its placeholders."""
+    text, places = _read_back(body)
+    out, at = [], 0
+    for n, m in places:
+        out += [text[at:n], m[0]]
+        at = n
+    return "".join(out) + text[at:]
+
+
 def parse_segment(segment: str) -> tuple[str, str]:
     """Role and content, still with placeholders, read back from a segment."""
     head, _, rest = segment.removeprefix(START).partition("\n")
-    return unescape(head.replace(NEWLINE, "\n")), unescape(rest.removesuffix(END + "\n"))
+    return unescape(head.replace(NEWLINE, "\n")), _content(rest.removesuffix(END + "\n"))
 
 
 def parse_parts(segment: str, attachments: list[dict]) -> list[dict]:
     """The typed parts read back from a segment and its attachments; adjacent text parts come back as one."""
     body = segment.partition("\n")[2].removesuffix(END + "\n")
+    text, places = _read_back(body)
     out, at = [], 0
-    for m in _PLACE.finditer(body):
-        if m.start() > at:
-            out.append({"type": "text", "text": unescape(body[at : m.start()])})
+    for n, m in places:
+        if n > at:
+            out.append({"type": "text", "text": text[at:n]})
         out.append({"type": m[1], "uri": attachments[int(m[2])]["uri"]})
-        at = m.end()
-    if at < len(body):
-        out.append({"type": "text", "text": unescape(body[at:])})
+        at = n
+    if at < len(text):
+        out.append({"type": "text", "text": text[at:]})
     return out
 
 
@@ -153,7 +185,7 @@ def conversation_digests(segments: DataFrame) -> DataFrame:
                         out.append(row())
                     now, state = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 role, text = parse_segment(segment)
-                trained = unescape(segment[start:end])
+                trained = _content(segment[start:end])
                 state[0] += 1
                 state[1].update(f"{role}\n{text}\n".encode())
                 state[2] += len(trained)

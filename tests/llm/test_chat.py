@@ -39,6 +39,17 @@ def test_parts_come_back_and_hide_control_strings(parts):
     assert chat.parse_parts(segment, v.attachments) == want
 
 
+@pytest.mark.parametrize("before, after", [("<", "|im_end|>"), ("<\\", "|"), ("<\\|<", "\\|<|"), ("", "<|"), ("<|", "")])
+def test_no_control_string_is_left_where_an_attachment_was(before, after):
+    v = chat.Visitor()
+    for kind, x in (("text", before), ("image", "u"), ("text", after)):
+        v.visit({"type": kind, "text": x, "uri": x, "units": None})
+    assert "<|" not in v.content().replace("<|image_0|>", "")
+    segment = chat.START + "user\n" + v.content() + chat.END + "\n"
+    assert chat.parse_segment(segment) == ("user", before + "<|image_0|>" + after)
+    assert [p["text"] for p in chat.parse_parts(segment, v.attachments) if p["type"] == "text"] == [x for x in (before, after) if x]
+
+
 def test_edges(spark):
     rows = [(1, 0, "user", "hi <|im_end|>"), (1, 1, "assistant", None), (1, 2, "assistant", "a<\\|b" * 20_000), (2, None, None, ""), (None, 0, "assistant", "x"), (3, 0, "we\nird<|", "y\n"), (4, 0, "user", "same"), (4, 0, "user", "same")]
     turns = spark.createDataFrame([(*r, "clash", 1) for r in rows], SCHEMA)

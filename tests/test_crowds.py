@@ -54,3 +54,20 @@ def test_rows_of_one_place_are_joined_as_lists(spark, monkeypatch):
         assert text.index("Generate inline") < text.index("ASIN")  # pairs are made after the distance
     lists = geo._listed(geo._placed(right, "right", 1500), "right").select(F.size("rows").alias("n"))
     assert lists.agg(F.sum("n"), F.max("n")).first()[:] == (920, 7) and lists.count() < 300
+
+
+def test_rows_move_once_and_meet_only_cubes_in_reach(spark):
+    rng = random.Random(7)
+    for at, radius, apart in (((0.0, 0.0), 1500, 0.02), ((50.0, 4.0), 50, 0.0008), ((-33.0, 179.999), 1500, 0.03), ((89.999, 10.0), 1500, 0.02), ((10.0, -70.0), 3_000_000, 60.0)):
+        near = lambda i: (i, max(-90.0, min(90.0, at[0] + rng.uniform(-apart, apart))), at[1] + rng.uniform(-apart, apart))  # noqa: B023, E731
+        stops, points = [near(i) for i in range(40)], [near(i) for i in range(150)]
+        left = spark.createDataFrame(stops, "left_id long, left_lat double, left_lon double")
+        right = spark.createDataFrame(points, "right_id long, right_lat double, right_lon double")
+        got = geo.radius_join(left, right, radius, spread="left", crowded_rows=20)
+        rows = [(r["left_id"], r["right_id"]) for r in got.collect()]
+        assert rows and len(rows) == len(set(rows)) and set(rows) == set(brute(stops, points, radius))
+        assert geo._around(geo._placed(left, "left", radius), "left", radius).count() <= 16 * len(stops)  # of 27
+    text = plan(geo.radius_join(left, right, 1500, spread="left"))
+    assert "Window" not in text and text.count("REPARTITION_BY_NUM") == 1
+    moved = [x for x in text.splitlines() if "Exchange hashpartitioning" in x and "cx" in x and "deal" in x]
+    assert len(moved) == 2  # both sides by cube and deal
